@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, sstable
+from . import fm, mixing, rules, secrets, simhash, sstable
 
 QUERIES = {
+    "op2_secret_scan": secrets.query,
     "op3_mix_sources": mixing.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op5_quality_classifier": fm.query,
     "op9_token_shards": sstable.query,
+    "op10_quality_rules": rules.query,
 }
 
 ORACLES = {
