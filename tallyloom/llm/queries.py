@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import fm, mixing, rules, secrets, simhash, sstable
+from . import decontaminate, fm, mixing, rules, secrets, simhash, sstable, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op2_secret_scan": secrets.query,
     "op3_mix_sources": mixing.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_quality_classifier": fm.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_token_shards": sstable.query,
     "op10_quality_rules": rules.query,
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
 }
