@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fm, mixing, rules, secrets, simhash, sstable, url_filter
+from . import decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_quality_classifier": fm.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontaminate": decontaminate.query,
     "op9_token_shards": sstable.query,
     "op10_quality_rules": rules.query,
