@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, url_filter
+from . import decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, tool_calls, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_quality_classifier": fm.query,
+    "op6_link_tool_calls": tool_calls.query,
     "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontaminate": decontaminate.query,
     "op9_token_shards": sstable.query,
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
+    "op6_link_tool_calls": tool_calls.ORACLE,
 }

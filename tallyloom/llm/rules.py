@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read, slices, stored
 from .text_stats import BASE, MORE, document_stats, ratios
@@ -173,6 +174,29 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """The rows of `docs`, with all columns, that judge() keeps, judged row by row without a join."""
+    marks = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()], "doc_id long")
+    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id", "left_semi")
+    x, bad = labelled_sample(stored(document_columns(seen)), labels.select("doc_id", "quality"), most_labelled)
+    rules = learn(x, bad) if len(bad) else []
+    prefix = "stat_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names, at = [*BASE, *MORE], docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in slices(batches, at):
+            cols = zip(*map(document_stats, text.to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names, *(prefix + n for n in names)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + n, T.LongType()) for n in names)])
+    s = {n: F.col(prefix + n) for n in names}
+    failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+    return docs.mapInArrow(run, schema).where(~failed & verdict(rules, ratios(s)).isNull()).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the base statistics and the verdict on every document."""
     rows, _ = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -45,28 +45,25 @@ def simhash(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long. Null and blank texts give 0; fewer words than
-    `width` make one shingle. Every row gives one, repeated and null identifiers too; other columns are ignored."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns `more`: fp is the fingerprint's bits as a signed long. Null and blank texts
+    give 0; fewer words than `width` make one shingle. Every row gives one, repeated and null identifiers too; other
+    columns are ignored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, 1):
             fps = np.array([simhash(x, width, seed) for x in text.to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
-
-
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >> 63 else bits
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` long" for c in ("doc_id", "fp", *more)))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of the distinct fingerprints in column fp that differ in 1 or 2 bits, except that
     of a crowded variant's fingerprints only a star under each two-wildcard variant is given: their components
     are the same as with all pairs."""
-    positions = "transform(sequence(0, 63), x -> named_struct('p', cast(x as byte), 'sig', (fp & if(x < 32, {low}L, {high}L)) & ~shiftleft(1L, x)))".format(low=0xFFFFFFFF, high=_signed(0xFFFFFFFF << 32))
+    positions = "transform(sequence(0, 63), x -> named_struct('p', cast(x as byte), 'sig', (fp & if(x < 32, {low}L, {high}L)) & ~shiftleft(1L, x)))".format(low=0xFFFFFFFF, high=-(1 << 32))
     indexed = fps.select("fp", F.explode(F.expr(positions)).alias("v")).select("v.p", "v.sig", "fp")
     close = "bit_count(a ^ b) <= 2"
     groups = indexed.groupBy("p", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
@@ -94,13 +91,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless a component has no other. An empty table gives none. Repeated rows stay.
     """
     rows = stored(fingerprints(docs, id_col, text_col, width, seed))
+    return rows.join(_component_of(rows), "fp").select("doc_id", "fp", "component_id")
+
+
+def _root_of(rows: DataFrame) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint of (doc_id, fp): its smallest identifier, and the fingerprint
+    that stands for its component."""
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = stored(placed)
+    return stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def _component_of(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of (doc_id, fp)."""
+    placed = _root_of(rows)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return placed.join(ids, "root").select("fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, less all but one of each component: the one with the smallest identifier
+    stays, null identifiers come last, and of several texts under it the one with the least hash. Rows equal in
+    identifier and text are one document, with the other columns of one of them."""
+    key = F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    rows = stored(fingerprints(rows, more=("key",)))
+    placed = _root_of(rows).select("fp", "root")
+    # the least row of each fingerprint, then of each component: both with map-side combining
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    stay = rows.groupBy("fp").agg(F.min(least).alias("f")).join(placed, "fp").groupBy("root").agg(F.min("f").alias("f"))
+    stay = stay.select(F.col("f.doc_id").alias("stay_id"), F.col("f.key").alias("stay_key"))
+    name = "key_"
+    while name in docs.columns:
+        name += "_"
+    one = docs.withColumn(name, key).dropDuplicates([id_col, name])
+    return one.join(stay, one[id_col].eqNullSafe(F.col("stay_id")) & (one[name] == F.col("stay_key")), "left_semi").drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
