@@ -27,6 +27,8 @@ from .common import components, read, slices, stored
 BITS = 64
 #: Fingerprints of one variant that are compared pair by pair; larger groups take the two-wildcard way.
 MOST_PAIRED = 48
+#: Crowded variants (three numbers each) that are broadcast to find their fingerprints; more are joined by shuffling.
+MOST_BROADCAST = 1_000_000
 
 
 def simhash(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -64,15 +66,18 @@ def links(fps: DataFrame) -> DataFrame:
     of a crowded variant's fingerprints only a star under each two-wildcard variant is given: their components
     are the same as with all pairs."""
     positions = "transform(sequence(0, 63), x -> named_struct('p', cast(x as byte), 'sig', (fp & if(x < 32, {low}L, {high}L)) & ~shiftleft(1L, x)))".format(low=0xFFFFFFFF, high=-(1 << 32))
-    indexed = fps.select("fp", F.explode(F.expr(positions)).alias("v")).select("v.p", "v.sig", "fp")
+    # a fingerprint makes 64 rows: they are dealt out by number first, as few small partitions would have to spill
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = fps.select("fp").repartition(parts).select("fp", F.explode(F.expr(positions)).alias("v")).select("v.p", "v.sig", "fp")
     close = "bit_count(a ^ b) <= 2"
     groups = indexed.groupBy("p", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     groups = stored(groups)
     pairs = groups.where("n = 2").where(close).select("a", "b")
     crowded = groups.where("n > 2").select("p", "sig", "n")
-    if crowded.isEmpty():
+    some = crowded.count()
+    if not some:
         return pairs.distinct()
-    members = stored(indexed.join(crowded, ["p", "sig"]))
+    members = stored(indexed.join(F.broadcast(crowded) if some <= MOST_BROADCAST else crowded.hint("merge"), ["p", "sig"]))
     few = members.where(F.col("n") <= MOST_PAIRED).groupBy("p", "sig").agg(F.array_sort(F.collect_list("fp")).alias("f"))
     few = few.select(F.explode(F.expr("flatten(transform(f, (a, i) -> transform(filter(slice(f, i + 2, size(f)), b -> bit_count(a ^ b) <= 2), b -> named_struct('a', a, 'b', b))))")).alias("x")).select("x.a", "x.b")
     many = members.where(F.col("n") > MOST_PAIRED).select("fp").distinct()
