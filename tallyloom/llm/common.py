@@ -21,6 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, with underscores until no column of `df` starts with it in any case."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, or where that is unset one of our own."""
     sc = spark.sparkContext

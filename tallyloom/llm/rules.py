@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, slices, stored
+from .common import free_prefix, read, slices, stored
 from .text_stats import BASE, MORE, document_stats, ratios
 
 #: Labelled rows that the learner sees at most, the first by a hash of the identifier; no other step has a bound.
@@ -181,9 +181,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id", "left_semi")
     x, bad = labelled_sample(stored(document_columns(seen)), labels.select("doc_id", "quality"), most_labelled)
     rules = learn(x, bad) if len(bad) else []
-    prefix = "stat_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
+    prefix = free_prefix(docs, "stat_")
     names, at = [*BASE, *MORE], docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, slices, stored
+from .common import components, free_prefix, read, slices, stored
 
 BITS = 64
 #: Fingerprints of one variant that are compared pair by pair; larger groups take the two-wildcard way.
@@ -125,12 +125,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the least row of each fingerprint, then of each component: both with map-side combining
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     stay = rows.groupBy("fp").agg(F.min(least).alias("f")).join(placed, "fp").groupBy("root").agg(F.min("f").alias("f"))
-    stay = stay.select(F.col("f.doc_id").alias("stay_id"), F.col("f.key").alias("stay_key"))
-    name = "key_"
-    while name in docs.columns:
-        name += "_"
-    one = docs.withColumn(name, key).dropDuplicates([id_col, name])
-    return one.join(stay, one[id_col].eqNullSafe(F.col("stay_id")) & (one[name] == F.col("stay_key")), "left_semi").drop(name)
+    p = free_prefix(docs, "stay_")
+    stay = stay.select(F.col("f.doc_id").alias(f"{p}id"), F.col("f.key").alias(f"{p}of"))
+    one = docs.withColumn(f"{p}key", key).dropDuplicates([id_col, f"{p}key"])
+    return one.join(stay, one[id_col].eqNullSafe(stay[f"{p}id"]) & (one[f"{p}key"] == stay[f"{p}of"]), "left_semi").drop(f"{p}key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
