@@ -97,12 +97,12 @@ def _grow(x: dict, bad: np.ndarray, most: int, cuts: int = 48) -> list[Condition
     return conditions
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.98, least_hits: int = 5, seed: int = 5) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.99, least_hits: int = 5, seed: int = 5) -> list[Rule]:
     """An ordered list of rules for the rows where `bad` holds.
 
     Each rule is grown on two thirds of the rows that no rule covers yet and pruned on the rest: its last
-    conditions go while (hits - misses) / all on those rows doesn't fall. A rule that isn't `precision` right on
-    all rows left ends the list. No rows, or rows of one class, give an empty list.
+    conditions go while (hits - misses) / all on those rows doesn't fall. A pruned rule that isn't `precision` right
+    on all rows left is tried unpruned; if that isn't either, the list ends. No rows, or rows of one class, give an empty list.
     """
     rng, rules, n = np.random.default_rng(seed), [], len(bad)
     left = np.ones(n, dtype=bool)
@@ -119,13 +119,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
             c = _covered(cs, xs, len(b))
             return (2 * (c & b).sum() - c.sum()) / max(c.sum(), 1)
 
-        while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
-            conditions = conditions[:-1]
-        c = _covered(conditions, x, n) & left
-        right = (c & bad).sum()
-        if right < least_hits or right < precision * c.sum():
+        pruned = conditions
+        while len(pruned) > 1 and worth(pruned[:-1]) >= worth(pruned):
+            pruned = pruned[:-1]
+        for rule in (pruned, conditions):
+            c = _covered(rule, x, n) & left
+            right = (c & bad).sum()
+            if right >= least_hits and right >= precision * c.sum():
+                break
+        else:
             break
-        rules.append(Rule(tuple(conditions), int(right), float(right / c.sum())))
+        rules.append(Rule(tuple(rule), int(right), float(right / c.sum())))
         left &= ~c
     return rules
 
