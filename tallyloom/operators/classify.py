@@ -155,7 +155,11 @@ def scan(tracked: DataFrame, policy: SourcePolicy = SourcePolicy(), strict: bool
         role = F.when(test, value) if role is None else role.when(test, value)
         reason = F.when(test, F.lit(why)) if reason is None else reason.when(test, F.lit(why))
     ruled_out = F.coalesce(*[F.when(t, F.lit(True)) for t, *_ in before], F.lit(False))
-    rows = tracked.select("*", role.otherwise(role_expression(path, data, policy.overrides)).alias("role"), reason.otherwise(reason_expression(path, data, policy.overrides)).alias("reason"), ruled_out.alias("ruled_out"))
+    # the tests on path and content run once, for the reason; a reason tells the role, but for overrides
+    by_reason = F.create_map(*[F.lit(x) for r, why in ROLES.items() for x in (why, r)])
+    late = role_expression(path, data, policy.overrides) if policy.overrides else F.try_element_at(by_reason, F.col("late"))
+    rows = tracked.withColumns({"late": reason_expression(path, data, policy.overrides), "ruled_out": ruled_out})
+    rows = rows.select("*", role.otherwise(late).alias("role"), reason.otherwise(F.col("late")).alias("reason"))
     rows = rows.join(F.broadcast(policy_table(tracked.sparkSession, policy).withColumnsRenamed({"included": "by_role", "triggers": "triggers_by_role"})), "role", "left")
     included = F.coalesce("by_role", F.lit(False)) & ~F.col("ruled_out")
     triggers = F.coalesce("triggers_by_role", F.lit(False)) & ~F.col("ruled_out")

@@ -12,7 +12,7 @@ from . import views as V
 from .functions import numbers as N
 from .functions import paths as P
 from .functions import text as X
-from .operators import changes, classify, components, coverage, merge, output, packing, rendering, validation
+from .operators import changes, classify, components, coverage, merge, output, packing, rendering, requests, validation
 from .sources import generator, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -653,3 +653,80 @@ def _(spark, d):
 def _(spark, d):
     requests = V.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("text").alias("request"))
     return generator.generate(requests)
+
+
+# --- requests
+
+
+@query("request_sizes", "SELECT doc_id, strlen('{\"component\":' || to_json(source)::VARCHAR || ',\"text\":' || to_json(text)::VARCHAR || '}')::BIGINT + 1024 AS bytes, 100 + 3 * 65536 * (doc_id % 9) AS synthesis FROM documents")
+def _(spark, d):
+    docs = V.table(spark, d, "documents")
+    return docs.select("doc_id", requests.request_bytes(F.col("source").alias("component"), "text").alias("bytes"), requests.synthesis_bytes(F.lit(100).cast("long"), F.col("doc_id") % 9, 65536).alias("synthesis"))
+
+
+@query("strategy_choice", f"""WITH {O.CUR}, c AS (SELECT component_key, root_component, sum(size) FILTER (WHERE triggers)::BIGINT AS bytes, max(size) FILTER (WHERE triggers) AS largest, ['auto', 'dossier', 'fragments'][strlen(component_key) % 3 + 1] AS wanted FROM cur GROUP BY ALL HAVING count(*) FILTER (WHERE triggers) > 0)
+  SELECT component_key, root_component, CASE WHEN wanted = 'fragments' THEN 'fragments' WHEN bytes <= 60000 AND bytes + 1024 <= 50000 THEN 'single' WHEN wanted = 'dossier' THEN CASE WHEN largest > 12000 THEN 'error' ELSE 'batches' END ELSE CASE WHEN largest > 12000 THEN 'fragments' ELSE 'batches' END END AS strategy FROM c""")
+def _(spark, d):
+    c = V.files_cur(spark, d).where("triggers").groupBy(*KEY).agg(F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    wanted = F.element_at(F.array(F.lit("auto"), F.lit("dossier"), F.lit("fragments")), F.octet_length("component_key") % 3 + 1)
+    return c.select(*KEY, requests.strategy(F.col("bytes"), F.col("bytes") + 1024, F.col("largest"), wanted, 60_000, 50_000, 12_000).alias("strategy"))
+
+
+@query("config_impact", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'paths' END, CASE WHEN doc_id % 3 = 0 THEN 'source' END) END AS impact FROM documents""")
+def _(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", F.col("lang").alias("paths"), "source")
+    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "x").otherwise(F.col("paths")).alias("paths"), F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source")).alias("source"))
+    return requests.config_impact(old, docs, "doc_id").select("doc_id", F.array_join("impact", ",").alias("impact"))
+
+
+@query("failure_categories", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'canceled' WHEN 1 THEN 'budget' WHEN 2 THEN 'truncation' WHEN 3 THEN 'provider' WHEN 4 THEN 'transport' ELSE 'other' END AS category, CASE WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN 'full' ELSE 'incremental' END AS kind FROM events""")
+def _(spark, d):
+    n = F.col("event_id")
+    error = F.element_at(F.array(*map(F.lit, ["deadline", "budget", "length", "http_429", "http_503", "odd"])), (n % 6 + 1).cast("int"))
+    return V.table(spark, d, "events").select("event_id", requests.failure_category(error).alias("category"), requests.change_kind(n % 4 == 0, n % 3).alias("kind"))
+
+
+@query("scope_order", """WITH s AS (SELECT conv_id::VARCHAR AS component_key, turn::INTEGER AS batch, 1 AS chunk, 'b' || turn || CASE WHEN role = 'user' THEN '/0' ELSE '' END AS split_path, CASE role WHEN 'user' THEN 'workflows' WHEN 'assistant' THEN 'architecture' ELSE 'interfaces' END AS kind FROM conversations)
+  SELECT component_key, batch, split_path, kind, row_number() OVER (ORDER BY component_key, batch, chunk, len(string_split(split_path, '/')), split_path, kind) AS place FROM s""")
+def _(spark, d):
+    t = V.scopes(spark, d)
+    kind = F.when(F.col("kind") == "user", "workflows").when(F.col("kind") == "assistant", "architecture").otherwise("interfaces")
+    path = F.concat(F.lit("b"), F.col("turn").cast("string"), F.when(F.col("kind") == "user", "/0").otherwise(""))
+    rows = t.select(F.col("conv_id").cast("string").alias("component_key"), F.col("turn").cast("int").alias("batch"), F.lit(1).alias("chunk"), path.alias("split_path"), kind.alias("kind"))
+    return requests.scope_order(rows).select("component_key", "batch", "split_path", "kind", F.col("place").cast("long").alias("place"))
+
+
+_FIXED = "'# Index' || chr(10) || chr(10) || '" + "' || chr(10) || '".join(f"- [{x}]({x})" for x in rendering.DOCUMENTS[1:]) + "' || chr(10) || chr(10)"
+
+
+@query("index_document", f"WITH {O.CUR}, k AS (SELECT DISTINCT component_key, root_component FROM cur) SELECT 'index.md' AS doc, {_FIXED} || string_agg('- [' || replace(component_key, '_', '\\_') || '](components/' || component_key || '/index.md)', chr(10) ORDER BY root_component DESC, component_key) || chr(10) AS content FROM k")
+def _(spark, d):
+    return rendering.joined(rendering.index_lines(V.files_cur(spark, d).select(*KEY).distinct()), ["doc"], ["n", "key"])
+
+
+@query("codebase_document", _SCAN + f""", l AS (SELECT {_LANG} AS language, count(*) AS files FROM scan WHERE role IN ('production_source', 'unknown_source') GROUP BY 1) SELECT 'codebase_info.md' AS doc, '# Codebase' || chr(10) || '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| Tracked files | ' || (SELECT count(*) FROM scan) || ' |' || chr(10)
+  || '| Included files | ' || (SELECT count(*) FROM scan WHERE included) || ' |' || chr(10) || '| Triggering files | ' || (SELECT count(*) FROM scan WHERE triggers) || ' |' || chr(10) || '| Excluded files | ' || (SELECT count(*) FROM scan WHERE NOT included) || ' |' || chr(10) || chr(10)
+  || '| Language | Files |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || language || ' | ' || files || ' |', chr(10) ORDER BY files DESC, language) || chr(10) AS content FROM l""")
+def _(spark, d):
+    decisions = classify.scan(V.tracked(spark, d), POLICY)
+    return rendering.joined(rendering.codebase_info(decisions, classify.language_histogram(decisions)), ["doc"], ["n", "key"])
+
+
+@query("hierarchy_diagram", f"""WITH {O.CUR}, k AS (SELECT component_key, row_number() OVER (ORDER BY component_key) AS n FROM (SELECT DISTINCT component_key FROM cur WHERE component_key <> '@root') QUALIFY n <= 59),
+  p AS (SELECT k.component_key, k.n, coalesce(max_by(q.n, length(q.component_key)), 0) AS pn FROM k LEFT JOIN k q ON starts_with(k.component_key, q.component_key || '/') GROUP BY ALL),
+  l AS (SELECT 1 AS part, n, '  n' || n || '["' || component_key || '"]' AS line FROM p UNION ALL SELECT 2, n, '  n' || pn || ' --> n' || n FROM p) SELECT 'flowchart TD' || chr(10) || '  n0["@root"]' || chr(10) || string_agg(line, chr(10) ORDER BY part, n) AS content FROM l""")
+def _(spark, d):
+    return rendering.hierarchy_text(components.parents(V.files_cur(spark, d)))
+
+
+@query("reused_documents", f"WITH {O.CUR}, {O.OLD} SELECT coalesce(c.path, o.path) AS path, coalesce(c.source_hash, o.source_hash) AS content FROM (SELECT * FROM cur WHERE doc_id % 2 = 0) c FULL JOIN old o ON c.path = o.path")
+def _(spark, d):
+    old, cur = _both(spark, d)
+    return rendering.reused(cur.where("doc_id % 2 = 0").select("path", F.col("source_hash").alias("content")), old.select("path", F.col("source_hash").alias("content")))
+
+
+@query("review_request", f"WITH {O.CUR}, {O.OLD}, s AS (SELECT CASE WHEN c.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'added' WHEN c.source_hash <> o.source_hash THEN 'changed' ELSE 'unchanged' END AS status FROM old o FULL JOIN cur c ON o.path = c.path) SELECT '# Update' || chr(10) || chr(10) || count(*) || ' documents: ' || count(*) FILTER (WHERE status = 'added') || ' added, ' || count(*) FILTER (WHERE status = 'changed') || ' changed, ' || count(*) FILTER (WHERE status = 'deleted') || ' deleted.' || chr(10) AS body FROM s")
+def _(spark, d):
+    old, cur = _both(spark, d)
+    n = output.output_diff(_hashes(cur), _hashes(old)).agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("status") == x).alias(x) for x in ("added", "changed", "deleted")])
+    return n.select(rendering.request_text(F.lit("Update"), F.col("all"), F.col("added"), F.col("changed"), F.col("deleted")).alias("body"))
