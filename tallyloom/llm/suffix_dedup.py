@@ -33,6 +33,8 @@ LENGTH = 200
 QGRAM = 32
 #: Bytes of distinct spans of one bucket that a task refines; beyond it the bucket's windows are counted by Spark.
 BUCKET_BYTES = 8 << 20
+#: Tasks that the copies of one span go to.
+SALTS = 16
 #: Bytes of spans that are refined at once.
 REFINE_BYTES = 2 << 20
 #: Bytes of a document that are searched for anchors at once.
@@ -173,7 +175,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, bucke
     mixed = kept.where(~F.col("alike"))
     # of equal spans one goes on for the others to be held against; each is a repeat itself
     same = stored(mixed.groupBy("bucket", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "last", "lead")).alias("one")))
-    again = mixed.join(same.where("copies > 1").select("bucket", "span"), ["bucket", "span"]).select("row", "first", "last")
+    # a span may have any number of copies: they are dealt out over SALTS tasks
+    twice = same.where("copies > 1").select("bucket", "span", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    again = mixed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(twice, ["bucket", "span", "salt"]).select("row", "first", "last")
     wanted = same.select("bucket", "copies", "one.*")
     want = wanted.groupBy("row").agg(F.collect_list(F.struct("bucket", "copies", "first", "last", "lead")).alias("want"))
     cut = docs.join(want.hint("shuffle_hash"), "row").select("row", F.col("text").cast("binary").alias("text"), "want")
