@@ -45,10 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which the driver removes when it ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), as a Parquet table: smaller than a checkpoint, and columns are read alone."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
+    at = scratch(spark, "table")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

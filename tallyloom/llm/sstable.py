@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, shared_dir, slices
+from .common import read, scratch, slices
 from .tokenize import tokenizer as load_tokenizer
 
 MAGIC = b"TLSSTBL1"
@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     apart, ordered by text; equal rows are all kept. An empty table gives no shards. Other columns are ignored.
     """
     spark = docs.sparkSession
-    base = out or f"{shared_dir(spark)}/sstable-{uuid.uuid4().hex}"
+    base = out or scratch(spark, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # ties need not be put apart by range, but equal identifiers must meet in one shard or in neighbours
     ranged = (rows.repartitionByRange(shards, "id") if shards else rows.repartitionByRange("id")).sortWithinPartitions("id", "text")

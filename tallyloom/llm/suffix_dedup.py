@@ -18,7 +18,6 @@ buckets, one for each anchor q-gram in the whole corpus; the windows of one anch
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, slices, stored
+from .common import read, scratch, slices, stored
 
 LENGTH = 200
 QGRAM = 32
@@ -243,8 +242,9 @@ def by_row(rows: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, bucketed by `row`: what is found for a row meets its text without the
     texts being shuffled again."""
     spark = rows.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tallyloom_{uuid.uuid4().hex}"
-    (rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
+    n, at = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, "rows")
+    name = "tallyloom_" + at.rpartition("-")[2]
+    rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", at).saveAsTable(name)
     return spark.table(name)
 
 
