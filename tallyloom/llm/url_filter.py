@@ -174,14 +174,14 @@ def mark_listed(rows: DataFrame, key: Column, listed: DataFrame, listed_key: Col
     """`rows` with a boolean column `listed`: whether the key is one of the list's.
 
     The universe is all keys of `rows`, so membership is exact for each of them (keys count as equal if their 112
-    hash bits are). No rows are joined. A null key is not listed; null keys of the list are left out. An empty list
+    hash bits are). Nothing is joined: listed and other keys are told apart by one aggregation. A null key is not listed; null keys of the list are left out. An empty list
     lists nothing. Repeated keys on either side don't matter.
     """
     spark = rows.sparkSession
     a, b = key_hashes(key)
-    wanted = stored(listed.select(listed_key.alias("k")).where("k is not null").select(*[c.alias(n) for c, n in zip(key_hashes(F.col("k")), "ab", strict=True)]).distinct())
-    universe = rows.select(key.alias("k")).where("k is not null").select(*[c.alias(n) for c, n in zip(key_hashes(F.col("k")), "ab", strict=True)]).distinct()
-    others = stored(universe.join(wanted, ["a", "b"], "left_anti"))
+    hashed = lambda df, k, flag: df.select(k.alias("k")).where("k is not null").select(*[c.alias(n) for c, n in zip(key_hashes(F.col("k")), "ab", strict=True)], F.lit(flag).alias("l"))
+    keys = stored(hashed(listed, listed_key, True).union(hashed(rows, key, False)).groupBy("a", "b").agg(F.bool_or("l").alias("l")))
+    wanted, others = keys.where("l").select("a", "b"), keys.where("not l").select("a", "b")
     n, m = wanted.count(), others.count()
     size = Level.shape(max(n, 1), min(0.5, max(n, 1) / max(m * math.sqrt(2), 1)))[0] // 4  # bytes, later levels included
     shards, out = max(1, -(-size // most_bytes)), None
