@@ -180,3 +180,21 @@ def test_stream(spark, tmp_path):
     batch = events.windowed_counts(src)
     assert 0 < sum(seen) <= batch.count() and batch.agg(F.sum("n")).first()[0] == src.count()
     assert events.sessions(src).agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_cut_off_scopes_are_halved(spark, tmp_path):
+    from tallyloom.operators import requests
+
+    n = [0]
+
+    def keep(df):
+        n[0] += 1
+        df.write.parquet(str(tmp_path / str(n[0])))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / str(n[0])))
+
+    scopes = spark.createDataFrame([("b1/c1", "a\nb\nc\nd\n"), ("b2/c1", "x"), ("b3/c1", "one long line")], "split_path string, data string")
+    retry = lambda df: df.withColumn("state", F.when(F.length("data") > 6, "truncated").otherwise("complete"))
+    got = {r["split_path"]: r["state"] for r in requests.split_scopes(scopes, retry, keep, 2).collect()}
+    assert got["b1/c1"] == "replaced" and got["b2/c1"] == "complete" and got["b3/c1"] == "pending" and got["b1/c1/0"] == "complete"
+    done = {r["split_path"]: r["done"] for r in coverage.settled(spark.createDataFrame(list(got.items()), "split_path string, state string")).collect()}
+    assert done["b1/c1"] and not done["b3/c1"]
