@@ -156,7 +156,9 @@ def prose_problem(text: Column) -> Column:
         return found
 
     lines = F.filter(F.transform(F.split(text, "\n"), of_line), lambda x: x.isNotNull())
-    return out.otherwise(F.get(lines, F.lit(0)))
+    # most texts have no such line at all, which one search tells
+    any_line = "(?m)^[ \\t]*(?:" + "|".join(rx.replace(r"\A", "") for rx, _ in LINE_RULES) + ")"
+    return out.otherwise(F.when(text.rlike(any_line), F.get(lines, F.lit(0))))
 
 
 def label_problem(text: Column) -> Column:
