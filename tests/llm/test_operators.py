@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.llm import decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, tool_calls, url_filter
 from tallyloom.llm.common import components
 from tallyloom.llm.text_stats import document_stats
@@ -187,6 +188,35 @@ def test_simhash(spark, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_edited_copies_go(spark, odd, empty):
+    """The groups that stay are those of comparing all pairs of whole 5-word shingle sets at 0.8."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):  # chains and stars of edited copies, a word or more at a time
+        words = prose(rng, rng.randrange(60, 400)).split()
+        for _ in range(8):
+            rows.append(" ".join(words))
+            edited = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                edited[rng.randrange(len(words))] = rng.choice(WORDS) + "x"
+            words = edited if rng.random() < 0.6 else words
+    rows += [prose(rng, 60) for _ in range(20)] + ["a b c", "A b  c", "a b d", None, "", " "]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((r or "").lower().split() for r in rows)]
+    root = list(range(len(rows)))
+    exact = len({frozenset(s) for s in sets})
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(i for i, q in enumerate(root) if q == r) for r in root}
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(rows)], DOCS).repartition(5)
+    assert len(least) < exact - 20
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == sorted(least.values())
+    stay = corpus_pipeline.simhash_near_dedup(spark, odd, "")
+    assert stay.columns == odd.columns and sorted(str(r["doc_id"]) for r in stay.collect()) == ["1", "10", "3", "6", "8", "9", "None"]
+    assert corpus_pipeline.simhash_near_dedup(spark, empty, "").count() == 0
+
+
 @pytest.mark.parametrize("paired", [1000, 4])
 def test_links_lose_nothing(spark, monkeypatch, paired):
     monkeypatch.setattr(simhash, "MOST_PAIRED", paired)
