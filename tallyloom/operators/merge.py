@@ -21,24 +21,24 @@ NOTICE_TEXTS = [
 
 
 def merged(items: DataFrame, content: list[str], group: list[str], path: str = "path", most_paths: int = MOST_PATHS) -> DataFrame:
-    """A row for each distinct content of a group: group, content, paths (sorted, the first most_paths), support (all
-    paths), paths_omitted, canonical and digest.
+    """A row for each distinct content of a group: group, content, paths (sorted, the first most_paths), all_paths
+    (uncut), support (their number), paths_omitted, canonical and digest.
 
     Evidence comes as one path a row. Distinct pairs of content and path are found first, with map-side combining,
     so that a repeated pair is not gathered.
     """
     pairs = items.select(*group, *content, F.col(path).alias("p")).distinct()
     rows = pairs.groupBy(*group, *content).agg(F.array_sort(F.collect_list("p")).alias("all"))
-    rows = rows.select(*group, *content, F.slice("all", 1, most_paths).alias("paths"), F.size("all").cast("long").alias("support"), F.greatest(F.size("all") - most_paths, F.lit(0)).cast("long").alias("paths_omitted"))
+    rows = rows.select(*group, *content, F.slice("all", 1, most_paths).alias("paths"), F.col("all").alias("all_paths"), F.size("all").cast("long").alias("support"), F.greatest(F.size("all") - most_paths, F.lit(0)).cast("long").alias("paths_omitted"))
     canonical = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
     return rows.withColumn("canonical", canonical).withColumn("digest", F.sha2(canonical, 256))
 
 
 def conflicts(merged_rows: DataFrame, group: list[str], identity: Column) -> DataFrame:
-    """group, identity, contents, paths: identities with several contents. Empty identities can't conflict."""
-    rows = merged_rows.select(*group, identity.alias("identity"), "paths").where("identity is not null and identity <> ''")
+    """group, identity, contents, paths: identities with several contents, and all their paths, uncut. Empty identities can't conflict."""
+    rows = merged_rows.select(*group, identity.alias("identity"), "all_paths").where("identity is not null and identity <> ''")
     some = rows.groupBy(*group, "identity").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
-    paths = rows.join(some, [*group, "identity"], "left_semi").select(*group, "identity", F.explode("paths").alias("p")).distinct()
+    paths = rows.join(some, [*group, "identity"], "left_semi").select(*group, "identity", F.explode("all_paths").alias("p")).distinct()
     return some.join(paths.groupBy(*group, "identity").agg(F.array_sort(F.collect_list("p")).alias("paths")), [*group, "identity"])
 
 
@@ -51,7 +51,7 @@ def best_supported(merged_rows: DataFrame, group: list[str], name: str, limit: i
     """The `limit` rows of each group with the most support, with their final place in tie-break order as position."""
     by = order_of(name)
     top = merged_rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("support"), *by))).where(F.col("rank") <= limit)
-    return top.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).drop("rank")
+    return top.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).drop("rank", "all_paths")
 
 
 def omitted(merged_rows: DataFrame, group: list[str], limit: int = MOST_ITEMS) -> DataFrame:

@@ -52,6 +52,13 @@ def test_merge_does_not_depend_on_order(spark):
     assert (m["support"], m["paths_omitted"], len(m["paths"])) == (201, 1, 200)
 
 
+def test_conflicts_have_all_paths(spark):
+    rows = [("c", "s", "T", f"D{i % 2}", f"p{i:03}") for i in range(500)]
+    m = merge.merged(spark.createDataFrame(rows, "component_key string, section string, title string, description string, path string"), ["title", "description"], ["component_key", "section"])
+    found = merge.conflicts(m, ["component_key", "section"], F.lower("title")).collect()
+    assert [(r["identity"], r["contents"], r["paths"]) for r in found] == [("t", 2, [f"p{i:03}" for i in range(500)])]
+
+
 def test_changes(spark):
     schema = "path string, source_hash string, role string, triggers boolean, component_key string, root_component boolean"
     f = lambda p, h="h", k="c", t=True: (p, h, "production_source", t, k, False)
