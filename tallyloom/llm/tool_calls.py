@@ -119,10 +119,11 @@ ASK = Tool("ask", {"query": "string", "turn": "integer"}, ("query", "turn"))
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: the table holds no tool calls, so each turn that isn't an assistant's becomes a call, of the tool `ask` for
     a user's and of one that no schema knows for the others; each assistant's turn is the result of the turn before
-    it; and each call comes after the call two turns before, if there is one."""
+    it; and each call comes after the call two turns before, if there is one.
+    A null role is not an assistant's: its turn is a call without a name, which is an unknown_tool."""
     m = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ident = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
-    calls = m.where("role != 'assistant'").select("conv_id", ident(0).alias("call_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "ask").otherwise(F.col("role")).alias("name"), F.to_json(F.struct(F.col("text").alias("query"), "turn")).alias("arguments"), ident(2).alias("after_id"))
+    calls = m.where("not (role <=> 'assistant')").select("conv_id", ident(0).alias("call_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "ask").otherwise(F.col("role")).alias("name"), F.to_json(F.struct(F.col("text").alias("query"), "turn")).alias("arguments"), ident(2).alias("after_id"))
     results = m.where("role = 'assistant'").select("conv_id", ident(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
     return link(calls, results, [ASK])
 

@@ -287,6 +287,13 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.limit(0), r.limit(0), tools).count() == 0
 
 
+def test_a_null_role_is_a_call(spark, tmp_path):
+    rows = [("c", 0, None, "who?"), ("c", 1, "assistant", "me"), ("c", 2, "user", "why?")]
+    spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r["seq"], r["kind"], r["call_id"], r["depth"], r["error"]) for r in tool_calls.query(spark, str(tmp_path)).collect())
+    assert got == [(0, "call", "c0", 1, "unknown_tool"), (1, "result", "c0", 1, None), (2, "call", "c2", 2, "unanswered")]
+
+
 def test_messages_with_calls(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":"{}"},{"id":"b","name":"f","arguments":"{}","after":"a"}]}'), (1, 2, "tool", '{"tool_call_id":"a","content":"x"}'), (1, 3, "assistant", "text"), (1, 4, "assistant", None)]
     calls, results = tool_calls.parse_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
