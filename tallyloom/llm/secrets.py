@@ -63,7 +63,8 @@ class GuessCost:
         self.longest = max(map(len, self.cost), default=0)
         self.follow = _runs(rows)
 
-    def segments(self, value: str) -> Iterator[tuple[int, int, float, str]]:
+    def fixed(self, value: str) -> Iterator[tuple[int, int, float, str]]:
+        """Words, dates and years."""
         n, low = len(value), value.lower()
         plain = low.translate(LEET)
         for i in range(n):
@@ -76,35 +77,40 @@ class GuessCost:
             for rx, cost, kind in ((DATE, DATE_COST, "date"), (YEAR, YEAR_COST, "year")):
                 if value[i].isdigit() and (hit := rx.match(value, i)):
                     yield i, hit.end(), cost, kind
-        for unit in range(1, 9):  # runs of value[i] == value[i + unit]
-            i = 0
-            while i + unit < n:
-                j = i
-                while j + unit < n and value[j] == value[j + unit]:
-                    j += 1
-                size = j - i + unit
-                if j > i and size >= max(3, 2 * unit):
-                    yield i, i + size, sum(map(_brute, value[i : i + unit])) + math.log10(size / unit + 1), "repeat"
-                i = j + 1
-        i = 0
-        while i < n - 2:
-            j = i
-            while j + 1 < n and low[j + 1] in self.follow.get(low[j], ()):
-                j += 1
-            if j - i >= 2:
-                for end in range(i + 3, j + 2) if j - i < 32 else [j + 1]:
-                    yield i, end, math.log10(40 * (end - i)) , "walk"
-            i = max(j, i + 1)
+
+    def segments(self, value: str) -> Iterator[tuple[int, int, float, str]]:
+        """All segments but brute force: (start, end, cost, kind). Runs have many; best() doesn't list them."""
+        yield from self.fixed(value)
+        n, low = len(value), value.lower()
+        for a in range(n):
+            for unit in range(1, 9):
+                for b in range(a + unit + 1, n + 1):
+                    if value[b - 1] != value[b - 1 - unit]:
+                        break
+                    if b - a >= max(3, 2 * unit):
+                        yield a, b, sum(map(_brute, value[a : a + unit])) + math.log10((b - a) / unit + 1), "repeat"
+            for b in range(a + 2, n + 1):
+                if low[b - 1] not in self.follow.get(low[b - 2], ()):
+                    break
+                if b - a >= 3:
+                    yield a, b, math.log10(40 * (b - a)), "walk"
 
     def best(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
-        """The least cost, and the cut that has it."""
-        n = len(value)
+        """The least cost, and the cut that has it.
+
+        A repeat or a walk may start and end anywhere in its run. Its cost grows with its length ever more slowly, and
+        a repeat's unit costs the same at each start of a run: so a start that an earlier one of its run matches can't
+        win at a later end, and is left out from there on.
+        """
+        n, low = len(value), value.lower()
         ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-        for a, b, cost, kind in self.segments(value):
+        for a, b, cost, kind in self.fixed(value):
             ending[b].append((a, cost, kind))
         # brute force extends a span without a joint
         best, brute, how = [0.0] + [math.inf] * n, [math.inf] * (n + 1), [None] * (n + 1)
         from_brute = [0] * (n + 1)
+        # of repeats by unit, and of walks at 0: the run's start, and the starts that may still win with their cost
+        first, live = [0] * 9, [[] for _ in range(9)]
         for i in range(1, n + 1):
             step = _brute(value[i - 1])
             start, longer = best[i - 1] + (JOINT if i > 1 else 0) + step, brute[i - 1] + step
@@ -113,6 +119,24 @@ class GuessCost:
             for a, cost, kind in ending[i]:
                 if (c := best[a] + cost + (JOINT if a else 0)) < best[i]:
                     best[i], how[i] = c, (a, kind)
+            for unit in range(9):
+                if unit and i > unit and value[i - 1] != value[i - 1 - unit]:
+                    first[unit], live[unit] = i - unit, []
+                elif not unit and i > 1 and low[i - 1] not in self.follow.get(low[i - 2], ()):
+                    first[0], live[0] = i - 1, []
+                a = i - max(3, 2 * unit)
+                if a < first[unit]:
+                    continue
+                each = sum(map(_brute, value[a : a + unit])) if unit else math.log10(40)
+                live[unit].append((a, best[a] + (JOINT if a else 0) + each))
+                least, stay = math.inf, []
+                for a, c in live[unit]:
+                    if (now := c + math.log10((i - a) / unit + 1 if unit else i - a)) < least:
+                        least = now
+                        stay.append((a, c))
+                live[unit] = stay
+                if least < best[i]:
+                    best[i], how[i] = least, (stay[-1][0], "repeat" if unit else "walk")
         cut, at = [], n
         while at:
             a, kind = how[at]

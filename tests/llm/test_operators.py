@@ -125,6 +125,30 @@ def test_guess_cost_is_the_least():
         assert cost == pytest.approx(best[-1]) and cut[0][0] == 0 and cut[-1][1] == len(value)
 
 
+def test_guess_cost_takes_any_part_of_a_run():
+    """Walks and repeats by the definition: every span is looked at, whatever run it is part of."""
+    model, rng = secrets.GuessCost(), random.Random(9)
+    near = {p for row in secrets.ROWS for a, b in zip(row, row[1:]) for p in ((a, b), (b, a))}
+    values = ["monkeyuiop12", "xaaaaaab", "abababa1", "9876passw0rd", "aaa" * 15, "qwerty" * 9, "abcdefghijklmnopqrstuvwxyzyxwvutsrqponmlkjihgfedcbapassword"]
+    for value in values + ["".join(rng.choice("aab1qwe2") for _ in range(24)) for _ in range(60)]:
+        n, low = len(value), value.lower()
+        parts = {(a, b): sum(map(secrets._brute, value[a:b])) for a in range(n) for b in range(a + 1, n + 1)}
+        found = [(a, b, cost) for a, b, cost, _ in model.fixed(value)]
+        for a, b in parts:
+            if b - a >= 3 and all((x, y) in near for x, y in zip(low[a:b], low[a + 1 : b])):
+                found.append((a, b, np.log10(40 * (b - a))))
+            for unit in range(1, 9):
+                if b - a >= max(3, 2 * unit) and value[a : b - unit] == value[a + unit : b]:
+                    found.append((a, b, sum(map(secrets._brute, value[a : a + unit])) + np.log10((b - a) / unit + 1)))
+        for a, b, cost in found:
+            parts[a, b] = min(parts[a, b], cost)
+        least = [0.0]
+        for b in range(1, n + 1):
+            least.append(min(least[a] + (secrets.JOINT if a else 0) + parts[a, b] for a in range(b)))
+        assert model.best(value)[0] == pytest.approx(least[-1])
+    assert model.best("monkeyuiop12")[0] < 6 and not secrets.scan_text(b"pwd: monkeyuiop12", model, 8.0)[1]
+
+
 # --- 3
 
 
