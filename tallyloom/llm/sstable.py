@@ -238,6 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 last = doc_id
                 writer.add(make_key(doc_id, seq), np.append(ids[at:to], end_id), wide)
                 at = to
+        encoder.reset()
         if writer is not None:
             writer.finish()
             sink.close()

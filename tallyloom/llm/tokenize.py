@@ -52,10 +52,14 @@ def after(flags: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes that the cached pieces of one Python worker take, about, and what a piece takes beside its own bytes and ids.
+CACHE_BYTES, PIECE_BYTES = 24 << 20, 220
+
+
 class PieceTokenizer:
-    """max_pieces bounds the cache; beyond it the cache starts anew, which changes no result."""
+    """`cache_bytes` bounds the cache; beyond it the cache starts anew before the next texts, which changes no result."""
 
-    def __init__(self, path: str, max_pieces: int = 800_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,12 +70,13 @@ class PieceTokenizer:
         norms = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
         if norms != ["NFC", "Replace", "Lowercase"] or (steps[0].get("pattern") or {}).get("Regex") != PIECES:
             raise ValueError("the cutting into pieces doesn't fit this tokenizer")
-        self.model, self.chars, self.max_pieces = self.tokenizer.model, byte_chars(), max_pieces
+        self.model, self.chars, self.cache_bytes = self.tokenizer.model, byte_chars(), cache_bytes
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.ends = array("I"), array("q", [0])
+        self.held = 0
 
     def learn(self, piece: bytes) -> int:
         if not PLAIN.fullmatch(piece) or b"<|" in piece:
@@ -80,11 +85,12 @@ class PieceTokenizer:
             ids = [t.id for t in self.model.tokenize(piece.decode() if piece.isascii() else "".join(map(self.chars.__getitem__, piece)))]
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
+        self.held += PIECE_BYTES + len(piece) + 4 * len(ids)
         return len(self.ends) - 2
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a binary array's texts in order, and where each text's ids end. Nulls count as empty."""
-        if len(self.known) > self.max_pieces:
+        if self.held > self.cache_bytes:
             self.reset()
         texts = [x or b"" for x in text.to_pylist()]
         buf = np.frombuffer(b" ".join(texts), dtype=np.uint8)
@@ -137,7 +143,7 @@ class PieceTokenizer:
         return ids, out_ends[np.searchsorted(at, text_ends - 1, side="left")]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def tokenizer(path: str) -> PieceTokenizer:
-    """One for each Python worker, so that its cache outlives a task."""
+    """One for each Python worker: the vocabulary is read once. A task empties the cache of pieces when it ends."""
     return PieceTokenizer(path)
