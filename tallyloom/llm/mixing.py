@@ -84,21 +84,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents in training order: a row for each copy that the mix takes, with all columns of `docs`,
-    range-partitioned and sorted by position. Rows equal in identifier, text and source are one document here,
-    with the other columns of one of them, taken as often as all of them together."""
+    range-partitioned and sorted by position, then by identifier and text. Rows equal in identifier, text and source
+    are one document here, taken as often as all of them together, with the columns of the row that has the least
+    hash of all its columns. Null texts and sources are documents and a source like others; an empty table gives none."""
     p = free_prefix(docs, "mix_")
     plan = mix(docs, id_col, text_col, source_col, **options)
-    copies = plan.select(*[F.col(c).alias(p + c) for c in ("doc_id", "source", "h")], F.explode("positions").alias(f"{p}at"))
-    one = docs.dropDuplicates([id_col, source_col, text_col])
-    same = one[id_col].eqNullSafe(F.col(f"{p}doc_id")) & one[source_col].eqNullSafe(F.col(f"{p}source")) & (dealt(one[id_col], one[text_col]) == F.col(f"{p}h"))
-    order = [f"{p}at", f"{p}doc_id", f"{p}h"]
-    return one.join(copies, same).repartitionByRange(*order).sortWithinPartitions(*order).select(*[one[c] for c in docs.columns])
+    named = lambda i, s, h: {f"{p}id": F.coalesce(i.cast("string"), F.lit("")), f"{p}no": F.coalesce(i.isNull().cast("int") + 2 * s.isNull().cast("int"), F.lit(0)), f"{p}of": F.coalesce(s.cast("string"), F.lit("")), f"{p}h": h}
+    keys = [f"{p}{k}" for k in ("id", "no", "of", "h")]
+    copies = plan.select(*[c.alias(k) for k, c in named(F.col("doc_id"), F.col("source"), F.col("h")).items()], F.explode("positions").alias(f"{p}at"))
+    one = docs.withColumns(named(F.col(id_col), F.col(source_col), dealt(F.col(id_col), F.col(text_col))))
+    first = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
+    one = one.withColumn(f"{p}nth", F.row_number().over(first)).where(F.col(f"{p}nth") == 1)
+    order = [f"{p}at", f"{p}id", f"{p}h", f"{p}of"]
+    return one.join(copies, keys).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: size, source_size, target and taken of every document, and its copies' positions."""
+    """op3: size, source_size, target and taken of every document, and the training positions of the copies that the
+    mix takes (position the first, again the second), range-sorted by the first; what isn't taken comes last."""
     plan = mix(read(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("positions", F.lit(1)), 6).alias("position"))
+    at = [F.round(F.try_element_at("positions", F.lit(k)), 6).alias(n) for k, n in ((1, "position"), (2, "again"))]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", *at).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 #: The same in DuckDB's SQL. The middle of a copy must lie below the target; its time is the schedule's inverse.
@@ -121,6 +127,8 @@ m AS (
 SELECT doc_id, size, source_size, target,
        size * ((size > 0 AND middle < target)::BIGINT + (size > 0 AND middle + source_size < target)::BIGINT) AS taken,
        CASE WHEN size > 0 AND middle < target THEN
-         round(2 * (middle / target) * ((r0 + r1) / 2) / (r0 + sqrt(greatest(r0 * r0 + 4 * ((r1 - r0) / 2) * (middle / target) * ((r0 + r1) / 2), 0.0))), 6) END AS position
+         round(2 * (middle / target) * ((r0 + r1) / 2) / (r0 + sqrt(greatest(r0 * r0 + 4 * ((r1 - r0) / 2) * (middle / target) * ((r0 + r1) / 2), 0.0))), 6) END AS position,
+       CASE WHEN size > 0 AND middle + source_size < target THEN
+         round(2 * ((middle + source_size) / target) * ((r0 + r1) / 2) / (r0 + sqrt(greatest(r0 * r0 + 4 * ((r1 - r0) / 2) * ((middle + source_size) / target) * ((r0 + r1) / 2), 0.0))), 6) END AS again
 FROM m
 """

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, free_prefix, read, slices, stored
+from .common import components, read, slices, stored
 
 BITS = 64
 #: Fingerprints of one variant that are compared pair by pair; larger groups take the two-wildcard way.
@@ -99,38 +99,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(_component_of(rows), "fp").select("doc_id", "fp", "component_id")
 
 
-def _root_of(rows: DataFrame) -> DataFrame:
-    """(fp, least, root) of each distinct fingerprint of (doc_id, fp): its smallest identifier, and the fingerprint
-    that stands for its component."""
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")))
-    return stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-
-
 def _component_of(rows: DataFrame) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint of (doc_id, fp)."""
-    placed = _root_of(rows)
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp")))
+    placed = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(ids, "root").select("fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all columns, less all but one of each component: the one with the smallest identifier
-    stays, null identifiers come last, and of several texts under it the one with the least hash. Rows equal in
-    identifier and text are one document, with the other columns of one of them."""
-    key = F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
-    rows = stored(fingerprints(rows, more=("key",)))
-    placed = _root_of(rows).select("fp", "root")
-    # the least row of each fingerprint, then of each component: both with map-side combining
-    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    stay = rows.groupBy("fp").agg(F.min(least).alias("f")).join(placed, "fp").groupBy("root").agg(F.min("f").alias("f"))
-    p = free_prefix(docs, "stay_")
-    stay = stay.select(F.col("f.doc_id").alias(f"{p}id"), F.col("f.key").alias(f"{p}of"))
-    one = docs.withColumn(f"{p}key", key).dropDuplicates([id_col, f"{p}key"])
-    return one.join(stay, one[id_col].eqNullSafe(stay[f"{p}id"]) & (one[f"{p}key"] == stay[f"{p}of"]), "left_semi").drop(f"{p}key")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document's fingerprint as 16 lowercase hex digits, and its component."""
     found = near_duplicates(read(spark, sf_dir, "documents"))

@@ -14,6 +14,9 @@ A key is the document identifier, big endian with the sign bit flipped so that b
 one byte that is 0 for a null identifier (nulls sort first) and 1 else, and followed by a 4-byte sequence number
 within equal identifiers: repeated identifiers keep all their rows. A value is the ids, 2 bytes each where the
 vocabulary allows and 4 else (the first value byte says which).
+
+Rows may have a place of their own instead, such as that in a training mix: then the place is the key, and the value's
+first byte is 16 more and the identifier (a byte that is 0 for null, and 8 bytes) comes before the ids.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +42,8 @@ from .tokenize import tokenizer as load_tokenizer
 MAGIC = b"TLSSTBL1"
 FOOTER = struct.Struct("<7Q8s")
 BLOCK_BYTES = 64 << 10
+#: Bytes of text that are tokenised at once; a longer document is a step of its own.
+ENCODE_BYTES = 1 << 20
 BITS_PER_KEY = 10
 HASHES = 7
 
@@ -82,12 +88,37 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def encode_value(ids: np.ndarray, wide: bool) -> bytes:
-    return (b"\4" if wide else b"\2") + ids.astype("<u4" if wide else "<u2").tobytes()
+#: What the first byte of a value has more if the identifier is in the value, and the bytes that this takes.
+WITH_ID, ID_BYTES = 16, 9
+
+
+def encode_value(ids: np.ndarray, wide: bool, identifier: bytes = b"") -> bytes:
+    return bytes([(4 if wide else 2) + (WITH_ID if identifier else 0)]) + identifier + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 def decode_value(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, dtype="<u4" if value[0] == 4 else "<u2", offset=1).astype("<u4")
+    size, with_id = value[0] & 7, value[0] & WITH_ID
+    return np.frombuffer(value, dtype="<u4" if size == 4 else "<u2", offset=1 + (ID_BYTES if with_id else 0)).astype("<u4")
+
+
+def entry_id(key: bytes, value: bytes) -> int | None:
+    """The document's identifier, wherever the entry has it."""
+    return key_id(value[1 : 1 + ID_BYTES]) if value[0] & WITH_ID else key_id(key)
+
+
+def read_order(docs: DataFrame) -> Column:
+    """The place of each row in the order of the Parquet files that `docs` was read from, as Spark names them
+    (part-N, -cN) and within them: the order in which a sorted table was written. Where the rows have no such
+    file, the order of their partitions."""
+    as_dealt = F.monotonically_increasing_id()
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return as_dealt
+    name = F.col("_metadata.file_name")
+    part, chunk = (F.try_to_number(F.regexp_extract(name, rx, 1), F.lit("9999999999")) for rx in (r"^part-(\d+)", r"-c(\d+)\."))
+    placed = F.shiftleft(part.cast("long"), 40) + F.shiftleft(F.coalesce(chunk, F.lit(0)).cast("long"), 30) + F.col("_metadata.row_index")
+    return F.coalesce(placed, as_dealt)
 
 
 class ShardWriter:
@@ -100,14 +131,14 @@ class ShardWriter:
         self.entries = self.ids = self.at = 0
         self.zip = zstandard.ZstdCompressor(level=1)
 
-    def add(self, key: bytes, ids: np.ndarray, wide: bool) -> None:
+    def add(self, key: bytes, ids: np.ndarray, wide: bool, identifier: bytes = b"") -> None:
         shared = 0
         if self.block:
             while shared < len(key) and key[shared] == self.last[shared]:
                 shared += 1
         else:
             self.first = key
-        value = encode_value(ids, wide)
+        value = encode_value(ids, wide, identifier)
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         if not self.heads or self.heads[-1] != key[:9]:
             self.heads.append(key[:9])
@@ -201,7 +232,7 @@ class ShardReader:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, out: str | None = None, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, out: str | None = None, shards: int | None = None, place: Column | None = None) -> DataFrame:
     """Tokenises whole texts and writes shards in ascending identifier order below `out` (default: the shared folder).
 
     Returns (shard int, path string, entries long, ids long), a row for each shard, from a table that was written:
@@ -210,13 +241,16 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     then renamed, so that a retried or lost task leaves no half file under a listed name.
 
     Null texts count as empty and give the end id alone. Null identifiers sort first. Equal identifiers stay
-    apart, ordered by text; equal rows are all kept. An empty table gives no shards. Other columns are ignored.
+    apart, ordered by a hash of the text; equal rows are all kept. An empty table gives no shards. Other columns are ignored.
+    With `place`, a long column, shards are in its ascending order (equal places by text), and keys are places.
     """
-    spark = docs.sparkSession
+    spark, placed = docs.sparkSession, place is not None
     base = out or scratch(spark, "shards")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # ties need not be put apart by range, but equal identifiers must meet in one shard or in neighbours
-    ranged = (rows.repartitionByRange(shards, "id") if shards else rows.repartitionByRange("id")).sortWithinPartitions("id", "text")
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select((doc_id if place is None else place).alias("key"), F.col(text_col).cast("string").alias("text"), *([] if place is None else [doc_id.alias("id")]))
+    # a key of very many rows is dealt out over several shards by a hash of the text, which sorts before the text in it
+    order = ["key", F.xxhash64("text")]
+    ranged = (rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)).sortWithinPartitions(*order, "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -226,17 +260,19 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         fs, root = open_fs(base)
         name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         wide = max(encoder.size, end_id + 1) > 1 << 16
-        for batch, text in slices(batches, 1):
+        for batch, text in slices(batches, 1, ENCODE_BYTES):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{name}.tmp")
                 writer = ShardWriter(sink)
             ids, ends = encoder.encode(text)
             at = 0
-            for doc_id, to in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
-                seq = seq + 1 if doc_id == last else 0
-                last = doc_id
-                writer.add(make_key(doc_id, seq), np.append(ids[at:to], end_id), wide)
+            keys = batch.column(0).to_pylist()
+            names = [make_key(i)[:ID_BYTES] for i in batch.column(2).to_pylist()] if placed else [b""] * len(keys)
+            for key, name_, to in zip(keys, names, ends.tolist(), strict=True):
+                seq = seq + 1 if key == last else 0
+                last = key
+                writer.add(make_key(key, seq), np.append(ids[at:to], end_id), wide, name_)
                 at = to
         encoder.reset()
         if writer is not None:
@@ -253,7 +289,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shard files alone.
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shard files alone, in their order.
 
     start counts the ids of all documents before, over all shards; the counts before each shard come from the
     manifest, one row a shard. ids_crc32 is over the ids as little-endian unsigned 32-bit integers.
@@ -273,7 +309,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 reader, start, rows = ShardReader(path), starts.value[shard], []
                 for key, value in reader:
                     ids = decode_value(value)
-                    rows.append((key_id(key), start, len(ids), zlib.crc32(ids.tobytes())))
+                    rows.append((entry_id(key, value), start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
                     if len(rows) == 10_000:
                         yield as_batch(rows)

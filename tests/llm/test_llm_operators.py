@@ -207,9 +207,6 @@ def test_simhash(spark, odd, empty):
     got = simhash.near_duplicates(odd)
     assert got.count() == odd.count() and got.where("fp = 0").select("component_id").distinct().count() == 1
     assert simhash.near_duplicates(empty).count() == 0
-    stay = simhash.one_of_each(odd)
-    assert stay.columns == odd.columns and stay.count() == simhash._root_of(simhash.fingerprints(odd)).select("root").distinct().count()
-    assert simhash.one_of_each(empty).count() == 0
 
 
 def test_edited_copies_go(spark, odd, empty):
@@ -407,7 +404,7 @@ def test_shards(spark, odd, empty, tmp_path):
     df = odd.select("doc_id", "text").unionByName(more)
     manifest = sstable.write_shards(df, TOKENIZER, out=str(tmp_path / "out"), shards=3)
     got = [tuple(r) for r in sstable.read_shards(manifest).orderBy("start").collect()]
-    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63) % 2**64 if r[1] is not None else 42 + 2**63))
     want, at = [], 0
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -424,6 +421,20 @@ def test_shards(spark, odd, empty, tmp_path):
     assert sstable.read_shards(sstable.write_shards(empty, TOKENIZER)).count() == 0
 
 
+def test_the_mix_order_is_in_the_shards(spark, odd, empty, tmp_path):
+    mixed = mixing.curriculum(odd.withColumns({"text": F.col("text"), "mix_id": F.lit("x")}))
+    order = [r["doc_id"] for r in mixed.collect()]
+    assert len(order) > 5 and order == [r["doc_id"] for r in mixing.curriculum(odd).collect()]
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    back = spark.read.parquet(str(tmp_path / "mixed")).repartition(5)
+    table = spark.read.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.token_shards(spark, table, "").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == order
+    # rows without a file are taken in the order of their partitions
+    assert corpus_pipeline.token_shards(spark, back.select("*").sort("doc_id", "text"), "").count() == len(order)
+    assert corpus_pipeline.token_shards(spark, empty, "").count() == 0
+
+
 def test_blocks_and_lookup(tmp_path):
     path = tmp_path / "s.sst"
     with path.open("wb") as sink:
