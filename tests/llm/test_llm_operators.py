@@ -388,9 +388,29 @@ def test_lookup_finds_all_within_radius():
     rng = np.random.default_rng(5)
     index = decontaminate.ItemIndex([(i, " ".join(f"w{rng.integers(9)}" for _ in range(12)).encode()) for i in range(50)])
     at, items, _ = index.by_size[12]
-    fps = np.concatenate([items, rng.integers(0, 2**63, 200, dtype=np.uint64), items ^ np.uint64((1 << 24) - 1)])
+    far = lambda n: np.array([sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for _ in range(len(items))], np.uint64)
+    fps = np.concatenate([items, rng.integers(0, 2**63, 200, dtype=np.uint64), *(items ^ far(n) for n in range(1, 20)), *(items ^ far(15) for _ in range(40))])
     near = {(w, int(at[i])) for w in range(len(fps)) for i in range(len(items)) if int(fps[w] ^ items[i]).bit_count() <= decontaminate.RADIUS}
-    assert set(index.lookup(12, fps)) == near
+    assert set(index.lookup(12, fps)) == near and len(near) > 50 * 50
+
+
+def test_recall_of_edited_items():
+    """Items with as many words changed as similarity 0.8 allows: the fingerprints' radius keeps 0.9 of them or more."""
+    rng = random.Random(12)
+    items = [prose(rng, rng.choice([15, 25, 40, 60])) for _ in range(400)]
+    index = decontaminate.ItemIndex([(i, t.encode()) for i, t in enumerate(items)])
+    held = found = 0
+    for i, t in enumerate(items):
+        words = decontaminate.normal_words(t.encode())
+        edited = list(words)
+        for _ in range(6):  # ends and neighbours, so that a change costs few shingles
+            edited[rng.choice([0, 1, -1, -2, rng.randrange(len(edited))])] = rng.choice(WORDS).encode() + b"q"
+            similar = decontaminate.weighted_similarity(decontaminate.shingle_hashes(edited), decontaminate.shingle_hashes(words))
+            if similar < 0.8:
+                break
+            held += 1
+            found += any(index.ids[k] == i for k, _, _ in index.find(b"x y z " + b" ".join(edited) + b" z y x"))
+    assert held > 300 and found >= 0.95 * held
 
 
 # --- 9
