@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ KINDS = ["assign", "access", "hex", "guess"]
 CONTEXT = re.compile(r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|signing|auth)[_-]?key|client[_-]?secret|credentials?|bearer|auth(?:orization)?))["']?[\x20\t]{0,8}(?::=|=>|[:=])[\x20\t]{0,8}["'`]?(?ai:bearer\x20)?([^\s"'`,;<>]{6,})""")
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth")
 
-# Common parts of weak passwords, the most common first.
+# Common parts of weak passwords, the most common first; a ranked vocabulary may follow them.
 WORDS = """password admin letmein welcome monkey dragon login master qwerty secret test example changeme default
 guest root user hello sunshine princess football baseball shadow superman batman trustno freedom whatever starwars
 summer winter spring autumn monday friday january love money please access pass token key api my your the sample dummy
@@ -33,6 +35,18 @@ service company account public private temp demo prod dev local host""".split()
 ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
 LEET = str.maketrans("@4310$5!7", "aaeiosslt")
 
+#: Signs of a repeat's unit at most. It is part of the model: a longer unit takes 10^9 guesses by itself.
+MOST_UNIT = 8
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The whole words of a word-level BPE tokenizer's vocabulary, the most common first: its tokens stand in order of
+    merging, and "</w>" ends a word. Words of fewer than three letters, and what isn't a word, are left out."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return [w[:-4] for w in sorted(vocabulary, key=vocabulary.get) if w.endswith("</w>") and len(w) > 6 and w[:-4].isalpha()]
+
+
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
 #: log10 of the guesses for a date and a year, and what each further segment adds.
@@ -55,11 +69,12 @@ def _runs(lines: list[str], least: int = 3) -> dict[str, set[str]]:
 
 class GuessCost:
     """log10 of the guesses for a value: the cheapest way to cut it into common words (in any case, with usual
-    replacements), dates, years, repeats of up to 8 signs, walks on a keyboard or an alphabet, and single signs
-    found by brute force. Time grows with the value's length; no value is cut off."""
+    replacements), dates, years, repeats of a unit of up to MOST_UNIT signs, walks on a keyboard or an alphabet, and
+    single signs found by brute force. A word's guesses are its rank in `words`, the first place of several. Time
+    grows with the value's length; no value is cut off."""
 
     def __init__(self, words: list[str] = WORDS, rows: list[str] = ROWS):
-        self.cost = {w: math.log10(i + 2) for i, w in enumerate(words) if len(w) > 1}
+        self.cost = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words))) if len(w) > 1}
         self.longest = max(map(len, self.cost), default=0)
         self.follow = _runs(rows)
 
@@ -83,7 +98,7 @@ class GuessCost:
         yield from self.fixed(value)
         n, low = len(value), value.lower()
         for a in range(n):
-            for unit in range(1, 9):
+            for unit in range(1, MOST_UNIT + 1):
                 for b in range(a + unit + 1, n + 1):
                     if value[b - 1] != value[b - 1 - unit]:
                         break
@@ -110,7 +125,7 @@ class GuessCost:
         best, brute, how = [0.0] + [math.inf] * n, [math.inf] * (n + 1), [None] * (n + 1)
         from_brute = [0] * (n + 1)
         # of repeats by unit, and of walks at 0: the run's start, and the starts that may still win with their cost
-        first, live = [0] * 9, [[] for _ in range(9)]
+        first, live = [0] * (MOST_UNIT + 1), [[] for _ in range(MOST_UNIT + 1)]
         for i in range(1, n + 1):
             step = _brute(value[i - 1])
             start, longer = best[i - 1] + (JOINT if i > 1 else 0) + step, brute[i - 1] + step
@@ -119,7 +134,7 @@ class GuessCost:
             for a, cost, kind in ending[i]:
                 if (c := best[a] + cost + (JOINT if a else 0)) < best[i]:
                     best[i], how[i] = c, (a, kind)
-            for unit in range(9):
+            for unit in range(MOST_UNIT + 1):
                 if unit and i > unit and value[i - 1] != value[i - 1 - unit]:
                     first[unit], live[unit] = i - unit, []
                 elif not unit and i > 1 and low[i - 1] not in self.follow.get(low[i - 2], ()):
@@ -152,22 +167,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def guessed_spans(text: str, model: GuessCost, least_cost: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-    """Values in a credential's context that take 10**least_cost guesses or more and touch no span of `taken`."""
-    out = []
-    for m in CONTEXT.finditer(text):
-        if not any(a < m.end(1) and m.start(1) < b for a, b, _ in taken):
-            cost, _ = model.best(m[1])
-            if cost >= least_cost:
-                out.append((m.start(1), m.end(1), "guess", cost))
-    return out
+@dataclass(frozen=True)
+class Value:
+    """A value in a credential's context: its place in code points, its cost and the cut that has it."""
+
+    start: int
+    end: int
+    cost: float
+    cut: list[tuple[int, int, str]]
+
+
+def context_values(text: str, model: GuessCost) -> list[Value]:
+    """Every value in a credential's context, those of base spans too."""
+    return [Value(*m.span(1), *model.best(m[1])) for m in CONTEXT.finditer(text)]
 
 
 _LONG_HEX = re.compile(rb"[0-9a-f]{32}")
 
 
-def scan_text(raw: bytes | None, model: GuessCost, least_cost: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
-    """Base spans and added spans of a whole text, in code points. Bytes are looked at first, as most texts have none."""
+def scan_text(raw: bytes | None, model: GuessCost) -> tuple[list[tuple[int, int, str]], list[Value]]:
+    """Base spans and scored values of a whole text, in code points. Bytes are looked at first, as most texts have none."""
     if not raw:
         return [], []
     low = raw.lower()
@@ -175,32 +194,38 @@ def scan_text(raw: bytes | None, model: GuessCost, least_cost: float) -> tuple[l
     if not hint and b"AKIA" not in raw and not _LONG_HEX.search(raw):
         return [], []
     text = raw.decode("utf-8", "replace")
-    base = base_spans(text)
-    return base, guessed_spans(text, model, least_cost, base) if hint else []
+    return base_spans(text), context_values(text, model) if hint else []
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 8.0, words: list[str] = WORDS, rows: list[str] = ROWS) -> DataFrame:
-    """(doc_id, text, spans): spans are structs of start, end (code points, end exclusive), kind and cost (of added
-    ones), by start and then kind.
-
-    The document's whole text is searched. Null texts count as empty and have no spans. Each row is judged alone:
-    repeated rows give repeated results. Other columns are ignored; an empty table gives none.
+    """(doc_id, spans, scored): spans are structs of start, end (code points, end exclusive), kind and cost, by start and
+    then kind; scored are the values in a credential's context with their cost (log10 of the guesses) and the cut that
+    has it, as kind:start:end of each segment, joined by blanks.
+
+    The spans are the base ones, without a cost, and one of kind "guess" for each scored value that takes 10**least_cost
+    guesses or more, also inside a base span. The document's whole text is searched. Null texts count as empty and
+    have none. Each row is judged alone: repeated rows give repeated results, null identifiers are kept. Other columns
+    are ignored; an empty table gives none.
     """
     span = "array<struct<start:int,end:int,kind:string,cost:double>>"
+    value = "array<struct<start:int,end:int,cost:double,cut:string>>"
+    ranked = docs.sparkSession.sparkContext.broadcast(words)  # a dictionary that was given
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = GuessCost(words, rows)
+        model = GuessCost(ranked.value, rows)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("cost", pa.float64())]))
+        kept = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64()), ("cut", pa.string())]))
         for batch, text in slices(batches, 1):
-            found = []
+            found, scored = [], []
             for raw in text.to_pylist():
-                base, more = scan_text(raw, model, least_cost)
-                all_ = sorted([(*s, None) for s in base] + more, key=lambda s: (s[0], KINDS.index(s[2])))
-                found.append([{"start": a, "end": b, "kind": k, "cost": c} for a, b, k, c in all_])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+                base, values = scan_text(raw, model)
+                all_ = [(*s, None) for s in base] + [(v.start, v.end, "guess", v.cost) for v in values if v.cost >= least_cost]
+                found.append([{"start": a, "end": b, "kind": k, "cost": c} for a, b, k, c in sorted(all_, key=lambda s: (s[0], KINDS.index(s[2])))])
+                scored.append([{"start": v.start, "end": v.end, "cost": v.cost, "cut": " ".join(f"{k}:{v.start + a}:{v.start + b}" for a, b, k in v.cut)} for v in values])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind), pa.array(scored, kept)], names=["doc_id", "spans", "scored"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id long, spans {span}")
+    return src.mapInArrow(run, f"doc_id long, spans {span}, scored {value}")
 
 
 def redact(text: str, spans: list, mask: Callable[[str], str] = lambda kind: f"[{kind}]") -> str:
@@ -214,12 +239,17 @@ def redact(text: str, spans: list, mask: Callable[[str], str] = lambda kind: f"[
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: counts and digests of the spans of every document."""
-    found = scan(read(spark, sf_dir, "documents"))
+    """op2: counts and digests of the spans of every document, and the cost and cut of every value in a credential's
+    context; words are ranked by the list above and then by a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    words = WORDS + vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))
+    found = scan(read(spark, sf_dir, "documents"), words=words)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    costs = F.array_join(F.transform("scored", lambda v: F.concat(v["start"], F.lit(":"), v["end"], F.lit(":"), F.format_number(v["cost"], 6), F.lit(":"), v["cut"])), ",")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("scored").cast("long").alias("n_scored"), costs.alias("costs"))
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

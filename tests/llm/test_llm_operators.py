@@ -105,6 +105,10 @@ def test_secrets(spark, odd, empty):
         want += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 16]
         want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 32]
         assert [s for s in got[i] if s[2] != "guess"] == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+    # the value of a base span is scored too, and a costly one is a span of its own
+    assert got[2] == [(0, 22, "assign"), (9, 22, "guess")] and got[0] == [(0, 20, "assign")]
+    scored = {r["doc_id"]: [(v["start"], v["end"], round(v["cost"], 3), v["cut"]) for v in r["scored"]] for r in secrets.scan(df).collect()}
+    assert scored[0] == [(12, 20, 2.505, "walk:12:20")] and scored[3] == [(6, 22, 6.965, "word:6:12 brute:12:13 walk:13:21 brute:21:22")] and scored[11] == []
     assert [s[2] for s in got[8]] == ["guess"] and texts[8][slice(*got[8][0][:2])] == "xK9$mQ2!vLp7" and got[9] == []
     assert got[3] == [(0, 22, "assign")] and secrets.redact(texts[0], got[0]) == "[assign]\""
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
@@ -146,7 +150,38 @@ def test_guess_cost_takes_any_part_of_a_run():
         for b in range(1, n + 1):
             least.append(min(least[a] + (secrets.JOINT if a else 0) + parts[a, b] for a in range(b)))
         assert model.best(value)[0] == pytest.approx(least[-1])
-    assert model.best("monkeyuiop12")[0] < 6 and not secrets.scan_text(b"pwd: monkeyuiop12", model, 8.0)[1]
+    assert model.best("monkeyuiop12")[0] < 6 and secrets.scan_text(b"pwd: monkeyuiop12", model)[1][0].cost < 6
+
+
+def test_every_value_of_a_table_is_scored(spark):
+    """Costs of the query on real rows against a programme that looks at every span of a value by definition."""
+    words = secrets.WORDS + secrets.vocabulary_words(TOKENIZER)
+    rank, near = {}, {p for row in secrets.ROWS for a, b in zip(row, row[1:]) for p in ((a, b), (b, a))}
+    for i, w in enumerate(words):
+        rank.setdefault(w, i)
+    brute = lambda t: sum(1.0 if c.isdigit() else np.log10(26) if c.isalpha() else np.log10(33) for c in t)
+
+    def span_cost(t):
+        found, low = [brute(t)], t.lower()
+        for text, extra in ((low, 0.0), (low.translate(secrets.LEET), 0.5)):
+            if len(t) > 1 and text in rank:
+                upper = sum(map(str.isupper, t))
+                found.append(np.log10(rank[text] + 2) + extra + (0 if not upper else 0.3 if upper == len(t) or (upper == 1 and t[0].isupper()) else 0.3 * upper))
+                break
+        found += [np.log10(366 * 120)] if (m := secrets.DATE.match(t)) and m.end() == len(t) else []
+        found += [np.log10(120)] if re.fullmatch(r"(?:19|20)\d\d", t) else []
+        found += [np.log10(40 * len(t))] if len(t) >= 3 and all(p in near for p in zip(low, low[1:])) else []
+        found += [brute(t[:u]) + np.log10(len(t) / u + 1) for u in range(1, 9) if len(t) >= max(3, 2 * u) and t[:-u] == t[u:]]
+        return min(found)
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    rows = [(r["doc_id"], c.split(":", 3)) for r in secrets.query(spark, "/root/testdata/sf0.01").where("n_scored > 0").collect() for c in r["costs"].split(",")]
+    assert len(rows) >= 10
+    for doc, (a, b, cost, _) in rows:
+        value, least = docs[doc][int(a) : int(b)], [0.0]
+        for end in range(1, len(value) + 1):
+            least.append(min(least[k] + (secrets.JOINT if k else 0) + span_cost(value[k:end]) for k in range(end)))
+        assert float(cost) == pytest.approx(least[-1], abs=1e-5)
 
 
 # --- 3
