@@ -343,6 +343,28 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.limit(0), r.limit(0), tools).count() == 0
 
 
+def test_schemas(spark):
+    """Enums, bounds, nested objects, items of arrays, and names with dots, blanks and quotes."""
+    schema = {"a.b": "integer", "x y": "string", "it's": "boolean", "e": {"type": "string", "enum": ["u", "é"]}, "n": {"type": "number", "minimum": 1, "maximum": 2.5}, "l": {"type": "array", "items": {"type": "integer", "minimum": 0}}, "o": {"type": "object", "properties": {"p": {"type": "object", "properties": {"q": "string"}}}, "required": ["p"]}}
+    cases = {
+        '{"a.b":1,"x y":"s","it\'s":true,"e":"é","n":2.5,"l":[1,2],"o":{"p":{"q":"r"}}}': None, '{"a.b":"1"}': "type:a.b", '{"a":{"b":1}}': "unknown:a", '{"x y":1}': "type:x y", '{"it\'s":0}': "type:it's", '{"e":"w"}': "enum:e", '{"n":0.5}': "minimum:n", '{"n":3}': "maximum:n", '{"n":"3"}': "type:n",
+        '{"l":[1,"2",-1]}': "type:l[]", '{"l":[1,-1,"2"]}': "minimum:l[]", '{"l":[]}': None, '{"l":{}}': "type:l", '{"o":{}}': "missing:o.p", '{"o":{"p":{},"z":1}}': "unknown:o.z", '{"o":{"p":{"q":1}}}': "type:o.p.q", '{"o":{"p":1}}': "type:o.p", '{"e":null}': "type:e", "{}": None,
+    }
+    df = spark.createDataFrame([("t", a) for a in cases], "name string, arguments string")
+    got = {r["arguments"]: r["e"] for r in df.select("arguments", tool_calls.argument_error(F.col("name"), F.col("arguments"), [tool_calls.Tool("t", schema)]).alias("e")).collect()}
+    assert got == cases
+    with pytest.raises(ValueError):
+        tool_calls.argument_error(F.col("name"), F.col("arguments"), [tool_calls.Tool("t", {"a'\"": "string"})])
+
+
+def test_long_chains(spark):
+    """Depths along one chain of a conversation beside short ones, a circle, and columns with the names of helpers."""
+    rows = [(1, f"c{i}", f"c{i - 1}" if i else None) for i in range(70)] + [(2, "a", "b"), (2, "b", "a"), (2, "c", "b"), (3, "a", None)]
+    calls = spark.createDataFrame([(v, i, 0, "f", "{}", a) for v, i, a in rows], "conv_id long, call_id string, seq long, name string, arguments string, after_id string").select("*", *[F.lit("x").alias(c) for c in ("h", "called", "depth", "call_h", "result_seq", "known", "ptr")])
+    got = {(r["conv_id"], r["call_id"]): r["depth"] for r in tool_calls.link(calls, calls.selectExpr("conv_id", "call_id", "seq", "'r' content", "'x' h").limit(0), [tool_calls.Tool("f")]).collect()}
+    assert got == {(1, f"c{i}"): i + 1 for i in range(70)} | {(2, x): None for x in "abc"} | {(3, "a"): 1}
+
+
 def test_a_null_role_is_a_call(spark, tmp_path):
     rows = [("c", 0, None, "who?"), ("c", 1, "assistant", "me"), ("c", 2, "user", "why?")]
     spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
