@@ -11,12 +11,15 @@ buckets, one for each anchor q-gram in the whole corpus; the windows of one anch
    is found by sorting on its own identifier and the one of the position that much later. New identifiers are
    reused in the next round, and positions whose bucket has one member are out. After 200 bytes the buckets with
    two or more members are the repeats. Identifiers are ranks of exact pairs, so nothing rests on hashing here.
-   A bucket with too many distinct spans for one task is settled by counting its windows, an aggregation.
+   A bucket with too many distinct spans for one task is refined over several first: its windows are halved by their
+   distance from the anchor, and each half's windows have bytes in common, by which they fall into new buckets. That
+   is done again with the halves that still are crowded; in the end a bucket's windows are single and equal.
 3. The windows found are joined into runs by document, and taken out of the bytes.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -30,8 +33,8 @@ from .common import read, scratch, slices, stored
 
 LENGTH = 200
 QGRAM = 32
-#: Bytes of distinct spans of one bucket that a task refines; beyond it the bucket's windows are counted by Spark.
-BUCKET_BYTES = 8 << 20
+#: Bytes of distinct spans of one bucket that a task refines; a bucket of more is refined over several tasks first.
+BUCKET_BYTES = 1 << 20
 #: Tasks that the copies of one span go to.
 SALTS = 16
 #: Bytes of spans that are refined at once.
@@ -155,6 +158,17 @@ def refine(group: np.ndarray, lead: np.ndarray, spans: list[bytes], length: int
     return [flags[e - s : e - length + 1] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def halved(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece's windows as two pieces, by their distance from the anchor: lo to before hi becomes lo to before the
+    middle and the rest. All windows of a half have the bytes from the half's last start to its first window's end in
+    common, and these make its new bucket; bytes that no window of the half has are cut off."""
+    half = """named_struct('lo', {l}, 'hi', {h}, 'i', greatest(0, {l} + lead), 'j', least(length(bytes) - {n} + 1, {h} + lead), 'bucket', xxhash64(bucket, {l}, substring(bytes, lead + {h}, {l} + {n} - {h} + 1)))"""
+    middle = "cast(floor((lo + hi) / 2) as int)"
+    both = ", ".join(half.format(l=a, h=b, n=length) for a, b in (("lo", middle), (middle, "hi")))
+    each = pieces.select("row", "copies", "first", "lead", "bytes", F.explode(F.expr(f"array({both})")).alias("x")).where("x.i < x.j")
+    return each.select("x.bucket", "row", "copies", F.expr("first + x.i").alias("first"), F.expr("cast(lead - x.i as int)").alias("lead"), F.expr(f"substring(bytes, x.i + 1, x.j - x.i + {length} - 1)").alias("bytes"), "x.lo", "x.hi")
+
+
 def runs(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
     """The byte ranges that flagged windows cover, where flag 0 is of the window at `first`."""
     at = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -182,11 +196,25 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, bucke
     cut = docs.join(want.hint("shuffle_hash"), "row").select("row", F.col("text").cast("binary").alias("text"), "want")
     cut = cut.select("row", "text", F.explode("want").alias("w")).select("row", "w.*", F.expr(f"substring(text, w.first + 1, w.last - w.first + {length})").alias("bytes"))
     cut = stored(cut)
-    crowded = cut.groupBy("bucket").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > bucket_bytes).select("bucket")
-    crowded = stored(crowded)
-    found = []
-    some = not crowded.isEmpty()
-    small = cut.join(crowded, "bucket", "left_anti") if some else cut
+    pieces = cut.select("bucket", "row", "copies", "first", "lead", "bytes", F.lit(q - length).alias("lo"), F.lit(1).alias("hi"))
+    found, ready = [], []
+    while True:
+        # single windows of one bucket have all their bytes in common: what is left is to count them
+        crowded = pieces.where("hi - lo > 1").groupBy("bucket").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > bucket_bytes).select("bucket")
+        crowded = stored(crowded)
+        if crowded.isEmpty():
+            ready.append(pieces)
+            break
+        ready.append(pieces.join(crowded, "bucket", "left_anti"))
+        pieces = stored(halved(pieces.join(crowded, "bucket", "left_semi"), length))
+    small = ready[0]
+    for x in ready[1:]:
+        small = small.unionByName(x)
+    if len(ready) > 1:
+        single = small.where("hi - lo = 1")
+        twice = single.groupBy("bucket", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        found.append(single.where("copies = 1").join(twice, ["bucket", "bytes"], "left_semi").select("row", F.col("first").cast("long").alias("a"), (F.col("first") + length).cast("long").alias("b")))
+        small = small.where("hi - lo > 1")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -212,11 +240,6 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, bucke
     found.append(by_bucket.mapInArrow(run, "row long, a long, b long"))
     for one in (settled, again):
         found.append(one.select("row", F.col("first").cast("long").alias("a"), (F.col("last") + length).cast("long").alias("b")))
-    if some:
-        windows = cut.join(crowded, "bucket").select("bucket", "row", "copies", "first", "lead", "bytes", F.explode(F.expr(f"sequence(0, length(bytes) - {length})")).alias("i"))
-        windows = windows.select("bucket", "row", "copies", (F.col("first") + F.col("i")).cast("long").alias("a"), (F.col("i") - F.col("lead")).alias("place"), F.sha2(F.expr(f"substring(bytes, i + 1, {length})"), 256).alias("w"))
-        twice = windows.groupBy("bucket", "place", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found.append(windows.where("copies = 1").join(twice, ["bucket", "place", "w"]).select("row", "a", (F.col("a") + length).alias("b")))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -238,6 +261,11 @@ def without(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tupl
     return b"".join([*out, raw[at:]]), merged
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def by_row(rows: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, bucketed by `row`: what is found for a row meets its text without the
     texts being shuffled again."""
@@ -245,6 +273,7 @@ def by_row(rows: DataFrame) -> DataFrame:
     n, at = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, "rows")
     name = "tallyloom_" + at.rpartition("-")[2]
     rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", at).saveAsTable(name)
+    atexit.register(_drop, spark, name)  # the files go when the driver ends, so the catalogue's entry has to go too
     return spark.table(name)
 
 
