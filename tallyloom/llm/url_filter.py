@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read, stored
+from .common import free_prefix, read, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of one cascade that are broadcast at most; a larger list is split by hash into cascades of this size, used in turn.
+#: Keys of the universe that one shard's cascade tells apart, about; a task builds a shard.
+KEYS_A_SHARD = 500_000
+#: Bytes of all cascades that are broadcast at most; beyond it the rows are dealt out to the shards.
 MOST_BYTES = 64 << 20
-#: False positives from which on a cascade's remaining levels are built in the driver.
-FEW_KEYS = 50_000
+#: Tasks that one shard's rows are dealt out to, as one key may be a third of all rows.
+SALTS = 8
 MASK = (1 << 56) - 1
 
 
@@ -111,88 +116,110 @@ def key_hashes(key: Column) -> list[Column]:
     return [F.xxhash64(F.lit(s), key).bitwiseAND(F.lit(MASK)) for s in (11, 23)]
 
 
-def _filled(rows: DataFrame, level: Level) -> Level:
-    """The level with all of a DataFrame's keys: tasks make bits, which meet by word with map-side combining."""
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            own = Level(level.salt, level.bits, level.probes, level.data)
-            a, b = own.mixed(part["a"].to_numpy(), part["b"].to_numpy(), own.salt)
-            p = np.unique(np.concatenate([own.positions(a, b, i) for i in range(own.probes)]))
-            yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
-
-    words = rows.select("a", "b").mapInPandas(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    for r in words.toLocalIterator():  # at most bits / 64 rows, bounded by MOST_BYTES
-        level.data[r["word"]] = np.int64(r["bits"]).view(np.uint64)
-    return level
+def build(inside: np.ndarray, outside: np.ndarray) -> Cascade:
+    """A cascade that tells the keys (rows of two hashes) of `inside` from those of `outside`, two disjoint sets."""
+    levels, rate = [], min(0.5, max(len(inside), 1) / max(len(outside) * math.sqrt(2), 1))
+    while len(inside):
+        bits, probes = Level.shape(len(inside), rate)
+        level = Level(len(levels), bits, probes, np.zeros(bits // 64, np.uint64))
+        level.add(inside[:, 0], inside[:, 1])
+        levels.append(level)
+        inside, outside, rate = outside[level.has(outside[:, 0], outside[:, 1])], inside, 0.5
+    return Cascade(levels)
 
 
-def _within(rows: DataFrame, level: Level) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(level)
+def cascades(keys: DataFrame, shards: int) -> DataFrame:
+    """(shard, data): the pickled cascade of each shard, built by a task from its distinct keys (a, b, and l for listed)."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield part[shared.value.has(part["a"].to_numpy(), part["b"].to_numpy())]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shard = np.asarray(batch.column(0))
+            borders = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for lo, hi in zip(borders, borders[1:], strict=False):
+                if held and lo < hi and held[-1].column(0)[0].as_py() != int(shard[lo]):
+                    yield built(held)
+                    held = []
+                if lo < hi:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield built(held)
 
-    return stored(rows.mapInPandas(keep, "a long, b long"))
+    def built(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b, listed = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) for k in (1, 2, 3))
+        both = np.stack([a, b], axis=1)
+        cascade = build(both[listed], both[~listed])
+        return pa.RecordBatch.from_pydict({"shard": held[0].column(0).slice(0, 1), "data": [pickle.dumps(cascade)]})
 
+    dealt = keys.select(F.pmod("b", F.lit(shards)).cast("int").alias("shard"), "a", "b", "l").repartition("shard").sortWithinPartitions("shard")
+    return stored(dealt.mapInArrow(run, "shard int, data binary"))
 
-def build(listed: DataFrame, others: DataFrame) -> Cascade:
-    """A cascade that tells the keys (columns a, b) of `listed` from those of `others`, two disjoint tables of
-    distinct keys. Big levels are filled and tested by tasks, the last small ones in the driver."""
-    inside, outside, levels = listed, others, []
-    n, m = inside.count(), outside.count()
-    rate = min(0.5, max(n, 1) / max(m * math.sqrt(2), 1))
-    while n:
-        bits, probes = Level.shape(n, rate)
-        level = Level(len(levels), bits, probes, np.zeros(bits // 64, np.uint64))
-        small = n + m <= FEW_KEYS
-        if small and isinstance(inside, DataFrame):
-            inside, outside = (np.array([(r["a"], r["b"]) for r in x.collect()], dtype=np.int64).reshape(-1, 2) for x in (inside, outside))
-        if small:
-            level.add(inside[:, 0], inside[:, 1])
-            outside = outside[level.has(outside[:, 0], outside[:, 1])]
-            wrong = len(outside)
-        else:
-            _filled(inside, level)
-            outside = _within(outside, level)
-            wrong = outside.count()
-        levels.append(level)
-        inside, outside, n, m, rate = outside, inside, wrong, n, 0.5
-    return Cascade(levels)
 
+def _member(cascades_, shards: int):
+    """Looks keys up in broadcast cascades."""
 
-def _member(cascade):
     @F.pandas_udf("boolean")
     def member(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(cascade.value.member(a.to_numpy(), b.to_numpy()))
+        a, b = a.to_numpy(), b.to_numpy()
+        out, shard = np.zeros(len(a), dtype=bool), b % shards
+        for k in np.unique(shard).tolist():
+            at = shard == k
+            if k in cascades_.value:
+                out[at] = cascades_.value[k].member(a[at], b[at])
+        return pd.Series(out)
 
     return member
 
 
+def _met(rows: DataFrame, built: DataFrame, shards: int, p: str) -> DataFrame:
+    """`rows` with `listed`, where each shard's rows come to the shard's cascade, which is sorted before them. Rows have the
+    hashes in {p}a and {p}b. A shard's rows go to SALTS tasks, each with a copy of its cascade; there is no join."""
+    names, schema = rows.columns, rows.schema
+    dealt = rows.withColumns({f"{p}shard": F.pmod(f"{p}b", F.lit(shards)).cast("int"), f"{p}salt": F.pmod(F.xxhash64(*[c for c in names if not c.startswith(p)], F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"), f"{p}data": F.lit(None).cast("binary")})
+    heads = built.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], F.col("shard").alias(f"{p}shard"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{p}salt"), F.col("data").alias(f"{p}data"))
+    both = dealt.unionByName(heads).repartition(f"{p}shard", f"{p}salt").sortWithinPartitions(f"{p}shard", f"{p}salt", F.col(f"{p}data").isNull())
+    width, at = len(names), [names.index(p + x) for x in "ab"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade([])
+        for batch in batches:
+            data = batch.column(width + 2)
+            heads = np.flatnonzero(np.asarray(data.is_valid())).tolist()
+            for lo, hi in zip([-1, *heads], [*heads, len(data)], strict=True):
+                if lo >= 0:
+                    cascade = pickle.loads(data[lo].as_py())
+                part = batch.slice(lo + 1, hi - lo - 1)
+                if len(part):
+                    a, b = (part.column(k).to_numpy(zero_copy_only=False) for k in at)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(cascade.member(a, b))], names=[*names, "listed"])
+
+    return both.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in schema.fields), T.StructField("listed", T.BooleanType())]))
+
+
 def mark_listed(rows: DataFrame, key: Column, listed: DataFrame, listed_key: Column, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """`rows` with a boolean column `listed`: whether the key is one of the list's.
+    """`rows` with a boolean column `listed` (instead of one that is there): whether the key is one of the list's.
 
     The universe is all keys of `rows`, so membership is exact for each of them (keys count as equal if their 112
-    hash bits are). Nothing is joined: listed and other keys are told apart by one aggregation. A null key is not listed; null keys of the list are left out. An empty list
-    lists nothing. Repeated keys on either side don't matter.
+    hash bits are). Nothing is joined: listed and other keys are told apart by one aggregation, dealt out to shards by
+    hash, and a task builds each shard's cascade. Cascades of `most_bytes` together are broadcast; more are met by the
+    rows of their shards, dealt out by the same hash, in one pass. A null key is not listed; null keys of the list are
+    left out. An empty list lists nothing. Repeated keys on either side don't matter; an empty table gives none.
     """
-    spark = rows.sparkSession
-    a, b = key_hashes(key)
+    spark, rows = rows.sparkSession, rows.drop("listed")
+    p = free_prefix(rows, "key_")
     hashed = lambda df, k, flag: df.select(k.alias("k")).where("k is not null").select(*[c.alias(n) for c, n in zip(key_hashes(F.col("k")), "ab", strict=True)], F.lit(flag).alias("l"))
     keys = stored(hashed(listed, listed_key, True).union(hashed(rows, key, False)).groupBy("a", "b").agg(F.bool_or("l").alias("l")))
-    wanted, others = keys.where("l").select("a", "b"), keys.where("not l").select("a", "b")
-    n, m = wanted.count(), others.count()
-    size = Level.shape(max(n, 1), min(0.5, max(n, 1) / max(m * math.sqrt(2), 1)))[0] // 4  # bytes, later levels included
-    shards, out = max(1, -(-size // most_bytes)), None
-    marked = rows.withColumns({"__a": a, "__b": b})
-    for shard in range(shards):
-        of = lambda x: x if shards == 1 else x.where(F.pmod(F.col("b"), F.lit(shards)) == shard)  # noqa: B023, E731
-        cascade = spark.sparkContext.broadcast(build(of(wanted), of(others)))
-        part = marked if shards == 1 else marked.where(F.pmod(F.col("__b"), F.lit(shards)) == shard)
-        part = part.withColumn("listed", _member(cascade)(F.coalesce("__a", F.lit(0)), F.coalesce("__b", F.lit(0))) & key.isNotNull())
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("listed", F.coalesce("listed", F.lit(False))).drop("__a", "__b")
+    shards = max(1, -(-keys.count() // KEYS_A_SHARD))
+    built = cascades(keys, shards)
+    size = built.agg(F.sum(F.length("data"))).first()[0] or 0
+    a, b = (F.coalesce(h, F.lit(0)) for h in key_hashes(key))
+    marked = rows.withColumns({f"{p}a": a, f"{p}b": b, f"{p}no": key.isNull()})
+    if size <= most_bytes:
+        shared = spark.sparkContext.broadcast({r["shard"]: pickle.loads(r["data"]) for r in built.toLocalIterator()})  # `most_bytes` at most
+        marked = marked.withColumn("listed", _member(shared, shards)(f"{p}a", f"{p}b"))
+    else:
+        marked = _met(marked, built, shards, p)
+    return marked.withColumn("listed", F.col("listed") & ~F.col(f"{p}no")).drop(f"{p}a", f"{p}b", f"{p}no")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -85,10 +85,13 @@ def test_url_filter(spark, monkeypatch):
     # big levels are built by tasks, and a list above the bound is used in shards
     keys = spark.range(6000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     some = keys.where("crc32(key) % 5 = 0")
-    monkeypatch.setattr(url_filter, "FEW_KEYS", 100)
-    for bound in (1 << 20, 400):
-        marked = url_filter.mark_listed(keys, F.col("key"), some, F.col("key"), bound)
-        assert marked.where("listed <> (crc32(key) % 5 = 0)").count() == 0 and marked.count() == 6000
+    keys = keys.unionByName(keys.limit(1).crossJoin(spark.range(2000).select()))  # one key with a quarter of the rows
+    keys = keys.unionByName(spark.createDataFrame([(None,)], "key string")).select("key", F.lit("x").alias("key_a"), F.lit("y").alias("listed"))
+    for shard_keys in (1_000_000, 500):
+        monkeypatch.setattr(url_filter, "KEYS_A_SHARD", shard_keys)
+        for bound in (1 << 20, 100):
+            marked = url_filter.mark_listed(keys, F.col("key"), some, F.col("key"), bound)
+            assert marked.where("listed <> coalesce(crc32(key) % 5 = 0, false)").count() == 0 and marked.count() == 8001 and marked.columns == ["key", "key_a", "listed"]
     assert not url_filter.mark_listed(keys, F.col("key"), some.limit(0), F.col("key")).where("listed").count()
 
 
@@ -396,8 +399,9 @@ def test_repeats(spark, odd, empty):
     texts = ["a" * 1000, "a" * 150, "ab" * 400, None, "", p, text(50) + p[100:500] + text(90), text(300) + q + text(10), text(3) + q, z + "x" + z, "é" * 300, text(100) + z[:199] + "~" + z, p[:300] + "#" + p[301:], p[:300] + "@" + p[301:], text(400) * 2, "x" * 5000 + text(30) + "x" * 300]
     texts += [p[: rng.randrange(700)] + text(20) + p[rng.randrange(700) :] for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert compare_repeats(df) > 0 and compare_repeats(df, bucket_bytes=500) > 0
-    assert compare_repeats(odd.where("doc_id is null or doc_id <> 6")) > 0
+    # buckets of a few bytes are halved down to single windows
+    assert compare_repeats(df) > 0 and compare_repeats(df, bucket_bytes=500) > 0 and compare_repeats(df, bucket_bytes=1500) > 0
+    assert compare_repeats(odd) > 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
