@@ -29,22 +29,19 @@ def free_prefix(df: DataFrame, prefix: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a local session
+    has a folder of its own; on a cluster there is no folder that all machines are sure to see, and that is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tallyloom-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage: written to the shared folder, from which any executor reads them again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder, which the driver removes when it ends."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -53,8 +50,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), as a Parquet table: smaller than a checkpoint, and columns are read alone."""
+    """The same rows without lineage: a Parquet table in the shared folder, from which any executor reads them again."""
     spark = df.sparkSession
     at = scratch(spark, "table")
     df.write.parquet(at)
@@ -79,14 +81,22 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """(node, root) for every node of an edge; root is the smallest node of the connected component.
 
     Large-star and small-star rounds, each a few equality joins and aggregations with map-side combining, cut
-    from its lineage by a checkpoint. The number of rounds grows with the logarithm of the longest path. No
+    from its lineage by a table in the shared folder, which goes with the round after the next. The number of rounds grows with the logarithm of the longest path. No
     group is gathered: a hub's row count only ever meets a one-row minimum. Null ends are dropped; self-links
     give a node that is its own root.
     """
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
     nodes_alone = e.where("u = v").select("u", "v")
-    e = cut(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    spark, kept, before = edges.sparkSession, [], None
+
+    def put(df: DataFrame) -> DataFrame:
+        kept.append(scratch(spark, "edges"))
+        df.write.parquet(kept[-1])
+        if len(kept) > 1:  # the round that was read is not read again
+            remove(spark, kept[-2])
+        return spark.read.schema(df.schema).parquet(kept[-1])
+
+    e = put(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         # large-star: what is above u links to the least neighbour of u
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,7 +105,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         # small-star: what is below u, and u itself, links to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u != v").distinct())
+        e = put(small.where("u != v").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -105,7 +105,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Features and labels of at most `most` labelled documents that aren't held out, sent to the driver.
 
     Rows without identifier or label are left out; of several labels of a document the lowest counts, and of
-    several documents of an identifier all are learned from.
+    several texts under an identifier the one with the least hash is learned from.
     """
     marks = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = [(r["doc_id"], int(r["quality"])) for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
@@ -116,11 +116,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, 1):
             found = [features(x) for x in text.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(3))], names=["doc_id", "quality", "i", "x", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(3))], names=["doc_id", "quality", "i", "x", "d"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(small), "doc_id")
-    rows = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, i binary, x binary, d binary")
-    got = sorted(((r["doc_id"], bytes(r["i"]), bytes(r["x"]), bytes(r["d"]), r["quality"]) for r in rows.toLocalIterator()), key=lambda r: r[:3])[: 2 * most]
+    # one text of each identifier, chosen with map-side combining: at most `most` rows
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("quality").alias("quality"))
+    rows = rows.mapInArrow(run, "doc_id long, quality int, i binary, x binary, d binary")
+    got = sorted((r["doc_id"], bytes(r["i"]), bytes(r["x"]), bytes(r["d"]), r["quality"]) for r in rows.toLocalIterator())
     return [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), np.frombuffer(d)) for _, i, x, d, _ in got], np.array([float(q > 0) for *_, q in got])
 
 

@@ -18,6 +18,8 @@ from .text_stats import BASE, MORE, document_stats, ratios
 MOST_LABELLED = 20_000
 #: Share of the rows that a rule is grown on; the rest prunes it.
 GROW = 2 / 3
+#: Thresholds that are tried for each statistic when a condition is added: a bound of the learner's search.
+CUTS = 48
 
 
 def document_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,8 +71,9 @@ def _covered(conditions: list[Condition], x: dict, n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict, bad: np.ndarray, most: int, cuts: int = 48) -> list[Condition]:
-    """Adds the threshold with the best information gain until no good row is covered or nothing gains."""
+def _grow(x: dict, bad: np.ndarray, most: int, cuts: int = CUTS) -> list[Condition]:
+    """Adds the threshold with the best information gain until no good row is covered or nothing gains. The thresholds
+    tried are `cuts` evenly spaced places in the order of a statistic's values among the rows left."""
     conditions: list[Condition] = []
     live = np.ones(len(bad), dtype=bool)
     while len(conditions) < most and (live & ~bad).any():
@@ -150,7 +153,8 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Ratios and the low-quality mark of at most `most` labelled rows that aren't held out. Rows without identifier
-    or label are left out; of several labels of a document the lowest counts."""
+    or label are left out; of several labels of a document the lowest counts, and of several documents under one
+    identifier the one with the least statistics, in their order."""
     marks = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a bounded sample, sent to the driver
     ids = few.collect()
@@ -158,7 +162,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELL
         return {}, np.zeros(0, dtype=bool)
     spark = stats.sparkSession
     small = spark.createDataFrame([(r["doc_id"], int(r["quality"])) for r in ids], "doc_id long, quality int")
-    one = stats.join(F.broadcast(small.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in [*BASE, *MORE]])
+    one = stats.join(F.broadcast(small.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*BASE, *MORE)).alias("s")).select("doc_id", "s.*")
     rows = one.join(F.broadcast(small), "doc_id").orderBy("doc_id").select("quality", *BASE, *MORE).collect()
     s = {c: np.array([r[c] for r in rows], dtype=float) for c in [*BASE, *MORE]}
     return ratios(s), np.array([r["quality"] == 0 for r in rows], dtype=bool)

@@ -322,6 +322,21 @@ def test_factorisation_machine(spark, odd, empty, labels):
         assert margin[k] == pytest.approx(model.w0 + model.w[i] @ x + pairs)
     assert fm.classify(odd, labels).count() == odd.count() and fm.classify(empty, labels).count() == 0
     assert {r["score"] for r in fm.classify(odd, labels.limit(0)).collect()} == {0.5}
+    # a thousand texts under one labelled identifier are one row of the sample
+    crowd = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows, marks = fm.training_rows(crowd.unionByName(df.select("doc_id", "text").where("doc_id <> 7")), lab, most=50)
+    assert len(rows) == len(marks) <= 50
+
+
+def test_held_out_quality(spark):
+    """Scores and rules against the labels that neither has seen."""
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet").where(rules.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    rows = fm.query(spark, at).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 50 and len(bad) > 5 and np.mean([[g > b for b in bad] for g in good]) > 0.95
+    kept = rules.query(spark, at).join(labels, "doc_id").select("kept", "quality").collect()
+    assert np.mean([r["kept"] for r in kept if r["quality"] == 1]) > 0.9 and np.mean([r["kept"] for r in kept if r["quality"] == 0]) < 0.2
 
 
 # --- 6
@@ -548,6 +563,13 @@ def test_statistics():
         assert document_stats(None if t is None else t.encode())[:5] == slow_stats(t)
 
 
+def test_one_row_for_each_identifier_is_learned_from(spark):
+    names = [*rules.BASE, *rules.MORE]
+    stats = spark.createDataFrame([(5, *([3] * 13)), (5, *([2] + [9] * 12)), (7, *([1] * 13))], "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    x, bad = rules.labelled_sample(stats, spark.createDataFrame([(5, 0), (7, 1), (5, 1)], "doc_id long, quality int"))
+    assert x["n_words"].tolist() in ([2.0, 1.0], [2.0], [1.0]) and len(bad) == len(x["n_words"])
+
+
 def test_rules(spark, odd, empty, labels):
     rng = np.random.default_rng(1)
     x = {"u": rng.random(2000), "v": rng.random(2000), "w": rng.random(2000)}
