@@ -43,7 +43,7 @@ MAGIC = b"TLSSTBL1"
 FOOTER = struct.Struct("<7Q8s")
 BLOCK_BYTES = 64 << 10
 #: Bytes of text that are tokenised at once; a longer document is a step of its own.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 2 << 20
 BITS_PER_KEY = 10
 HASHES = 7
 
@@ -274,7 +274,6 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 last = key
                 writer.add(make_key(key, seq), np.append(ids[at:to], end_id), wide, name_)
                 at = to
-        encoder.reset()
         if writer is not None:
             writer.finish()
             sink.close()

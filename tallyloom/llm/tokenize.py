@@ -53,7 +53,7 @@ def after(flags: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that the cached pieces of one Python worker take, about, and what a piece takes beside its own bytes and ids.
-CACHE_BYTES, PIECE_BYTES = 24 << 20, 220
+CACHE_BYTES, PIECE_BYTES = 48 << 20, 220
 
 
 class PieceTokenizer:
@@ -78,15 +78,19 @@ class PieceTokenizer:
         self.flat, self.ends = array("I"), array("q", [0])
         self.held = 0
 
-    def learn(self, piece: bytes) -> int:
-        if not PLAIN.fullmatch(piece) or b"<|" in piece:
-            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        else:
-            ids = [t.id for t in self.model.tokenize(piece.decode() if piece.isascii() else "".join(map(self.chars.__getitem__, piece)))]
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        self.held += PIECE_BYTES + len(piece) + 4 * len(ids)
-        return len(self.ends) - 2
+    def learn(self, pieces: list[bytes]) -> None:
+        tokenize, chars, known, flat, ends = self.model.tokenize, self.chars, self.known, self.flat, self.ends
+        before = len(flat)
+        for piece in pieces:
+            if piece.isalnum():  # ASCII letters and digits stand for themselves
+                flat.extend([t.id for t in tokenize(piece.decode())])
+            elif not PLAIN.fullmatch(piece) or b"<|" in piece:
+                flat.extend(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            else:
+                flat.extend([t.id for t in tokenize(piece.decode() if piece.isascii() else "".join(map(chars.__getitem__, piece)))])
+            known[piece] = len(ends) - 1
+            ends.append(len(flat))
+        self.held += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + 4 * (len(flat) - before)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a binary array's texts in order, and where each text's ids end. Nulls count as empty."""
@@ -126,13 +130,9 @@ class PieceTokenizer:
         data = low[solid]
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         codes = np.asarray(pieces.indices)
-        known, local = self.known, []
-        distinct = pieces.dictionary.to_pylist()
-        for piece in distinct:
-            i = known.get(piece)
-            if i is None:
-                i = known[piece] = self.learn(piece)
-            local.append(i)
+        known, distinct = self.known, pieces.dictionary.to_pylist()
+        self.learn([piece for piece in distinct if piece not in known])
+        local = [known[piece] for piece in distinct]
         all_ends = np.frombuffer(self.ends, dtype=np.int64)
         pick = np.asarray(local, dtype=np.int32)[codes] if distinct else np.zeros(0, np.int64)
         starts = all_ends[pick]
@@ -145,5 +145,6 @@ class PieceTokenizer:
 
 @functools.lru_cache(maxsize=1)
 def tokenizer(path: str) -> PieceTokenizer:
-    """One for each Python worker: the vocabulary is read once. A task empties the cache of pieces when it ends."""
+    """One for each Python worker, so that the vocabulary is read once and what is cached, within its bound, serves the
+    worker's next task too."""
     return PieceTokenizer(path)
