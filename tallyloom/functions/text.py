@@ -123,10 +123,13 @@ def tidy(text: Column) -> Column:
 
 
 # What plain prose must not hold, in the order in which it is reported, and the reasons.
-PROSE_RULES = [
+SIGN_RULES = [
     (r"[^\P{Cc}\n\t]", "a control character"),
     (r"\p{Cf}", "a formatting character"),
     ("[\u2500-\u257f]", "box-drawing characters"),
+]
+#: The first such sign of a text is reported before anything else; then the first of these that the text has.
+PROSE_RULES = [
     (r"(?i)(?:[a-z][a-z0-9+.\-]*://|\b(?:javascript|data|vbscript|mailto|tel|file):)", "a URI scheme"),
     (r"\]\(", "a Markdown link"),
     (r"(?i)</?[a-z!][^>]*>", "HTML"),
@@ -142,12 +145,19 @@ LINE_RULES = [
 ]
 
 
+def _any(rules: list[tuple[str, str]]) -> str:
+    return "|".join(f"(?:{rx})" for rx, _ in rules)
+
+
 def prose_problem(text: Column) -> Column:
-    """Why a text is no plain prose, or null: the whole text's rules in turn, then the first line that breaks one."""
-    out = None
+    """Why a text is no plain prose, or null: the first sign that it must not hold, then the whole text's rules in turn,
+    then the first line that breaks one. One search tells the texts that have nothing, most of them."""
+    sign = F.regexp_extract(text, f"({_any(SIGN_RULES)})", 1)
+    out = F.when(sign.rlike(SIGN_RULES[0][0]), SIGN_RULES[0][1])
+    for rx, why in SIGN_RULES[1:]:
+        out = out.when(sign.rlike(rx), why)
     for rx, why in PROSE_RULES:
-        test = text.rlike(rx)
-        out = F.when(test, why) if out is None else out.when(test, why)
+        out = out.when(text.rlike(rx), why)
 
     def of_line(line: Column) -> Column:
         bare, found = F.regexp_replace(line, r"\A[ \t]+", ""), None
@@ -156,9 +166,9 @@ def prose_problem(text: Column) -> Column:
         return found
 
     lines = F.filter(F.transform(F.split(text, "\n"), of_line), lambda x: x.isNotNull())
-    # most texts have no such line at all, which one search tells
-    any_line = "(?m)^[ \\t]*(?:" + "|".join(rx.replace(r"\A", "") for rx, _ in LINE_RULES) + ")"
-    return out.otherwise(F.when(text.rlike(any_line), F.get(lines, F.lit(0))))
+    any_line = "(?:(?m)^[ \\t]*(?:" + "|".join(rx.replace(r"\A", "") for rx, _ in LINE_RULES) + "))"
+    out = out.otherwise(F.when(text.rlike(any_line), F.get(lines, F.lit(0))))
+    return F.when(text.rlike("|".join([_any(SIGN_RULES), *(f"(?:{rx})" for rx, _ in PROSE_RULES), any_line])), out)
 
 
 def label_problem(text: Column) -> Column:

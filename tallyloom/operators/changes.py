@@ -110,4 +110,4 @@ def component_changes(norm: DataFrame) -> DataFrame:
 
 def full_run_reason(explicit: Column, base_found: Column, state: Column, compatible: Column, same_paths: Column) -> Column:
     """The first reason for which everything is done anew, or null."""
-    return F.when(explicit, "explicit").when(~base_found, "base_unavailable").when(state == "missing", "state_missing").when(state == "invalid", "state_invalid").when(~compatible, "state_incompatible").when(~same_paths, "output_paths_changed")
+    return F.when(explicit, "explicit_full").when(~base_found, "base_revision_unavailable").when(state == "missing", "state_missing").when(state == "invalid", "state_invalid").when(~compatible, "state_incompatible").when(~same_paths, "output_paths_changed")

@@ -172,8 +172,11 @@ def scan(tracked: DataFrame, policy: SourcePolicy = SourcePolicy(), strict: bool
 
 # The languages that extensions stand for.
 LANGUAGES = {
-    ".go": "Go", ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".kt": "Kotlin", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".cs": "C#", ".c": "C", ".h": "C",
-    ".cpp": "C++", ".cc": "C++", ".swift": "Swift", ".scala": "Scala", ".sh": "Shell", ".sql": "SQL", ".proto": "Protocol Buffers",
+    ".go": "Go", ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript",
+    ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".kt": "Kotlin",
+    ".rb": "Ruby", ".rs": "Rust", ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++",
+    ".cs": "C#", ".php": "PHP", ".swift": "Swift", ".scala": "Scala", ".sh": "Shell",
+    ".sql": "SQL", ".proto": "Protocol Buffers",
 }
 
 

@@ -71,11 +71,19 @@ def supporting(files: DataFrame) -> DataFrame:
     return files.where("not triggers").join(groups, ["component_key", "root_component"], "left_semi")
 
 
-def manifest_context(files: DataFrame) -> DataFrame:
-    """Each component with a manifest at the top of the tree as its context: few manifests meet every component."""
-    top = files.where((F.col("role") == "dependency_manifest") & F.col("root_component")).select(F.col("path").alias("manifest"))
+#: Manifests at the top of the tree that components may have as their context.
+MOST_TOP_MANIFESTS = 1_000
+
+
+def manifest_context(files: DataFrame, most: int = MOST_TOP_MANIFESTS) -> DataFrame:
+    """Each component with every manifest at the top of the tree as its context. The manifests are counted first: they
+    are files of one folder, `most` at most, and go to the components as one list; more raise."""
+    top = files.where((F.col("role") == "dependency_manifest") & F.col("root_component")).select("path").distinct()
+    few = sorted(r["path"] for r in top.limit(most + 1).collect())
+    if len(few) > most:
+        raise ValueError(f"more than {most} manifests at the top of the tree")
     others = files.where("triggers and not root_component").select("component_key").distinct()
-    return others.crossJoin(top)
+    return others.select("component_key", F.explode(F.array(*map(F.lit, few)).cast("array<string>")).alias("manifest"))
 
 
 def parents(keys: DataFrame) -> DataFrame:
@@ -86,19 +94,19 @@ def parents(keys: DataFrame) -> DataFrame:
     return keys.join(found, "component_key", "left").select("component_key", F.when(F.col("component_key") != ROOT, F.coalesce("parent", F.lit(ROOT))).alias("parent"))
 
 
-def display_order(components: DataFrame) -> DataFrame:
-    return components.orderBy(F.desc("root_component"), "component_key")
-
-
 def input_hash(files: DataFrame, versions: tuple[str, ...], config_hash: str) -> DataFrame:
     """(component_key, root_component, input_hash): a digest of everything that a component's text depends on.
 
-    Fields are framed by their length and lists by their number, so that no two inputs read alike. A file enters by
-    its own framed digest, so that what is gathered for a component is 64 hex digits a file, not its content.
+    Fields are framed by their length and lists by their number, so that no two inputs read alike. A file enters by its
+    own framed digest. A component's digests are hashed in 256 buckets by their first byte, and the buckets' hashes are
+    what is hashed for the component, so that no row holds more than a bucket's share of 64 hex digits a file.
     """
+    key = ["component_key", "root_component"]
     one = framed_hash(F.col("path"), F.col("role"), F.col("source_hash"), F.coalesce("data", F.lit("")))
-    rows = files.select("component_key", "root_component", F.struct((~F.col("triggers")).alias("late"), "path", one.alias("digest")).alias("f"))
-    lists = rows.groupBy("component_key", "root_component").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    joined = F.array_join(F.transform("f", lambda f: f["digest"]), "")
+    rows = files.select(*key, (~F.col("triggers")).alias("late"), "path", one.alias("digest")).withColumn("bucket", F.substring("digest", 8, 2))
+    buckets = rows.groupBy(*key, "bucket").agg(F.array_sort(F.collect_list(F.struct("late", "path", "digest"))).alias("f"))
+    buckets = buckets.select(*key, F.size("f").cast("long").alias("n"), F.struct("bucket", F.sha2(F.array_join(F.transform("f", lambda f: f["digest"]), ""), 256).alias("h")).alias("b"))
+    lists = buckets.groupBy(*key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("b")).alias("b"))
+    joined = F.array_join(F.transform("b", lambda b: F.concat(b["bucket"], b["h"])), "")
     head = [F.lit(v) for v in (*versions, config_hash)]
-    return lists.select("component_key", "root_component", framed_hash(*head, F.col("component_key"), F.col("root_component").cast("string"), F.size("f").cast("string"), joined).alias("input_hash"))
+    return lists.select(*key, framed_hash(*head, F.col("component_key"), F.col("root_component").cast("string"), F.col("n").cast("string"), joined).alias("input_hash"))

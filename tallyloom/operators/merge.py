@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import KINDS
-
 MOST_ITEMS, MOST_PATHS, NOTICES = 100, 200, 6
 
 # The notices that an assembled document may carry.
@@ -21,25 +19,27 @@ NOTICE_TEXTS = [
 
 
 def merged(items: DataFrame, content: list[str], group: list[str], path: str = "path", most_paths: int = MOST_PATHS) -> DataFrame:
-    """A row for each distinct content of a group: group, content, paths (sorted, the first most_paths), all_paths
-    (uncut), support (their number), paths_omitted, canonical and digest.
+    """A row for each distinct content of a group: group, content, paths (sorted, the first most_paths), support (the
+    number of all), paths_omitted, canonical and digest.
 
-    Evidence comes as one path a row. Distinct pairs of content and path are found first, with map-side combining,
-    so that a repeated pair is not gathered.
+    Evidence comes as one path a row. Distinct pairs of content and path are found first, with map-side combining, and
+    numbered; only the first `most_paths` of a content are gathered.
     """
     pairs = items.select(*group, *content, F.col(path).alias("p")).distinct()
-    rows = pairs.groupBy(*group, *content).agg(F.array_sort(F.collect_list("p")).alias("all"))
-    rows = rows.select(*group, *content, F.slice("all", 1, most_paths).alias("paths"), F.col("all").alias("all_paths"), F.size("all").cast("long").alias("support"), F.greatest(F.size("all") - most_paths, F.lit(0)).cast("long").alias("paths_omitted"))
+    nth = F.row_number().over(Window.partitionBy(*group, *content).orderBy("p"))
+    some = F.when(F.col("nth") <= most_paths, F.col("p"))
+    rows = pairs.withColumn("nth", nth).groupBy(*group, *content).agg(F.array_sort(F.collect_list(some)).alias("paths"), F.count("p").alias("support"))
+    rows = rows.withColumn("paths_omitted", F.greatest(F.col("support") - most_paths, F.lit(0)).cast("long"))
     canonical = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
     return rows.withColumn("canonical", canonical).withColumn("digest", F.sha2(canonical, 256))
 
 
-def conflicts(merged_rows: DataFrame, group: list[str], identity: Column) -> DataFrame:
-    """group, identity, contents, paths: identities with several contents, and all their paths, uncut. Empty identities can't conflict."""
-    rows = merged_rows.select(*group, identity.alias("identity"), "all_paths").where("identity is not null and identity <> ''")
-    some = rows.groupBy(*group, "identity").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
-    paths = rows.join(some, [*group, "identity"], "left_semi").select(*group, "identity", F.explode("all_paths").alias("p")).distinct()
-    return some.join(paths.groupBy(*group, "identity").agg(F.array_sort(F.collect_list("p")).alias("paths")), [*group, "identity"])
+def conflicts(items: DataFrame, content: list[str], group: list[str], identity: Column, path: str = "path") -> DataFrame:
+    """group, identity, contents, path: identities with several contents, a row for each path of theirs, uncut. Empty
+    identities can't conflict. Nothing is gathered, however many paths there are."""
+    rows = items.select(*group, *content, identity.alias("identity"), F.col(path).alias("path")).where("identity is not null and identity <> ''")
+    some = rows.select(*group, *content, "identity").distinct().groupBy(*group, "identity").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    return rows.select(*group, "identity", "path").distinct().join(some, [*group, "identity"]).select(*group, "identity", "contents", "path")
 
 
 def order_of(name: str, kind: Column | None = None) -> list[Column]:
@@ -51,7 +51,7 @@ def best_supported(merged_rows: DataFrame, group: list[str], name: str, limit: i
     """The `limit` rows of each group with the most support, with their final place in tie-break order as position."""
     by = order_of(name)
     top = merged_rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("support"), *by))).where(F.col("rank") <= limit)
-    return top.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).drop("rank", "all_paths")
+    return top.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).drop("rank")
 
 
 def omitted(merged_rows: DataFrame, group: list[str], limit: int = MOST_ITEMS) -> DataFrame:
@@ -84,7 +84,3 @@ def notices(counts: DataFrame, group: list[str]) -> DataFrame:
         on = F.col(f"c{i}") > 0 if i != 3 else (F.col("c3") > 0) | (F.col("c3b") > 0)
         rows.append(F.struct(F.lit(i).alias("slot"), F.lit(kind).alias("kind"), F.format_string(text, *args).alias("description"), F.lit(advice).alias("recommendation"), on.alias("on")))
     return counts.select(*group, F.explode(F.array(*rows)).alias("n")).where("n.on").select(*group, "n.slot", "n.kind", "n.description", "n.recommendation")
-
-
-def kind_table(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(KINDS)), "ordinal int, kind string")

@@ -23,7 +23,8 @@ def integrity(owned: DataFrame, installed: DataFrame) -> DataFrame:
 
 
 def first_reason(problems: DataFrame) -> DataFrame:
-    return problems.agg(F.min_by("reason", F.struct("priority", "path")).alias("reason"))
+    """reason: files that nobody owns come first; else the first owned path in order tells, whatever is wrong with it."""
+    return problems.agg(F.min_by("reason", F.struct((F.col("priority") > 0).alias("owned"), "path")).alias("reason"))
 
 
 def output_diff(rendered: DataFrame, prior: DataFrame, owned: DataFrame | None = None) -> DataFrame:

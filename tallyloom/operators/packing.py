@@ -1,7 +1,7 @@
 """Packing files into byte budgets, and cutting texts at line breaks.
 
-Packing depends on what was skipped before, so it is no window; it folds over a component's (path, size) pairs,
-in path order. Contents are never gathered.
+Packing depends on what was skipped before, so it is no window; a task walks over a component's (path, size) rows in
+path order and holds numbers only. Neither contents nor files are gathered.
 """
 
 from __future__ import annotations
@@ -9,23 +9,59 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.numbers import MOST
 
 KEYS = ["component_key", "root_component"]
 OVERLAP = 1024
 
 
-def _sizes(files: DataFrame, keys: list[str]) -> DataFrame:
-    return files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("f"))
+def _walk(files: DataFrame, keys: list[str], make, column: str, kind: T.DataType) -> DataFrame:
+    """keys, path, size and a column that `make()` finds for each file in turn, in path order within the keys.
+
+    What a file gets depends on all before it, so a component is walked by one task, which streams its sorted (path, size)
+    rows and holds a few numbers; components are dealt out by their keys."""
+    rows = files.select(*keys, "path", F.col("size").cast("long").alias("size"))
+    schema, n = T.StructType([*rows.schema.fields, T.StructField(column, kind)]), len(keys)
+    arrow = pa.bool_() if isinstance(kind, T.BooleanType) else pa.int32()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for batch in batches:
+            out, sizes = [], batch.column(n + 1).to_pylist()
+            for key, size in zip(zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True), sizes, strict=True):
+                if step is None or key != at:
+                    at, step = key, make()
+                out.append(step(size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, column])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "path").mapInArrow(run, schema)
+
+
+def fitted(files: DataFrame, limit: int, keys: list[str] = KEYS) -> DataFrame:
+    """keys, path, size, selected: in path order each file that still fits is taken and others are passed over."""
+
+    def make():
+        used = 0
+
+        def step(size: int | None) -> bool:
+            nonlocal used
+            fits = size is not None and size >= 0 and used + size <= limit
+            used += size if fits else 0
+            return fits
+
+        return step
+
+    return _walk(files, keys, make, "selected", T.BooleanType())
 
 
 def first_fit(files: DataFrame, limit: int, keys: list[str] = KEYS) -> DataFrame:
-    """keys, selected (paths), bytes, omitted: in path order each file that still fits is taken and others are passed over."""
-    start = f"cast(struct(0L, array()) as struct<bytes: bigint, paths: array<string>>)"
-    step = f"if(x.size >= 0 and acc.bytes + x.size <= {limit}L, named_struct('bytes', acc.bytes + x.size, 'paths', array_append(acc.paths, x.path)), acc)"
-    packed = _sizes(files, keys).withColumn("r", F.expr(f"aggregate(f, {start}, (acc, x) -> {step})"))
-    return packed.select(*keys, F.col("r.paths").alias("selected"), F.col("r.bytes").alias("bytes"), (F.size("f") - F.size("r.paths")).cast("long").alias("omitted"))
+    """keys, selected, bytes, omitted: what fitted() takes and leaves, counted."""
+    taken = fitted(files, limit, keys).groupBy(*keys)
+    return taken.agg(F.count_if("selected").alias("selected"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(~F.col("selected")).alias("omitted"))
 
 
 def greedy_batches(files: DataFrame, limit: int, oversize: str = "error", keys: list[str] = KEYS) -> DataFrame:
@@ -34,14 +70,23 @@ def greedy_batches(files: DataFrame, limit: int, oversize: str = "error", keys:
     A file above the limit raises where `oversize` is "error"; where it is "alone" it ends the open batch and is one
     of its own, for its text to be cut into chunks.
     """
-    big = f"x.size > {limit}L"
     if oversize == "error":
         files = files.withColumn("size", F.when(F.col("size") > limit, F.raise_error(F.concat(F.lit("file above the batch limit: "), "path")).cast("long")).otherwise(F.col("size")))
-    start = "cast(struct(0L, 0, array()) as struct<bytes: bigint, batch: int, out: array<int>>)"
-    new = f"acc.batch = 0 or {big} or acc.bytes + x.size > {limit}L"
-    step = f"named_struct('bytes', if({new}, 0L, acc.bytes) + if({big}, {limit}L + 1L, x.size), 'batch', if({new}, acc.batch + 1, acc.batch), 'out', array_append(acc.out, if({new}, acc.batch + 1, acc.batch)))"
-    packed = _sizes(files, keys).withColumn("b", F.expr(f"aggregate(f, {start}, (acc, x) -> {step}, acc -> acc.out)"))
-    return packed.select(*keys, F.explode(F.arrays_zip("f", "b")).alias("x")).select(*keys, "x.f.path", "x.f.size", F.col("x.b").alias("batch"))
+
+    def make():
+        used, batch = 0, 0
+
+        def step(size: int | None) -> int:
+            nonlocal used, batch
+            size = size or 0
+            if batch == 0 or size > limit or used + size > limit:
+                used, batch = 0, batch + 1
+            used += limit + 1 if size > limit else size
+            return batch
+
+        return step
+
+    return _walk(files, keys, make, "batch", T.IntegerType())
 
 
 def batch_bytes(batches: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -108,9 +153,17 @@ def bisected(rows: DataFrame, overlap: bool = False, id_col: str = "path", data_
     return _per_row(rows, id_col, data_col, halves_with_overlap if overlap else halves)
 
 
-# Kinds of findings in their order; the last two are made once from the others.
-KINDS = ["architecture", "interfaces", "data_models", "workflows", "dependencies", "review_gaps", "overview", "diagrams"]
+# What each scope is asked for, in order, and what is reduced from all scopes' answers.
+MAPPED = ["overview_candidate", "architecture", "interfaces", "data_models", "workflows", "dependencies", "review_gaps"]
 REDUCED = ["overview", "diagrams"]
+KINDS = [*MAPPED, *REDUCED]
+
+
+def call_bounds(scopes: Column, limit: int) -> tuple[Column, Column, Column]:
+    """The calls that a component of so many scopes takes at first, at most (each may be repaired once), and whether
+    that is above the limit."""
+    first = scopes.cast("long") * len(MAPPED) + len(REDUCED)
+    return first, first * 2, first * 2 > limit
 
 
 def call_estimates(batches: DataFrame, modes: int = 2, retries: int = 2, keys: list[str] = KEYS) -> DataFrame:
@@ -124,6 +177,12 @@ def call_estimates(batches: DataFrame, modes: int = 2, retries: int = 2, keys: l
     return rows.select("*", F.col("bytes").alias("tokens_most"), F.expr("(bytes + 3) div 4").alias("tokens_usual"), (F.col("calls") * modes * (retries + 1)).alias("attempts"))
 
 
+def total(column: str | Column) -> Column:
+    """A sum of longs that stops at the greatest long."""
+    wide = F.sum(F.col(column).cast("decimal(38,0)") if isinstance(column, str) else column.cast("decimal(38,0)"))
+    return F.when(wide > MOST, F.lit(MOST)).otherwise(wide.cast("decimal(19,0)")).cast("long")
+
+
 def estimate_rollup(estimates: DataFrame) -> DataFrame:
-    """Calls and bytes by component and kind, by component, and over all."""
-    return estimates.rollup("component_key", "kind").agg(F.sum("calls").alias("calls"), F.sum("bytes").alias("bytes"), F.grouping_id().cast("int").alias("level"))
+    """Calls, bytes and the largest bytes by component and kind, by component, and over all; sums stop at the greatest long."""
+    return estimates.rollup("component_key", "kind").agg(total("calls").alias("calls"), total("bytes").alias("bytes"), F.max("bytes").alias("largest"), F.grouping_id().cast("int").alias("level"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import add_saturating, multiply_saturating
@@ -25,11 +25,20 @@ def synthesis_bytes(envelope: Column, batches: Column, response_bytes: int) -> C
     return add_saturating(envelope, multiply_saturating(F.lit(3 * response_bytes).cast("long"), batches))
 
 
-def strategy(source_bytes: Column, request: Column, largest_file: Column, wanted: Column, context: int, request_limit: int, batch: int) -> Column:
-    """How a component is described: at once if its sources and the request fit; else as asked, where `auto` takes
-    batches unless some file is above a batch, which only fragments can cut."""
-    once = (source_bytes <= context) & (request <= request_limit)
-    return F.when(wanted == "fragments", "fragments").when(once, "single").when(wanted == "dossier", F.when(largest_file > batch, "error").otherwise("batches")).otherwise(F.when(largest_file > batch, "fragments").otherwise("batches"))
+def fits_once(source_bytes: Column, request: Column, context: int, request_limit: int) -> Column:
+    """Whether one request can hold a component: its sources are within the context, the request within its limit."""
+    return (source_bytes <= context) & (request <= request_limit)
+
+
+def strategy(wanted: Column, once: Column) -> Column:
+    """How a component is described: as asked, where `auto` is a dossier if one request fits and fragments if not."""
+    return F.when(wanted == "auto", F.when(once, "dossier").otherwise("fragments")).otherwise(wanted)
+
+
+def request_mode(chosen: Column, once: Column, largest_file: Column, batches: Column, batch: int) -> Column:
+    """What a chosen strategy asks for: fragments, one normal request, batches with a synthesis, or an error where a
+    dossier has a file above a batch or no second batch to split into."""
+    return F.when(chosen == "fragments", "fragments").when(once, "normal").when((largest_file > batch) | (batches < 2), "error").otherwise("batches")
 
 
 def config_impact(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -44,9 +53,15 @@ def change_kind(full: Column, changes: Column) -> Column:
     return F.when(full | (changes == 0), "full").otherwise("incremental")
 
 
-def failure_category(error: Column) -> Column:
-    """A typed error's category, the first that fits."""
-    return F.when(error.isin("canceled", "deadline"), "canceled").when(error == "budget", "budget").when(error.isin("length", "saturated"), "truncation").when(error.startswith("http_4"), "provider").when(error.startswith("http_5") | (error == "network"), "transport").otherwise("other")
+# What a failed completion may be, as it is reported.
+COMPLETION_FAILURES = ["truncated", "incomplete", "empty", "invalid_envelope", "invalid_utf8", "response_too_large"]
+
+
+def failure_category(error: Column, completion: Column) -> Column:
+    """A typed error's category, the first that fits: a completion's own, else transport, schema_validation, call_limit,
+    output_validation, cancelled, and generation for all others."""
+    out = F.when((error == "completion") & completion.isin(COMPLETION_FAILURES), completion).when(error == "transport", "transport").when(error == "dossier_validation", "schema_validation")
+    return out.when(error == "call_limit", "call_limit").when(error == "output_validation", "output_validation").when(error.isin("canceled", "deadline_exceeded"), "cancelled").otherwise("generation")
 
 
 def split_scopes(scopes: DataFrame, retry: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], levels: int = 3) -> DataFrame:
@@ -83,9 +98,14 @@ def split_scopes(scopes: DataFrame, retry: Callable[[DataFrame], DataFrame], kee
     return done
 
 
+#: The order of scopes within one component.
+SCOPE_ORDER = ["batch", "batch_count", "chunk", "chunk_count", "split_path", "kind"]
+
+
 def scope_order(scopes: DataFrame) -> DataFrame:
-    """Scopes with their place in the fixed order: component, batch, chunk, depth of splitting, split path, kind's place, kind."""
-    depth = F.size(F.split("split_path", "/"))
-    kinds = F.array(*map(F.lit, ITEM_LIMITS))
-    place = F.expr("row_number() over (order by component_key, batch, chunk, depth_, split_path, kind_place_, kind)")
-    return scopes.withColumns({"depth_": depth, "kind_place_": F.array_position(kinds, F.col("kind"))}).withColumn("place", place).drop("depth_", "kind_place_")
+    """Scopes with their place (from 1) in the fixed order: component identity, batch, number of batches, chunk, number of
+    chunks, split path, kind. Each component is numbered alone; what comes before it is a sum over a row a component."""
+    inside = Window.partitionBy("identity").orderBy(*SCOPE_ORDER)
+    counts = scopes.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("identity", F.coalesce(F.sum("n").over(Window.orderBy("identity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    return scopes.withColumn("place", F.row_number().over(inside)).join(before, "identity").withColumn("place", F.col("place") + F.col("before_")).drop("before_")

@@ -97,8 +97,9 @@ def input_hash(name: str, source: str, data: str, versions: list[str]) -> str:
     one = framed("path", "role", "source_hash", data)
     head = [f"'{v}'" for v in versions]
     return f"""{name}_d AS (SELECT component_key, root_component, triggers, path, {one} AS digest FROM {source}),
+{name}_b AS (SELECT component_key, root_component, substr(digest, 8, 2) AS bucket, count(*) AS n, sha256(string_agg(digest, '' ORDER BY NOT triggers, path)) AS h FROM {name}_d GROUP BY ALL),
 {name} AS (SELECT component_key, root_component, {framed(*head, "component_key", "root_component::VARCHAR", "n::VARCHAR", "joined")} AS input_hash
-  FROM (SELECT component_key, root_component, count(*) AS n, string_agg(digest, '' ORDER BY NOT triggers, path) AS joined FROM {name}_d GROUP BY ALL))"""
+  FROM (SELECT component_key, root_component, sum(n)::BIGINT AS n, string_agg(bucket || h, '' ORDER BY bucket) AS joined FROM {name}_b GROUP BY ALL))"""
 
 
 ITEMS = f"items AS (SELECT doc_id, source AS component_key, lang AS section, 'T' || doc_id % 40 AS title, 'D' || doc_id % 60 AS description, {PATH} AS path FROM documents)"

@@ -14,6 +14,7 @@ from .functions import paths as P
 from .functions import text as X
 from .operators import changes, classify, components, coverage, merge, output, packing, rendering, requests, validation
 from .sources import generator, records
+from .sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +76,9 @@ def _(spark, d):
     return classify.review_worthy(classify.scan(V.tracked(spark, d), POLICY)).select("path", "reason", "size")
 
 
-_LANG = "CASE " + " ".join(f"WHEN {O.SUFFIX} = '{e}' THEN '{n}'" for e, n in classify.LANGUAGES.items()) + " ELSE 'Other' END"
+_LANG = f"""CASE {O.SUFFIX} WHEN '.go' THEN 'Go' WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.java' THEN 'Java' WHEN '.kt' THEN 'Kotlin'
+  WHEN '.rb' THEN 'Ruby' WHEN '.rs' THEN 'Rust' WHEN '.c' THEN 'C' WHEN '.h' THEN 'C' WHEN '.cc' THEN 'C++' WHEN '.cpp' THEN 'C++' WHEN '.cs' THEN 'C#' WHEN '.php' THEN 'PHP' WHEN '.swift' THEN 'Swift' WHEN '.scala' THEN 'Scala'
+  WHEN '.sh' THEN 'Shell' WHEN '.sql' THEN 'SQL' WHEN '.proto' THEN 'Protocol Buffers' ELSE 'Other' END"""
 
 
 @query("language_histogram", f"WITH {O.CUR} SELECT {_LANG} AS language, count(*) AS files FROM cur WHERE role IN ('production_source', 'unknown_source') GROUP BY 1")
@@ -206,9 +209,15 @@ def _(spark, d):
 _AFFECTED = f"{O.CUR}, {O.OLD}, {O.CHANGES}, {O.NORM}, {O.OWNERSHIP}, {O.POLICY}, {O.PICKED}, {O.KNOWN}, {O.REASONS}"
 
 
+def _stored_both(spark, d):
+    """Both snapshots without their content, written once: what follows names them many times."""
+    names = ["path", *changes.ATTRIBUTES]
+    return tuple(stored(x.select(*names)) for x in _both(spark, d))
+
+
 @query("affected_reasons", f"WITH {_AFFECTED} SELECT component_key, root_component, array_to_string(reasons, ',') AS reasons FROM affected")
 def _(spark, d):
-    return changes.affected(*_both(spark, d)).select(*KEY, F.array_join("reasons", ",").alias("reasons"))
+    return changes.affected(*_stored_both(spark, d)).select(*KEY, F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("component_changes", f"WITH {O.CUR}, {O.OLD}, {O.CHANGES}, {O.NORM} SELECT old_key AS component_key, old_root AS root_component, status, coalesce(nullif(new_path, ''), old_path) AS path FROM norm WHERE old_key <> '' UNION SELECT new_key, new_root, status, coalesce(nullif(new_path, ''), old_path) FROM norm WHERE new_key <> ''")
@@ -226,12 +235,12 @@ def _(spark, d):
   SELECT component_key, root_component, CASE WHEN now.input_hash IS NULL THEN 'delete' WHEN was.input_hash IS NULL THEN 'create' WHEN now.input_hash = was.input_hash THEN 'skip_unchanged' ELSE 'regenerate' END AS action
   FROM now FULL JOIN was USING (component_key, root_component) SEMI JOIN affected USING (component_key, root_component)""")
 def _(spark, d):
-    old, cur = _both(spark, d)
+    old, cur = _stored_both(spark, d)
     hashed = lambda files: components.input_hash(files.withColumn("data", F.lit("")), tuple(VERSIONS), "cfg")
     return changes.actions(changes.affected(old, cur), hashed(cur), hashed(old))
 
 
-@query("full_run_reason", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'explicit' WHEN event_id % 7 = 0 THEN 'base_unavailable' WHEN event_id % 5 = 0 THEN 'state_missing' WHEN event_id % 5 = 1 THEN 'state_invalid' WHEN event_id % 3 = 0 THEN 'state_incompatible' WHEN event_id % 2 = 0 THEN 'output_paths_changed' END AS reason FROM events""")
+@query("full_run_reason", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'explicit_full' WHEN event_id % 7 = 0 THEN 'base_revision_unavailable' WHEN event_id % 5 = 0 THEN 'state_missing' WHEN event_id % 5 = 1 THEN 'state_invalid' WHEN event_id % 3 = 0 THEN 'state_incompatible' WHEN event_id % 2 = 0 THEN 'output_paths_changed' END AS reason FROM events""")
 def _(spark, d):
     e = F.col("event_id")
     state = F.when(e % 5 == 0, "missing").when(e % 5 == 1, "invalid").otherwise("valid")
@@ -249,7 +258,7 @@ _WALK = """{name}_s AS (SELECT component_key, root_component, path, size, row_nu
     FROM r JOIN w_s s ON s.component_key = r.component_key AND s.root_component = r.root_component AND s.n = r.n + 1)
   SELECT component_key, root_component, max(taken) AS selected, max(bytes) AS bytes, max(n) - max(taken) AS omitted FROM r GROUP BY ALL""")
 def _(spark, d):
-    return packing.first_fit(V.files_cur(spark, d), BUDGET).select(*KEY, F.size("selected").cast("long").alias("selected"), "bytes", "omitted")
+    return packing.first_fit(V.files_cur(spark, d), BUDGET)
 
 
 _BATCHES = f"""{_WALK.format(name='b', where='')},
@@ -289,7 +298,7 @@ def _(spark, d):
     return each(False).unionByName(each(True))
 
 
-_ESTIMATES = f"""kinds AS (SELECT unnest({O.q(packing.KINDS)}) AS kind, unnest(range({len(packing.KINDS)}))::INTEGER AS ordinal), per AS (SELECT component_key, root_component, max(batch)::BIGINT AS n, sum(size)::BIGINT AS bytes FROM br GROUP BY ALL),
+_ESTIMATES = f"""kinds AS (SELECT unnest(['overview_candidate', 'architecture', 'interfaces', 'data_models', 'workflows', 'dependencies', 'review_gaps', 'overview', 'diagrams']) AS kind, unnest(range(9))::INTEGER AS ordinal), per AS (SELECT component_key, root_component, max(batch)::BIGINT AS n, sum(size)::BIGINT AS bytes FROM br GROUP BY ALL),
 est AS (SELECT component_key, root_component, kind, ordinal, CASE WHEN kind IN ('overview', 'diagrams') THEN 1 ELSE n END AS calls, CASE WHEN kind IN ('overview', 'diagrams') THEN 0 ELSE bytes END AS bytes FROM per, kinds)"""
 
 
@@ -302,11 +311,23 @@ def _(spark, d):
     return _estimates(spark, d)
 
 
-@query("estimate_rollup", f"WITH RECURSIVE {O.CUR}, {_BATCHES}, {_ESTIMATES} SELECT component_key, kind, sum(calls)::BIGINT AS calls, sum(bytes)::BIGINT AS bytes, grouping(component_key, kind)::INTEGER AS level FROM est GROUP BY ROLLUP (component_key, kind)")
+@query("estimate_rollup", f"WITH RECURSIVE {O.CUR}, {_BATCHES}, {_ESTIMATES} SELECT component_key, kind, sum(calls)::BIGINT AS calls, sum(bytes)::BIGINT AS bytes, max(bytes)::BIGINT AS largest, grouping(component_key, kind)::INTEGER AS level FROM est GROUP BY ROLLUP (component_key, kind)")
 def _(spark, d):
     return packing.estimate_rollup(_estimates(spark, d))
 
 
+@query("call_bounds", f"""WITH RECURSIVE {O.CUR}, {_BATCHES}, n AS (SELECT component_key, root_component, max(batch)::BIGINT AS scopes FROM br GROUP BY ALL) SELECT component_key, root_component, scopes, 7 * scopes + 2 AS calls, 14 * scopes + 4 AS most, 14 * scopes + 4 > 80 AS above FROM n""")
+def _(spark, d):
+    n = packing.greedy_batches(V.files_cur(spark, d), BUDGET, "alone").groupBy(*KEY).agg(F.max("batch").cast("long").alias("scopes"))
+    return n.select("*", *[c.alias(a) for c, a in zip(packing.call_bounds(F.col("scopes"), 80), ("calls", "most", "above"), strict=True)])
+
+
+@query("saturating_totals", "SELECT user_id, least(sum(CASE WHEN event_id % 3 = 0 THEN 9223372036854775807::HUGEINT ELSE event_id END), 9223372036854775807)::BIGINT AS total FROM events GROUP BY 1")
+def _(spark, d):
+    rows = V.table(spark, d, "events").select("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(N.MOST)).otherwise(F.col("event_id")).alias("v"))
+    return rows.groupBy("user_id").agg(packing.total("v").alias("total"))
+
+
 @query("saturating_numbers", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 9223372036854775807 ELSE event_id + 5 END AS added, CASE WHEN event_id % 2 = 0 AND event_id > 1 THEN 9223372036854775807 WHEN event_id % 2 = 0 THEN 0 ELSE event_id * 5 END AS multiplied,
   (event_id + 6) // 7 AS ceiling, least(0.5 * (event_id % 100 + 1), 20.0)::DOUBLE AS wait, least((event_id % 9) * ((1::BIGINT << (event_id % 5 + 1)::INTEGER) - 2), 40) AS below, event_id * 6 AS attempts FROM events""")
 def _(spark, d):
@@ -331,9 +352,9 @@ def _(spark, d):
     return _merged(spark, d).select(*GROUP, *CONTENT, F.array_join("paths", ",").alias("paths"), "support", "paths_omitted", "digest")
 
 
-@query("item_conflicts", f"WITH {O.ITEMS}, {O.MERGED} SELECT component_key, section, lower(title) AS identity, count(*) AS contents, array_to_string(list_sort(list_distinct(flatten(list(paths)))), ',') AS paths FROM mi GROUP BY ALL HAVING count(*) > 1")
+@query("item_conflicts", f"WITH {O.ITEMS}, c AS (SELECT component_key, section, lower(title) AS identity, count(DISTINCT description) AS contents FROM items GROUP BY ALL HAVING count(DISTINCT description) > 1) SELECT DISTINCT component_key, section, identity, contents, path FROM c JOIN (SELECT *, lower(title) AS identity FROM items) USING (component_key, section, identity)")
 def _(spark, d):
-    return merge.conflicts(_merged(spark, d), GROUP, F.lower("title")).withColumn("paths", F.array_join("paths", ","))
+    return merge.conflicts(V.items(spark, d), CONTENT, GROUP, F.lower("title"))
 
 
 _TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY component_key, section ORDER BY support DESC, paths[1], title, digest, canonical) AS rank FROM mi), pos AS (SELECT *, row_number() OVER (PARTITION BY component_key, section ORDER BY paths[1], title, digest, canonical) AS position FROM top WHERE rank <= 6)"
@@ -372,10 +393,16 @@ def _(spark, d):
 
 # --- validation
 
-_PROSE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{rx.replace(chr(39), chr(39) * 2)}') THEN '{why}'" for rx, why in X.PROSE_RULES)
-_BARE = r"regexp_replace(line, '\A[ \t]+', '')"
-_LINES = "CASE " + " ".join(f"WHEN regexp_matches({_BARE}, '{rx}') THEN '{why}'" for rx, why in X.LINE_RULES) + " END"
-_VARIED = "CASE doc_id % 9 WHEN 0 THEN '# ' || text WHEN 1 THEN '  - ' || text WHEN 2 THEN 'see http://x.y ' || text WHEN 3 THEN text || ' --> b' WHEN 4 THEN 'under /home/me/' || text WHEN 5 THEN '<b>' || text ELSE text END"
+# the rules as the reproduced tool has them, written out
+_SIGN = r"regexp_extract(t, '([\x00-\x08\x0B-\x1F\x7F-\x{9F}]|\p{Cf}|[\x{2500}-\x{257F}])', 1)"
+_PROSE = rf"""CASE WHEN regexp_matches({_SIGN}, '[\x00-\x1F\x7F-\x{{9F}}]') THEN 'a control character' WHEN regexp_matches({_SIGN}, '\p{{Cf}}') THEN 'a formatting character' WHEN {_SIGN} <> '' THEN 'box-drawing characters'
+  WHEN regexp_matches(t, '(?i)([a-z][a-z0-9+.\-]*://|\b(?:javascript|data|vbscript|mailto|tel|file):)') THEN 'a URI scheme' WHEN contains(t, '](') THEN 'a Markdown link' WHEN regexp_matches(t, '(?i)</?[a-z!][^>]*>') THEN 'HTML'
+  WHEN contains(t, '```') OR contains(t, '~~~') THEN 'a code fence' WHEN regexp_matches(t, '-->|<--|==>|<==|[-=_]{{4,}}') THEN 'an ASCII diagram'
+  WHEN regexp_matches(t, '(?i)(?:^|[\s"''(<])(?:[a-z]:\\|/(?:users|home|root|private|var|tmp|etc|opt|usr|mnt|dev|proc|sys)(?:/|$|\s))') THEN 'a machine path'"""
+_BARE = r"ltrim(line, ' ' || chr(9))"
+_LINES = rf"""CASE WHEN starts_with({_BARE}, '#') THEN 'a heading' WHEN regexp_matches({_BARE}, '^(?:[-*+]\s+|\d+[.)]\s+)') THEN 'a list'
+  WHEN regexp_matches({_BARE}, '(?i)^(?:graph|flowchart)\s+(?:tb|td|bt|rl|lr|dt)\b|^(?:sequencediagram|classdiagram|erdiagram|statediagram(?:-v2)?|gantt|pie|journey|gitgraph|mindmap|timeline)\b') THEN 'diagram syntax' END"""
+_VARIED = "CASE doc_id % 9 WHEN 0 THEN '# ' || text WHEN 1 THEN '  - ' || text WHEN 2 THEN 'see http://x.y ' || text WHEN 3 THEN text || ' --> b' WHEN 4 THEN 'under /home/me/' || text WHEN 5 THEN '<b>' || text WHEN 6 THEN text || chr(9472) || chr(7) WHEN 7 THEN chr(7) || chr(8203) || text ELSE text END"
 
 
 @query("prose_issues", f"""WITH t AS (SELECT doc_id, {_VARIED} AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t),
@@ -383,7 +410,7 @@ _VARIED = "CASE doc_id % 9 WHEN 0 THEN '# ' || text WHEN 1 THEN '  - ' || text W
   SELECT doc_id, 1 AS seq, 'string_too_long' AS code, '4000' AS detail FROM p WHERE strlen(t) > 4000 UNION ALL SELECT doc_id, 2, 'unsafe_prose', why FROM p WHERE why IS NOT NULL""")
 def _(spark, d):
     n, t = F.col("doc_id") % 9, F.col("text")
-    varied = F.when(n == 0, F.concat(F.lit("# "), t)).when(n == 1, F.concat(F.lit("  - "), t)).when(n == 2, F.concat(F.lit("see http://x.y "), t)).when(n == 3, F.concat(t, F.lit(" --> b"))).when(n == 4, F.concat(F.lit("under /home/me/"), t)).when(n == 5, F.concat(F.lit("<b>"), t)).otherwise(t)
+    varied = F.when(n == 0, F.concat(F.lit("# "), t)).when(n == 1, F.concat(F.lit("  - "), t)).when(n == 2, F.concat(F.lit("see http://x.y "), t)).when(n == 3, F.concat(t, F.lit(" --> b"))).when(n == 4, F.concat(F.lit("under /home/me/"), t)).when(n == 5, F.concat(F.lit("<b>"), t)).when(n == 6, F.concat(t, F.lit("\u2500\x07"))).when(n == 7, F.concat(F.lit("\x07\u200b"), t)).otherwise(t)
     return validation.prose_issues(V.table(spark, d, "documents").select("doc_id", varied.alias("t")), "doc_id", "t", 4000)
 
 
@@ -447,12 +474,12 @@ def _(spark, d):
     return validation.first_issues(lines, ["doc_id"], ["n"], 3).select("doc_id", "n", F.octet_length("line").alias("bytes"))
 
 
-@query("state_issues", f"WITH {O.CUR} SELECT path, 'bad_hash' AS code FROM cur WHERE doc_id % 10 = 0 UNION ALL SELECT '../' || path, 'unclean_path' FROM cur WHERE doc_id % 10 = 1 UNION ALL SELECT path, 'unknown_role' FROM cur WHERE doc_id % 10 = 2")
+@query("state_issues", f"WITH {O.CUR} SELECT component_key AS state, path, 'bad_hash' AS code FROM cur WHERE doc_id % 10 = 0 UNION ALL SELECT component_key, '../' || path, 'unclean_path' FROM cur WHERE doc_id % 10 = 1 UNION ALL SELECT component_key, path, 'unknown_role' FROM cur WHERE doc_id % 10 = 2 UNION ALL SELECT component_key, p, 'unsorted' FROM (SELECT component_key, CASE WHEN doc_id % 10 = 1 THEN '../' ELSE '' END || path AS p, lag(CASE WHEN doc_id % 10 = 1 THEN '../' ELSE '' END || path) OVER (PARTITION BY component_key ORDER BY doc_id) AS b FROM cur) WHERE p < b")
 def _(spark, d):
     f = V.files_cur(spark, d)
     n = F.col("doc_id") % 10
-    row = F.struct(F.when(n == 1, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"), F.when(n == 0, "md5:1").otherwise(F.col("source_hash")).alias("source_hash"), F.when(n == 2, "poem").otherwise(F.col("role")).alias("role"))
-    return records.state_issues(f.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("files")))
+    path = F.when(n == 1, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
+    return records.file_issues(f.select(F.col("component_key").alias("state"), F.col("doc_id").alias("n"), path.alias("path"), F.when(n == 0, "md5:1").otherwise(F.col("source_hash")).alias("source_hash"), F.when(n == 2, "poem").otherwise(F.col("role")).alias("role")))
 
 
 # --- coverage
@@ -558,8 +585,19 @@ def _hashes(df):
   FROM o FULL JOIN cur c ON o.path = c.path) SELECT path, priority, {O.q(output.REASONS)}[priority + 1] AS reason FROM p WHERE priority IS NOT NULL""")
 def _(spark, d):
     old, cur = _both(spark, d)
-    owned = old.select("path", F.when(F.col("doc_id") % 23 == 0, "").otherwise(F.col("source_hash")).alias("hash"))
-    return output.integrity(owned, _hashes(cur))
+    return output.integrity(_owned(old), _hashes(cur))
+
+
+def _owned(old):
+    return old.select("path", F.when(F.col("doc_id") % 23 == 0, "").otherwise(F.col("source_hash")).alias("hash"))
+
+
+@query("first_integrity_reason", f"""WITH {O.CUR}, {O.OLD}, o AS (SELECT path, doc_id, CASE WHEN doc_id % 23 = 0 THEN '' ELSE source_hash END AS hash FROM old), i AS (SELECT path, source_hash FROM cur WHERE path IN (SELECT path FROM old)),
+  p AS (SELECT o.path, CASE WHEN i.path IS NULL THEN 'an owned generated document is missing' WHEN o.hash = '' THEN 'prior state has no content hash for an owned document' WHEN o.hash <> i.source_hash THEN 'an installed generated document was modified since it was generated' END AS reason FROM o LEFT JOIN i USING (path))
+  SELECT arg_min(reason, path) AS reason FROM p WHERE reason IS NOT NULL""")
+def _(spark, d):
+    old, cur = _both(spark, d)
+    return output.first_reason(output.integrity(_owned(old), _hashes(cur).join(old.select("path"), "path", "left_semi")))
 
 
 @query("output_diff", f"WITH {O.CUR}, {O.OLD} SELECT coalesce(c.path, o.path) AS path, CASE WHEN c.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'added' WHEN c.source_hash <> o.source_hash THEN 'changed' ELSE 'unchanged' END AS status FROM old o FULL JOIN cur c ON o.path = c.path")
@@ -642,11 +680,26 @@ def _(spark, d):
     return records.change_records(V.table(spark, d, "documents").select(raw.alias("raw")))
 
 
-@query("response_failures", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty' WHEN 2 THEN 'too_large' WHEN 3 THEN 'unknown_finish' END AS failure FROM events")
+@query("response_failures", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty' WHEN 2 THEN 'response_too_large' WHEN 3 THEN 'incomplete' WHEN 5 THEN 'incomplete' WHEN 6 THEN 'invalid_envelope' WHEN 7 THEN 'empty' END AS failure, CASE WHEN event_id % 8 = 4 THEN 'ok' END AS body, CASE WHEN event_id % 8 = 4 THEN event_id END AS total FROM events""")
+def _(spark, d):
+    n = F.col("event_id") % 8
+    content = F.when(n == 1, "").when(n == 2, F.repeat(F.lit("x"), 99)).otherwise("ok")
+    finish = F.when(n == 0, "length").when(n == 3, "content_filter").when(n == 5, "tool_calls").otherwise("stop")
+    choice = F.struct(finish.alias("finish_reason"), F.struct(content.alias("content")).alias("message"))
+    envelope = F.to_json(F.struct(F.lit("r").alias("id"), F.when(n == 7, F.array()).otherwise(F.array(choice)).alias("choices"), F.struct(F.col("event_id").alias("total_tokens")).alias("usage")))
+    rows = V.table(spark, d, "events").select("event_id", F.when(n == 6, "{").otherwise(envelope).alias("raw"))
+    return records.chat_answers(rows, 50).select("event_id", "failure", "body", "total")
+
+
+@query("reply_failures", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'truncated' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'empty' WHEN 3 THEN 'incomplete' WHEN 4 THEN 'invalid_envelope' END AS failure, CASE WHEN event_id % 6 = 5 THEN 'ab' END AS body FROM events""")
 def _(spark, d):
-    n = F.col("event_id") % 5
-    rows = V.table(spark, d, "events").select("event_id", F.when(n == 1, "").when(n == 2, F.repeat(F.lit("x"), 99)).otherwise("ok").alias("body"), F.when(n == 0, "length").when(n == 3, "odd").otherwise("stop").alias("finish_reason"))
-    return records.responses(rows, 50).select("event_id", "failure")
+    n = F.col("event_id") % 6
+    status = F.when(n < 2, "incomplete").when(n == 3, "failed").otherwise("completed")
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), F.lit(text).alias("text"))
+    content = F.when(n == 2, F.array(part("refusal", "no"))).otherwise(F.array(part("output_text", "a"), part("refusal", "x"), part("text", "b")))
+    envelope = F.to_json(F.struct(status.alias("status"), F.struct(F.when(n == 0, "max_output_tokens").otherwise("content_filter").alias("reason")).alias("incomplete_details"), F.array(F.struct(content.alias("content"))).alias("output")))
+    rows = V.table(spark, d, "events").select("event_id", F.when(n == 4, "[1]").otherwise(envelope).alias("raw"))
+    return records.reply_answers(rows, 50).select("event_id", "failure", "body")
 
 
 @query("generated_responses")
@@ -664,12 +717,15 @@ def _(spark, d):
     return docs.select("doc_id", requests.request_bytes(F.col("source").alias("component"), "text").alias("bytes"), requests.synthesis_bytes(F.lit(100).cast("long"), F.col("doc_id") % 9, 65536).alias("synthesis"))
 
 
-@query("strategy_choice", f"""WITH {O.CUR}, c AS (SELECT component_key, root_component, sum(size) FILTER (WHERE triggers)::BIGINT AS bytes, max(size) FILTER (WHERE triggers) AS largest, ['auto', 'dossier', 'fragments'][strlen(component_key) % 3 + 1] AS wanted FROM cur GROUP BY ALL HAVING count(*) FILTER (WHERE triggers) > 0)
-  SELECT component_key, root_component, CASE WHEN wanted = 'fragments' THEN 'fragments' WHEN bytes <= 60000 AND bytes + 1024 <= 50000 THEN 'single' WHEN wanted = 'dossier' THEN CASE WHEN largest > 12000 THEN 'error' ELSE 'batches' END ELSE CASE WHEN largest > 12000 THEN 'fragments' ELSE 'batches' END END AS strategy FROM c""")
+@query("strategy_choice", f"""WITH {O.CUR}, c AS (SELECT component_key, root_component, sum(size) FILTER (WHERE triggers)::BIGINT AS bytes, max(size) FILTER (WHERE triggers) AS largest, ['auto', 'dossier', 'fragments'][strlen(component_key) % 3 + 1] AS wanted FROM cur GROUP BY ALL HAVING count(*) FILTER (WHERE triggers) > 0),
+  s AS (SELECT *, bytes <= 60000 AND bytes + 1024 <= 50000 AS once FROM c), t AS (SELECT *, CASE WHEN wanted <> 'auto' THEN wanted WHEN once THEN 'dossier' ELSE 'fragments' END AS strategy FROM s)
+  SELECT component_key, root_component, strategy, CASE WHEN strategy = 'fragments' THEN 'fragments' WHEN once THEN 'normal' WHEN largest > 12000 OR (bytes + 11999) // 12000 < 2 THEN 'error' ELSE 'batches' END AS mode FROM t""")
 def _(spark, d):
     c = V.files_cur(spark, d).where("triggers").groupBy(*KEY).agg(F.sum("size").alias("bytes"), F.max("size").alias("largest"))
     wanted = F.element_at(F.array(F.lit("auto"), F.lit("dossier"), F.lit("fragments")), F.octet_length("component_key") % 3 + 1)
-    return c.select(*KEY, requests.strategy(F.col("bytes"), F.col("bytes") + 1024, F.col("largest"), wanted, 60_000, 50_000, 12_000).alias("strategy"))
+    once = requests.fits_once(F.col("bytes"), F.col("bytes") + 1024, 60_000, 50_000)
+    c = c.withColumn("strategy", requests.strategy(wanted, once))
+    return c.select(*KEY, "strategy", requests.request_mode(F.col("strategy"), once, F.col("largest"), N.ceil_div(F.col("bytes"), 12_000), 12_000).alias("mode"))
 
 
 @query("config_impact", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'paths' END, CASE WHEN doc_id % 3 = 0 THEN 'source' END) END AS impact FROM documents""")
@@ -679,21 +735,21 @@ def _(spark, d):
     return requests.config_impact(old, docs, "doc_id").select("doc_id", F.array_join("impact", ",").alias("impact"))
 
 
-@query("failure_categories", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'canceled' WHEN 1 THEN 'budget' WHEN 2 THEN 'truncation' WHEN 3 THEN 'provider' WHEN 4 THEN 'transport' ELSE 'other' END AS category, CASE WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN 'full' ELSE 'incremental' END AS kind FROM events""")
+@query("failure_categories", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'call_limit' WHEN 2 THEN 'truncated' WHEN 3 THEN 'transport' WHEN 4 THEN 'schema_validation' WHEN 5 THEN 'output_validation' WHEN 6 THEN 'response_too_large' ELSE 'generation' END AS category, CASE WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN 'full' ELSE 'incremental' END AS kind FROM events""")
 def _(spark, d):
     n = F.col("event_id")
-    error = F.element_at(F.array(*map(F.lit, ["deadline", "budget", "length", "http_429", "http_503", "odd"])), (n % 6 + 1).cast("int"))
-    return V.table(spark, d, "events").select("event_id", requests.failure_category(error).alias("category"), requests.change_kind(n % 4 == 0, n % 3).alias("kind"))
+    error = F.element_at(F.array(*map(F.lit, ["deadline_exceeded", "call_limit", "completion", "transport", "dossier_validation", "output_validation", "completion", "odd"])), (n % 8 + 1).cast("int"))
+    return V.table(spark, d, "events").select("event_id", requests.failure_category(error, F.when(n % 8 == 2, "truncated").otherwise("response_too_large")).alias("category"), requests.change_kind(n % 4 == 0, n % 3).alias("kind"))
 
 
-@query("scope_order", """WITH s AS (SELECT conv_id::VARCHAR AS component_key, turn::INTEGER AS batch, 1 AS chunk, 'b' || turn || CASE WHEN role = 'user' THEN '/0' ELSE '' END AS split_path, CASE role WHEN 'user' THEN 'workflows' WHEN 'assistant' THEN 'architecture' ELSE 'interfaces' END AS kind FROM conversations)
-  SELECT component_key, batch, split_path, kind, row_number() OVER (ORDER BY component_key, batch, chunk, len(string_split(split_path, '/')), split_path, kind) AS place FROM s""")
+@query("scope_order", """WITH s AS (SELECT '1:' || conv_id AS identity, turn::INTEGER AS batch, (conv_id % 3 + 1)::INTEGER AS batch_count, (turn % 2)::INTEGER AS chunk, 1 AS chunk_count, 'b' || turn || CASE WHEN role = 'user' THEN '/0' ELSE '' END AS split_path, CASE role WHEN 'user' THEN 'workflows' WHEN 'assistant' THEN 'architecture' ELSE 'interfaces' END AS kind FROM conversations)
+  SELECT identity, batch, batch_count, split_path, kind, row_number() OVER (ORDER BY identity, batch, batch_count, chunk, chunk_count, split_path, kind) AS place FROM s""")
 def _(spark, d):
     t = V.scopes(spark, d)
     kind = F.when(F.col("kind") == "user", "workflows").when(F.col("kind") == "assistant", "architecture").otherwise("interfaces")
     path = F.concat(F.lit("b"), F.col("turn").cast("string"), F.when(F.col("kind") == "user", "/0").otherwise(""))
-    rows = t.select(F.col("conv_id").cast("string").alias("component_key"), F.col("turn").cast("int").alias("batch"), F.lit(1).alias("chunk"), path.alias("split_path"), kind.alias("kind"))
-    return requests.scope_order(rows).select("component_key", "batch", "split_path", "kind", F.col("place").cast("long").alias("place"))
+    rows = t.select(F.concat(F.lit("1:"), F.col("conv_id").cast("string")).alias("identity"), F.col("turn").cast("int").alias("batch"), (F.col("conv_id") % 3 + 1).cast("int").alias("batch_count"), (F.col("turn") % 2).cast("int").alias("chunk"), F.lit(1).alias("chunk_count"), path.alias("split_path"), kind.alias("kind"))
+    return requests.scope_order(rows).select("identity", "batch", "batch_count", "split_path", "kind", F.col("place").cast("long").alias("place"))
 
 
 _FIXED = "'# Index' || chr(10) || chr(10) || '" + "' || chr(10) || '".join(f"- [{x}]({x})" for x in rendering.DOCUMENTS[1:]) + "' || chr(10) || chr(10)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_clean
@@ -83,22 +83,56 @@ def load_state(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
 
 
 def state_issues(state: DataFrame) -> DataFrame:
-    """path, code of files in a state that break a rule: order, uniqueness, path, hash, role."""
-    files = state.select(F.posexplode("files").alias("n", "f")).select("n", "f.*")
-    twice = files.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("c > 1").select("path", F.lit("duplicate_path").alias("code"))
-    sorted_ = state.where(F.transform("files", lambda f: f["path"]) != F.array_sort(F.transform("files", lambda f: f["path"]))).select(F.lit("").alias("path"), F.lit("unsorted").alias("code"))
+    """path, code of the files of a state (one row, whose size load_state() bounds) that break a rule."""
+    return file_issues(state.select(F.lit(0).alias("state"), F.posexplode("files").alias("n", "f")).select("state", "n", "f.*")).drop("state")
+
+
+def file_issues(files: DataFrame) -> DataFrame:
+    """state, path, code of files that break a rule: order, uniqueness, path, hash, role. `files`: state, n (the place in
+    it), path, source_hash, role. A path out of order is one that comes before the path that it follows."""
+    twice = files.groupBy("state", "path").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("state", "path", F.lit("duplicate_path").alias("code"))
+    before = F.lag("path").over(Window.partitionBy("state").orderBy("n"))
+    late = files.withColumn("before", before).where("path < before").select("state", "path", F.lit("unsorted").alias("code"))
     codes = F.array(F.when(~is_clean(F.col("path")), "unclean_path"), F.when(~is_hash(F.col("source_hash")), "bad_hash"), F.when(~F.coalesce(F.col("role").isin(list(ROLES)), F.lit(False)), "unknown_role"))
-    each = files.select("path", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
-    return twice.unionByName(sorted_).unionByName(each)
+    each = files.select("state", "path", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+    return twice.unionByName(late).unionByName(each)
+
+
+def _bounded(finish_failure: Column, content: Column, most_bytes: int) -> Column:
+    """The failure of a finished answer: how it finished, else none at all, too many bytes, no valid text."""
+    return F.coalesce(finish_failure, F.when(F.coalesce(content, F.lit("")) == "", "empty").when(F.octet_length(content) > most_bytes, "response_too_large").when(~F.is_valid_utf8(content), "invalid_utf8"))
+
+
+def _normalised(raw: DataFrame, finish: Column, request: Column, content: Column, failure: Column, usage: list[Column]) -> DataFrame:
+    named = [finish.alias("finish_reason"), request.alias("provider_request_id"), F.when(failure.isNull(), content).alias("body"), failure.alias("failure")]
+    counts = [F.when(failure.isNull(), c).alias(n) for n, c in zip(("prompt", "completion", "total"), usage, strict=True)]
+    return raw.select("*", *named, *counts)
+
+
+CHAT = "id string, choices array<struct<finish_reason string, message struct<content string>>>, usage struct<prompt_tokens long, completion_tokens long, total_tokens long>"
+REPLY = "id string, status string, incomplete_details struct<reason string>, output array<struct<content array<struct<type string, text string>>>>, usage struct<input_tokens long, output_tokens long, total_tokens long>"
+
+
+def chat_answers(raw: DataFrame, most_bytes: int, column: str = "raw") -> DataFrame:
+    """All columns with finish_reason, provider_request_id, body, failure, prompt, completion, total of chat envelopes (JSON).
 
+    Failures: invalid_envelope for what is no JSON object, empty without a choice, truncated where it finished for
+    "length", incomplete for any other reason than "stop", then empty, response_too_large, invalid_utf8."""
+    e, ok = F.from_json(column, CHAT), F.startswith(F.schema_of_variant(F.try_parse_json(column)), F.lit("OBJECT"))
+    first = F.get(e["choices"], F.lit(0))
+    finish, content = first["finish_reason"], first["message"]["content"]
+    early = F.when(~F.coalesce(ok, F.lit(False)), "invalid_envelope").when(first.isNull(), "empty").when(finish == "length", "truncated").when(~finish.eqNullSafe(F.lit("stop")), "incomplete")
+    return _normalised(raw, finish, e["id"], content, _bounded(early, content, most_bytes), [e["usage"][c] for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
 
-# What a model's reason for stopping means.
-FINISH = {"stop": None, "length": "truncated", "max_output_tokens": "truncated", "content_filter": "refused", "tool_calls": "unsupported"}
 
+def reply_answers(raw: DataFrame, most_bytes: int, column: str = "raw") -> DataFrame:
+    """As chat_answers(), of envelopes with a status and a list of output items, whose text parts are joined.
 
-def responses(raw: DataFrame, most_bytes: int, body: str = "body", reason: str = "finish_reason") -> DataFrame:
-    """All columns with failure: empty, too large, no valid text, or what the reason for stopping means."""
-    known = F.create_map(*[F.lit(x) for k, v in FINISH.items() for x in (k, v or "")])
-    meaning = F.coalesce(F.try_element_at(known, F.col(reason)), F.lit("unknown_finish"))
-    failure = F.when(meaning != "", meaning).when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "empty").when(F.octet_length(body) > most_bytes, "too_large").when(~F.is_valid_utf8(body), "invalid_utf8")
-    return raw.withColumn("failure", failure)
+    Not "completed" is truncated where the status is "incomplete" for "max_output_tokens", and incomplete else."""
+    e, ok = F.from_json(column, REPLY), F.startswith(F.schema_of_variant(F.try_parse_json(column)), F.lit("OBJECT"))
+    why = e["incomplete_details"]["reason"]
+    parts = F.flatten(F.transform(F.coalesce(e["output"], F.array().cast("array<struct<content:array<struct<type:string,text:string>>>>")), lambda o: F.coalesce(o["content"], F.array().cast("array<struct<type:string,text:string>>"))))
+    content = F.array_join(F.transform(F.filter(parts, lambda p: p["type"].isin("output_text", "text")), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    cut_off = (e["status"] == "incomplete") & (why == "max_output_tokens")
+    early = F.when(~F.coalesce(ok, F.lit(False)), "invalid_envelope").when(F.coalesce(cut_off, F.lit(False)), "truncated").when(~e["status"].eqNullSafe(F.lit("completed")), "incomplete")
+    return _normalised(raw, F.coalesce(why, e["status"]), e["id"], content, _bounded(early, content, most_bytes), [e["usage"][c] for c in ("input_tokens", "output_tokens", "total_tokens")])

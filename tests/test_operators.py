@@ -25,8 +25,13 @@ def test_component_keys(spark):
 def test_packing(spark):
     rows = [("c", False, f"p{i}", s) for i, s in enumerate([5, 9, 3, 4, 1])]
     df = spark.createDataFrame(rows, "component_key string, root_component boolean, path string, size long").repartition(3)
+    assert [r["path"] for r in packing.fitted(df, 10).where("selected").orderBy("path").collect()] == ["p0", "p2", "p4"]
     r = packing.first_fit(df, 10).first()
-    assert (r["selected"], r["bytes"], r["omitted"]) == (["p0", "p2", "p4"], 9, 2)
+    assert (r["selected"], r["bytes"], r["omitted"]) == (3, 9, 2)
+    # many files of one component, in more than one batch of rows
+    many = spark.range(30_000).select(F.lit("c").alias("component_key"), F.lit(False).alias("root_component"), F.format_string("p%06d", "id").alias("path"), (F.col("id") % 7 + 1).alias("size"))
+    got = packing.greedy_batches(many, 10).groupBy("batch").agg(F.sum("size").alias("n"))
+    assert got.where("n > 10").count() == 0 and got.count() == packing.greedy_batches(many, 10).agg(F.max("batch")).first()[0]
     got = {x["path"]: x["batch"] for x in packing.greedy_batches(df, 8, "alone").collect()}
     assert got == {"p0": 1, "p1": 2, "p2": 3, "p3": 3, "p4": 3}
     with pytest.raises(Exception, match="above the batch limit: p1"):
@@ -54,9 +59,9 @@ def test_merge_does_not_depend_on_order(spark):
 
 def test_conflicts_have_all_paths(spark):
     rows = [("c", "s", "T", f"D{i % 2}", f"p{i:03}") for i in range(500)]
-    m = merge.merged(spark.createDataFrame(rows, "component_key string, section string, title string, description string, path string"), ["title", "description"], ["component_key", "section"])
-    found = merge.conflicts(m, ["component_key", "section"], F.lower("title")).collect()
-    assert [(r["identity"], r["contents"], r["paths"]) for r in found] == [("t", 2, [f"p{i:03}" for i in range(500)])]
+    items = spark.createDataFrame(rows, "component_key string, section string, title string, description string, path string")
+    found = merge.conflicts(items, ["title", "description"], ["component_key", "section"], F.lower("title")).orderBy("path").collect()
+    assert [(r["identity"], r["contents"], r["path"]) for r in found] == [("t", 2, f"p{i:03}") for i in range(500)]
 
 
 def test_changes(spark):
