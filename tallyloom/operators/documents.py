@@ -221,6 +221,51 @@ def review_notes(dossiers: DataFrame, decisions: DataFrame, docs_dir: str, omitt
     return owned_document(sections(dossiers, docs_dir, "review_gaps"), f"{docs_dir}/review_notes.md", head, "review_gaps", scanner_notes(decisions, omitted))
 
 
+# What the index says of each document.
+INDEX = [
+    ("Codebase Info", "codebase_info.md", "Scanner metadata, detected languages, manifests, and the component hierarchy."),
+    ("Components", "components.md", "Catalog of components with purpose and responsibilities."),
+    ("Architecture", "architecture.md", "Architectural responsibilities and boundaries per component."),
+    ("Interfaces", "interfaces.md", "APIs, events, commands, and integration points per component."),
+    ("Data Models", "data_models.md", "Entities, schemas, fields, relationships, and class diagrams."),
+    ("Workflows", "workflows.md", "Runtime and development flows with flow and sequence diagrams."),
+    ("Dependencies", "dependencies.md", "External and internal dependencies per component."),
+    ("Review Notes", "review_notes.md", "Deterministic scanner notes and model-reported review gaps."),
+]
+INDEX_HEAD = ["# Repository Documentation", "", "This knowledge base is generated by tallyloom. It is the primary entry point for", "maintainers, onboarding engineers, API consumers, and AI coding assistants.", "", "## Documents", ""]
+INDEX_FOOT = ["", "## Navigation", "", "Start with the topic documents for a cross-component view, or open a component page", "for its complete dossier. Each component owns clearly marked sections in the topic", "documents; generated content is managed by tallyloom and should not be edited by hand."]
+
+
+def index(components: DataFrame, docs_dir: str) -> DataFrame:
+    """path, content of the index: the documents, then each component (component_key, root_component, document), the root
+    first. It needs no dossier."""
+    link = F.regexp_replace("document", F.lit(f"^{docs_dir}/"), F.lit(""))
+    rows = components.select(F.when(F.col("root_component"), 0).otherwise(1).alias("n"), "component_key", _text("- [`", F.col("component_key"), "`](", link, ")").alias("line"))
+    listed = rows.agg(F.expr("listagg(line, '\\n') within group (order by n, component_key)").alias("l"))
+    catalogue = [f"- [{title}]({file}) — {text}" for title, file, text in INDEX]
+    body = _lines(*INDEX_HEAD, *catalogue, "", "## Components", "", F.coalesce("l", F.lit("_No documentable components were discovered._")), *INDEX_FOOT)
+    return listed.select(F.lit(f"{docs_dir}/index.md").alias("path"), tidy(body).alias("content"))
+
+
+def codebase_info(decisions: DataFrame, languages: DataFrame, manifests: DataFrame, components: DataFrame, hierarchy: DataFrame, docs_dir: str, omitted: int = 0) -> DataFrame:
+    """path, content of the codebase's document: counts, languages (language, files), manifests (path) and the hierarchy
+    (content, one row). Each part is one row; they meet by position, not by a join of their rows."""
+    at = f"{docs_dir}/codebase_info.md"
+    counts = decisions.agg(F.count(F.lit(1)).alias("a"), F.count_if("included").alias("b"), F.count_if("triggers").alias("c"), F.count_if(~F.col("included")).alias("d"))
+    names = ["Tracked files", "Included as context", "Triggering regeneration", "Excluded"]
+    table = counts.select(F.lit(0).alias("n"), _lines("# Codebase Info", "", "Deterministic metadata collected by the scanner. This document contains no model output.", "", "## Summary", "", "| Metric | Value |", "| --- | --- |", *[_text(f"| {name} | ", F.col(c).cast("string"), " |") for name, c in zip(names, "abcd", strict=True)]).alias("part"))
+    number = components.agg(F.lit(1).alias("n"), _text("| Components | ", F.count(F.lit(1)).cast("string"), " |\n").alias("part"))
+    rows = languages.select("files", "language", _text("| ", escape_cell(F.col("language")), " | ", F.col("files").cast("string"), " |").alias("line"))
+    spoken = rows.agg(F.expr("listagg(line, '\\n') within group (order by files desc, language)").alias("l"))
+    spoken = spoken.select(F.lit(2).alias("n"), _lines("## Languages", "", F.when(F.col("l").isNull(), "_No source languages detected._").otherwise(_lines("| Language | Files |", "| --- | --- |", F.col("l"))), "").alias("part"))
+    listed = manifests.select("path", _text("- ", source_link(F.col("path"), F.lit(at))).alias("line")).agg(F.expr("listagg(line, '\\n') within group (order by path)").alias("l"))
+    listed = listed.select(F.lit(3).alias("n"), _lines("## Dependency Manifests", "", F.coalesce("l", F.lit("_No dependency manifests detected._")), "").alias("part"))
+    more = f"_{omitted} additional component(s) omitted from the diagram; see review notes._" if omitted else None
+    tree = hierarchy.select(F.lit(4).alias("n"), _lines("## Component Hierarchy", "", _text("```mermaid\n", F.col("content"), "\n```"), "", F.lit(more).cast("string")).alias("part"))
+    parts = table.unionByName(number).unionByName(spoken).unionByName(listed).unionByName(tree)
+    return parts.agg(F.expr("listagg(part, '\\n') within group (order by n)").alias("c")).select(F.lit(at).alias("path"), tidy(F.col("c")).alias("content"))
+
+
 def document_set(dossiers: DataFrame, decisions: DataFrame, index: DataFrame, info: DataFrame, docs_dir: str, omitted: int = 0) -> DataFrame:
     """path, content of every document: the index and the codebase's (path, content), which need no dossier, the
     components overview, the topics, the review notes, and a page for each component."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rendering import sequence_issues
+
 # Why installed output isn't as the state left it, the first reason first.
 REASONS = [
     "the generated directory contains a file not owned by prior state",
@@ -77,3 +79,43 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
 def usage_totals(calls: DataFrame, group: list[str]) -> DataFrame:
     """group, calls, with_usage, prompt, completion, total: sums over the calls that report them."""
     return calls.groupBy(*group).agg(F.count(F.lit(1)).alias("calls"), F.count("total").alias("with_usage"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum("total").alias("total"))
+
+
+def candidate_checks(documents: DataFrame, sections: tuple[DataFrame, DataFrame], expected: DataFrame, state: DataFrame, required: list[str], root: str, secret) -> DataFrame:
+    """step, path, code: all that keeps a set of documents (path, content) from being installed, in the order of the checks.
+
+    sections: what rendering.sections() found (doc, topic, key, begin_line) and its malformed documents; expected: doc, n,
+    topic, key of the sections that a document must have, none for one without; state: path, hash; secret: a column
+    function of content. Links that leave the folder, are absolute or have a scheme aren't looked at."""
+    spark = documents.sparkSession
+    row = lambda df, step, code: df.select(F.lit(step).alias("step"), "path", F.lit(code).alias("code"))
+    paths = documents.select("path").distinct()
+    out = row(documents.groupBy("path").count().where("count > 1"), 0, "duplicate_path")
+    need = spark.createDataFrame([(f"{root}/{r}",) for r in required], "path string")
+    out = out.union(row(need.join(paths, "path", "left_anti"), 1, "required_missing"))
+    out = out.union(row(paths.where(~F.col("path").startswith(root + "/")), 2, "outside_root"))
+    found, malformed = sections
+    wrong = sequence_issues(found, expected).select(F.col("doc").alias("path")).union(malformed.select(F.col("doc").alias("path"))).distinct()
+    out = out.union(row(wrong, 3, "sections"))
+    out = out.union(row(documents.where(secret(F.col("content"))).select("path").distinct(), 4, "secret"))
+    links = documents.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"\]\(([^)]+)\)"), F.lit(1))).alias("target"))
+    local = links.where(~F.col("target").startswith("../") & ~F.contains("target", F.lit("://")) & ~F.col("target").startswith("/"))
+    folder = F.regexp_replace("path", r"/[^/]*\z", "")
+    resolved = clean_path(F.concat_ws("/", folder, "target"))
+    broken = local.select("path", resolved.alias("to")).distinct().join(paths.withColumnRenamed("path", "to"), "to", "left_anti")
+    out = out.union(row(broken.select("path").distinct(), 5, "broken_link"))
+    both = documents.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("now")).join(state.select("path", F.col("hash").alias("was")), "path", "full_outer")
+    code = F.when(F.col("now").isNull(), "not_rendered").when(F.col("was").isNull(), "hash_missing").when(F.col("now") != F.col("was"), "hash_mismatch")
+    step = F.when(code == "not_rendered", 8).when(code == "hash_missing", 6).otherwise(7)
+    return out.union(both.where(code.isNotNull()).select(step.alias("step"), "path", code.alias("code")))
+
+
+def clean_path(path: Column) -> Column:
+    """A relative path without its dot parts, each double dot taking the part before it away."""
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")

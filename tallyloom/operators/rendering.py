@@ -121,26 +121,6 @@ def reused(fresh: DataFrame, installed: DataFrame, key: str = "path") -> DataFra
     return f.join(installed.select(key, F.col("content").alias("old")), key, "full_outer").select(key, F.coalesce("fresh", "old").alias("content"))
 
 
-def index_lines(components: DataFrame) -> DataFrame:
-    """doc, n, line of the index: a heading, the fixed documents, then a link to each component's page, the root first."""
-    fixed = ["# Index", "", *[f"- [{d}]({d})" for d in DOCUMENTS[1:]], ""]
-    spark = components.sparkSession
-    head = spark.createDataFrame([("index.md", i, "", line) for i, line in enumerate(fixed)], "doc string, n int, key string, line string")
-    rows = components.select(F.lit("index.md").alias("doc"), (F.lit(len(fixed)) + F.when(F.col("root_component"), 0).otherwise(1)).alias("n"), F.col("component_key").alias("key"), F.concat(F.lit("- ["), escape_inline(F.col("component_key")), F.lit("](components/"), "component_key", F.lit("/index.md)")).alias("line"))
-    return head.unionByName(rows)
-
-
-def codebase_info(decisions: DataFrame, languages: DataFrame) -> DataFrame:
-    """doc, n, key, line: counts of the scan, then the languages, the most common first."""
-    counts = decisions.agg(F.count(F.lit(1)).alias("Tracked files"), F.count_if("included").alias("Included files"), F.count_if("triggers").alias("Triggering files"), F.count_if(~F.col("included")).alias("Excluded files"))
-    rows = counts.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in counts.columns])).alias("i", "x"))
-    doc = F.lit("codebase_info.md")
-    metric = rows.select(doc.alias("doc"), (F.col("i") + 3).cast("long").alias("n"), F.lit("").alias("key"), table_rows(F.col("x.c"), F.col("x.v").cast("string")).alias("line"))
-    head = decisions.sparkSession.createDataFrame([("codebase_info.md", 0, "", "# Codebase"), ("codebase_info.md", 1, "", "| Metric | Value |"), ("codebase_info.md", 2, "", "| --- | --- |"), ("codebase_info.md", 7, "", ""), ("codebase_info.md", 8, "", "| Language | Files |"), ("codebase_info.md", 9, "", "| --- | --- |")], "doc string, n long, key string, line string")
-    lang = languages.select(doc.alias("doc"), (F.lit(1_000_000_000) - F.col("files")).cast("long").alias("n"), F.col("language").alias("key"), table_rows(F.col("language"), F.col("files").cast("string")).alias("line"))
-    return head.unionByName(metric).unionByName(lang)
-
-
 def hierarchy_text(parents: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """content: the tree of components as a flowchart; a parent that was left out is the root's place."""
     rows, _ = hierarchy(parents, most)

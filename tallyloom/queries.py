@@ -12,7 +12,7 @@ from . import views as V
 from .functions import numbers as N
 from .functions import paths as P
 from .functions import text as X
-from .operators import changes, classify, components, coverage, merge, output, packing, rendering, requests, validation
+from .operators import changes, classify, components, coverage, documents, merge, output, packing, rendering, requests, validation
 from .sources import generator, records
 from .sources.tables import stored
 
@@ -286,12 +286,22 @@ def _(spark, d):
     return whole.select(F.col("id").alias("doc_id"), F.octet_length(data).cast("long").alias("bytes"), F.sha2(data, 256).alias("sha256"))
 
 
-@query("newline_chunk_sizes")
+# where each line of a text ends, as the number of bytes up to and with its line break
+_ENDS = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS lines FROM documents), ends AS (SELECT doc_id, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS e, n, lines FROM l QUALIFY n < lines), d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS size FROM documents)"
+
+
+@query("newline_chunk_sizes", f"""WITH RECURSIVE {_ENDS}, r(doc_id, size, chunk, start, stop) AS (SELECT doc_id, size, -1, 0::BIGINT, 0::BIGINT FROM d UNION ALL
+    SELECT r.doc_id, r.size, r.chunk + 1, r.stop, CASE WHEN r.size - r.stop <= 4000 THEN r.size ELSE (SELECT max(e) FROM ends WHERE ends.doc_id = r.doc_id AND e > r.stop AND e <= r.stop + 4000) END FROM r WHERE r.stop IS NOT NULL AND (r.stop < r.size OR r.chunk = -1)),
+  bad AS (SELECT DISTINCT doc_id FROM r WHERE stop IS NULL)
+  SELECT doc_id AS id, chunk::INTEGER AS chunk, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS chunk_count, (stop - start)::INTEGER AS bytes FROM r WHERE chunk >= 0 AND doc_id NOT IN (SELECT doc_id FROM bad) UNION ALL SELECT doc_id, -1, 0, NULL FROM bad""")
 def _(spark, d):
     return packing.newline_chunks(V.table(spark, d, "documents"), 4000, "doc_id", "text").select("id", "chunk", "chunk_count", F.octet_length("data").alias("bytes"))
 
 
-@query("bisected_texts")
+@query("bisected_texts", f"""WITH {_ENDS}, c AS (SELECT d.doc_id, size, coalesce(max(e) FILTER (WHERE e <= size // 2), min(e) FILTER (WHERE e > size // 2)) AS mid FROM d LEFT JOIN ends USING (doc_id) GROUP BY ALL), ok AS (SELECT * FROM c WHERE mid > 0 AND mid < size),
+  o AS (SELECT ok.doc_id, size, mid, coalesce(max(e) FILTER (WHERE e <= mid - 1), 0) AS line FROM ok LEFT JOIN ends USING (doc_id) GROUP BY ALL), s AS (SELECT *, CASE WHEN line > 0 AND mid - line <= 1024 THEN line ELSE mid - 1 END AS start FROM o), t AS (SELECT * FROM s WHERE start > 0 AND start < mid)
+  SELECT doc_id AS id, 0 AS chunk, mid::INTEGER AS bytes, false AS overlap FROM ok UNION ALL SELECT doc_id, 1, (size - mid)::INTEGER, false FROM ok UNION ALL SELECT doc_id, -1, NULL, false FROM d WHERE doc_id NOT IN (SELECT doc_id FROM ok)
+  UNION ALL SELECT doc_id, 0, mid::INTEGER, true FROM t UNION ALL SELECT doc_id, 1, (size - start)::INTEGER, true FROM t UNION ALL SELECT doc_id, -1, NULL, true FROM d WHERE doc_id NOT IN (SELECT doc_id FROM t)""")
 def _(spark, d):
     docs = V.table(spark, d, "documents")
     each = lambda o: packing.bisected(docs, o, "doc_id", "text").select("id", "chunk", F.octet_length("data").alias("bytes"), F.lit(o).alias("overlap"))
@@ -542,7 +552,7 @@ def _(spark, d):
     return V.files_cur(spark, d).select("path", X.source_link(F.col("path"), F.lit("docs/generated/index.md")).alias("link"))
 
 
-@query("encoded_keys")
+@query("encoded_keys", """WITH k AS (SELECT doc_id, source || '/' || upper(left(lang, 1)) || substr(lang, 2) || '/con.é ' || doc_id || '.' AS key, source || '/' || printf('%%%02X', ascii(upper(left(lang, 1)))) || substr(lang, 2) || '/%63on.%C3%A9%20' || doc_id || '%2E' AS encoded FROM documents) SELECT doc_id, key, 'docs/components/' || encoded || '/index.md' AS page, encoded, key AS decoded FROM k""")
 def _(spark, d):
     key = F.concat_ws("/", "source", F.initcap("lang"), F.concat(F.lit("con.é "), F.col("doc_id").cast("string"), F.lit(".")))
     rows = V.table(spark, d, "documents").select("doc_id", key.alias("key"), P.component_page("docs", key, F.lit(False)).alias("page"), P.encoded_key(key).alias("encoded"))
@@ -702,7 +712,8 @@ def _(spark, d):
     return records.reply_answers(rows, 50).select("event_id", "failure", "body")
 
 
-@query("generated_responses")
+@query("generated_responses", """WITH r AS (SELECT conv_id || ':' || turn AS request_id, text, sha256(text) AS h FROM conversations), b AS (SELECT *, '{"complete": true, "omitted_count": 0, "items": [{"title": "Item ' || left(h, 8) || '", "description": "Derived from request ' || substr(h, 9, 8) || '."}]}' AS body FROM r)
+  SELECT request_id, body, 'stop' AS finish_reason, (strlen(text) // 4 + 1)::INTEGER AS prompt_tokens, (strlen(body) // 4 + 1)::INTEGER AS completion_tokens, (strlen(text) // 4 + strlen(body) // 4 + 2)::INTEGER AS total_tokens, 1 AS attempts FROM b""")
 def _(spark, d):
     requests = V.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("text").alias("request"))
     return generator.generate(requests)
@@ -752,20 +763,35 @@ def _(spark, d):
     return requests.scope_order(rows).select("identity", "batch", "batch_count", "split_path", "kind", F.col("place").cast("long").alias("place"))
 
 
-_FIXED = "'# Index' || chr(10) || chr(10) || '" + "' || chr(10) || '".join(f"- [{x}]({x})" for x in rendering.DOCUMENTS[1:]) + "' || chr(10) || chr(10)"
+def _expected(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_INDEX = "# Repository Documentation\n\nThis knowledge base is generated by tallyloom. It is the primary entry point for\nmaintainers, onboarding engineers, API consumers, and AI coding assistants.\n\n## Documents\n\n- [Codebase Info](codebase_info.md) — Scanner metadata, detected languages, manifests, and the component hierarchy.\n- [Components](components.md) — Catalog of components with purpose and responsibilities.\n- [Architecture](architecture.md) — Architectural responsibilities and boundaries per component.\n- [Interfaces](interfaces.md) — APIs, events, commands, and integration points per component.\n- [Data Models](data_models.md) — Entities, schemas, fields, relationships, and class diagrams.\n- [Workflows](workflows.md) — Runtime and development flows with flow and sequence diagrams.\n- [Dependencies](dependencies.md) — External and internal dependencies per component.\n- [Review Notes](review_notes.md) — Deterministic scanner notes and model-reported review gaps.\n\n## Components\n\n"
+_INDEX_END = "\n\n## Navigation\n\nStart with the topic documents for a cross-component view, or open a component page\nfor its complete dossier. Each component owns clearly marked sections in the topic\ndocuments; generated content is managed by tallyloom and should not be edited by hand.\n"
 
 
-@query("index_document", f"WITH {O.CUR}, k AS (SELECT DISTINCT component_key, root_component FROM cur) SELECT 'index.md' AS doc, {_FIXED} || string_agg('- [' || replace(component_key, '_', '\\_') || '](components/' || component_key || '/index.md)', chr(10) ORDER BY root_component DESC, component_key) || chr(10) AS content FROM k")
+@query("index_document", f"WITH {O.CUR}, k AS (SELECT DISTINCT component_key, root_component FROM cur) SELECT 'docs/index.md' AS path, {_expected(_INDEX)} || string_agg('- [`' || component_key || '`](components/' || component_key || '/index.md)', chr(10) ORDER BY root_component DESC, component_key) || {_expected(_INDEX_END)} AS content FROM k")
 def _(spark, d):
-    return rendering.joined(rendering.index_lines(V.files_cur(spark, d).select(*KEY).distinct()), ["doc"], ["n", "key"])
+    keys = V.files_cur(spark, d).select(*KEY).distinct()
+    return documents.index(keys.withColumn("document", F.concat(F.lit("docs/components/"), "component_key", F.lit("/index.md"))), "docs")
+
+
+_TREE = """k AS (SELECT component_key, row_number() OVER (ORDER BY component_key) AS n FROM (SELECT DISTINCT component_key FROM cur WHERE component_key <> '@root') QUALIFY n <= 59),
+  p AS (SELECT k.component_key, k.n, coalesce(max_by(q.n, length(q.component_key)), 0) AS pn FROM k LEFT JOIN k q ON starts_with(k.component_key, q.component_key || '/') GROUP BY ALL),
+  t AS (SELECT 1 AS part, n, '  n' || n || '["' || component_key || '"]' AS line FROM p UNION ALL SELECT 2, n, '  n' || pn || ' --> n' || n FROM p),
+  tree AS (SELECT 'flowchart TD' || chr(10) || '  n0["@root"]' || chr(10) || string_agg(line, chr(10) ORDER BY part, n) AS content FROM t)"""
+_HEAD = "# Codebase Info\n\nDeterministic metadata collected by the scanner. This document contains no model output.\n\n## Summary\n\n| Metric | Value |\n| --- | --- |\n| Tracked files | "
 
 
-@query("codebase_document", _SCAN + f""", l AS (SELECT {_LANG} AS language, count(*) AS files FROM scan WHERE role IN ('production_source', 'unknown_source') GROUP BY 1) SELECT 'codebase_info.md' AS doc, '# Codebase' || chr(10) || '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| Tracked files | ' || (SELECT count(*) FROM scan) || ' |' || chr(10)
-  || '| Included files | ' || (SELECT count(*) FROM scan WHERE included) || ' |' || chr(10) || '| Triggering files | ' || (SELECT count(*) FROM scan WHERE triggers) || ' |' || chr(10) || '| Excluded files | ' || (SELECT count(*) FROM scan WHERE NOT included) || ' |' || chr(10) || chr(10)
-  || '| Language | Files |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || language || ' | ' || files || ' |', chr(10) ORDER BY files DESC, language) || chr(10) AS content FROM l""")
+@query("codebase_document", _SCAN + f""", {O.CUR.replace(O.TRACKED + "," + chr(10), "")}, {_TREE}, l AS (SELECT {_LANG} AS language, count(*) AS files FROM scan WHERE role IN ('production_source', 'unknown_source') GROUP BY 1)
+  SELECT 'docs/codebase_info.md' AS path, {_expected(_HEAD)} || (SELECT count(*) FROM scan) || ' |' || chr(10) || '| Included as context | ' || (SELECT count(*) FROM scan WHERE included) || ' |' || chr(10) || '| Triggering regeneration | ' || (SELECT count(*) FROM scan WHERE triggers) || ' |' || chr(10) || '| Excluded | ' || (SELECT count(*) FROM scan WHERE NOT included) || ' |' || chr(10)
+  || '| Components | ' || (SELECT count(*) FROM (SELECT DISTINCT component_key, root_component FROM cur)) || ' |' || chr(10) || chr(10) || '## Languages' || chr(10) || chr(10) || '| Language | Files |' || chr(10) || '| --- | --- |' || chr(10) || (SELECT string_agg('| ' || language || ' | ' || files || ' |', chr(10) ORDER BY files DESC, language) FROM l) || chr(10) || chr(10)
+  || '## Dependency Manifests' || chr(10) || chr(10) || (SELECT string_agg('- [`' || path || '`](../' || path || ')', chr(10) ORDER BY path) FROM cur WHERE role = 'dependency_manifest') || chr(10) || chr(10) || '## Component Hierarchy' || chr(10) || chr(10) || '```mermaid' || chr(10) || (SELECT content FROM tree) || chr(10) || '```' || chr(10) || chr(10) || '_3 additional component(s) omitted from the diagram; see review notes._' || chr(10) AS content""")
 def _(spark, d):
-    decisions = classify.scan(V.tracked(spark, d), POLICY)
-    return rendering.joined(rendering.codebase_info(decisions, classify.language_histogram(decisions)), ["doc"], ["n", "key"])
+    decisions, files = classify.scan(V.tracked(spark, d), POLICY), V.files_cur(spark, d)
+    manifests = files.where("role = 'dependency_manifest'").select("path")
+    return documents.codebase_info(decisions, classify.language_histogram(decisions), manifests, files.select(*KEY).distinct(), rendering.hierarchy_text(components.parents(files)), "docs", 3)
 
 
 @query("hierarchy_diagram", f"""WITH {O.CUR}, k AS (SELECT component_key, row_number() OVER (ORDER BY component_key) AS n FROM (SELECT DISTINCT component_key FROM cur WHERE component_key <> '@root') QUALIFY n <= 59),
@@ -786,3 +812,61 @@ def _(spark, d):
     old, cur = _both(spark, d)
     n = output.output_diff(_hashes(cur), _hashes(old)).agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("status") == x).alias(x) for x in ("added", "changed", "deleted")])
     return n.select(rendering.request_text(F.lit("Update"), F.col("all"), F.col("added"), F.col("changed"), F.col("deleted")).alias("body"))
+
+
+@query("candidate_checks", """WITH c AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'else/' ELSE 'docs/' END || doc_id || '.md' AS path FROM documents), v(step, code, m, k) AS (VALUES (2, 'outside_root', 11, 0), (3, 'sections', 5, 1), (4, 'secret', 5, 2), (5, 'broken_link', 5, 3), (7, 'hash_mismatch', 5, 4))
+  SELECT step, path, code FROM c JOIN v ON doc_id % m = k UNION ALL SELECT 6, path, 'hash_missing' FROM c WHERE doc_id % 7 = 0 AND doc_id % 5 <> 4 UNION ALL SELECT 1, 'docs/index.md', 'required_missing' UNION ALL SELECT 8, 'docs/gone.md', 'not_rendered'""")
+def _(spark, d):
+    n = F.col("doc_id")
+    path = F.concat(F.when(n % 11 == 0, "else/").otherwise("docs/"), n.cast("string"), F.lit(".md"))
+    own = rendering.owned_section(F.lit("t"), F.lit("k"), F.lit("see [it](./x/../a.md) and [up](../y.go)"))
+    body = F.when(n % 5 == 1, rendering.marker("end", F.lit("t"), F.lit("k"))).when(n % 5 == 2, F.lit("-----BEGIN PRIVATE KEY-----")).when(n % 5 == 3, "[x](nowhere.md) [y](http://z/q)").otherwise(F.when(n == 0, own).otherwise("plain"))
+    docs = V.table(spark, d, "documents").select("doc_id", path.alias("path"), body.alias("content"))
+    a = spark.createDataFrame([("docs/a.md", "plain"), ("else/a.md", "x")], "path string, content string").where("path = 'docs/a.md' or path = 'else/a.md'")
+    rows = docs.select("path", "content").unionByName(a)
+    hashed = rows.select("path", X.content_hash(F.col("content")).alias("hash")).join(docs.select("path", "doc_id"), "path", "left")
+    state = hashed.where("doc_id is null or doc_id % 7 <> 0 or doc_id % 5 = 4").select("path", F.when(F.coalesce(n % 5 == 4, F.lit(False)), "x").otherwise(F.col("hash")).alias("hash"))
+    state = state.unionByName(spark.createDataFrame([("docs/gone.md", "h")], "path string, hash string"))
+    expected = docs.where("doc_id = 0").select(F.col("path").alias("doc"), F.lit(1).alias("n"), F.lit("t").alias("topic"), F.lit("k").alias("key"))
+    found = output.candidate_checks(rows, rendering.sections(rows, "path", "content"), expected, state, ["index.md"], "docs", classify.secret_content)
+    return found.where("path not in ('docs/a.md', 'else/a.md')")
+
+
+@query("identities", """SELECT doc_id, sha256('{"source":"' || source || '","none":null}') AS struct_hash, CASE WHEN doc_id % 2 = 0 THEN '0:' ELSE '1:' END || source AS identity, source || '/a%20b%C3%A9' AS safe FROM documents""")
+def _(spark, d):
+    docs = V.table(spark, d, "documents").withColumn("none", F.lit(None).cast("string"))
+    return docs.select("doc_id", X.struct_hash("source", "none").alias("struct_hash"), X.identity(F.col("source"), F.col("doc_id") % 2 == 0).alias("identity"), X.safe_key(F.concat("source", F.lit("/a bé"))).alias("safe"))
+
+
+@query("section_sequence", "SELECT doc_id AS doc, 1 AS n FROM documents WHERE doc_id % 5 IN (0, 4) UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 5 = 3")
+def _(spark, d):
+    found = rendering.sections(_marked(spark, d))[0].select("doc", "topic", "key", "begin_line")
+    n = F.col("doc_id") % 5
+    expected = V.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("n"), F.lit("t").alias("topic"), F.when(n == 3, "other").otherwise(F.col("lang")).alias("key"))
+    return rendering.sequence_issues(found, expected)
+
+
+@query("coverage_plan_issues", "SELECT component_key, code FROM (SELECT DISTINCT source AS component_key, substr(source, 4)::INTEGER % 5 AS m FROM documents) JOIN (VALUES (1, 'batches'), (2, 'kinds'), (3, 'evidence'), (4, 'chunks')) v(k, code) ON m = v.k")
+def _(spark, d):
+    names = V.table(spark, d, "documents").select(F.col("source").alias("component_key")).distinct()
+    m = F.substring("component_key", 4, 9).cast("int") % 5
+    rows = names.select("component_key", m.alias("m"), F.explode(F.array(F.lit(1), F.lit(2))).alias("b")).select("*", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("kind"))
+    rows = rows.where("not (m = 2 and b = 1 and kind = 'y')")
+    plan = rows.select("component_key", F.when((F.col("m") == 1) & (F.col("b") == 2), 3).otherwise(F.col("b")).alias("batch"), F.when(F.col("m") == 1, 3).otherwise(2).alias("batch_count"), F.lit(1).alias("chunk"), F.when(F.col("m") == 4, 2).otherwise(1).alias("chunk_count"), "kind", F.array(F.when(F.col("m") == 3, F.col("kind")).otherwise("e")).alias("evidence"))
+    return coverage.plan_issues(plan, ["x", "y"])
+
+
+@query("enum_issues", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'empty_value' WHEN 1 THEN 'invalid_enum' END AS code, event_id % 2 = 1 OR event_id % 5 = 2 AS saturated, CASE WHEN event_id % 2 = 0 AND event_id % 4 > 0 THEN 'invalid_value' END AS claim FROM events")
+def _(spark, d):
+    e = F.col("event_id")
+    value = F.when(e % 3 == 0, "").when(e % 3 == 1, "odd").otherwise("inbound")
+    saturated, claim = validation.saturation(e % 2 == 0, e % 5, 2, e % 4)
+    return V.table(spark, d, "events").select("event_id", validation.enum_issue(value, ["inbound", "outbound", "internal"]).alias("code"), saturated.alias("saturated"), claim.alias("claim"))
+
+
+@query("all_notices", """WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 1) SELECT doc_id, v.slot, v.kind, replace(v.text, '#', '2') AS description FROM c, (VALUES
+  (0, 'inconsistency', 'Assembly retained conflicting claims for # structural identities.'), (1, 'missing_context', 'Fragment coverage reached a bounded item limit for # source scopes.'), (2, 'missing_context', 'Assembly omitted # items because assembled section limits were reached.'),
+  (3, 'missing_context', 'Assembly omitted # item citations and # top-level source paths because evidence limits were reached.'), (4, 'uncertainty', 'Assembly used a deterministic component overview after # bounded fallback event.'), (5, 'missing_context', 'Assembly omitted diagrams after # bounded fallback event.')) v(slot, kind, text)""")
+def _(spark, d):
+    counts = V.table(spark, d, "documents").select("doc_id", *[F.when(F.col("doc_id") % 9 == 1, 2).otherwise(0).cast("long").alias(c) for c in ("c0", "c1", "c2", "c3", "c3b", "c4", "c5")])
+    return merge.notices(counts, ["doc_id"]).drop("recommendation")
