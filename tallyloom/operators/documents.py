@@ -3,7 +3,7 @@ dossier; documents over all components are its owned sections in display order."
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_cell, escape_diagram, escape_inline, source_link, tidy
@@ -193,16 +193,24 @@ def owned_document(parts: DataFrame, path: str, head: list[str], topic: str, fir
     return body.select(F.lit(path).alias("path"), tidy(_lines(*head, "", F.col("body"))).alias("content"))
 
 
-def components_overview(dossiers: DataFrame, docs_dir: str) -> DataFrame:
+def _parts(dossiers: DataFrame, docs_dir: str, topic: str, reused: DataFrame | None) -> DataFrame:
+    """The sections of a topic: fresh ones, and those that are installed (topic, component_key, root_component, content)."""
+    fresh = sections(dossiers, docs_dir, topic)
+    if reused is None:
+        return fresh
+    return fresh.unionByName(reused.where(F.col("topic") == topic).select("component_key", "root_component", "content"))
+
+
+def components_overview(dossiers: DataFrame, docs_dir: str, reused: DataFrame | None = None) -> DataFrame:
     head = ["# Components", "", "Every discovered component, its purpose, and its primary responsibilities."]
-    return owned_document(sections(dossiers, docs_dir, "components"), f"{docs_dir}/components.md", head, "components")
+    return owned_document(_parts(dossiers, docs_dir, "components", reused), f"{docs_dir}/components.md", head, "components")
 
 
-def topic_documents(dossiers: DataFrame, docs_dir: str) -> DataFrame:
+def topic_documents(dossiers: DataFrame, docs_dir: str, reused: DataFrame | None = None) -> DataFrame:
     out = None
     for topic, file, title in TOPICS:
         head = [f"# {title}", "", f"{title} owned by each component. Sections are managed by tallyloom."]
-        one = owned_document(sections(dossiers, docs_dir, topic), f"{docs_dir}/{file}", head, topic)
+        one = owned_document(_parts(dossiers, docs_dir, topic, reused), f"{docs_dir}/{file}", head, topic)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -216,9 +224,9 @@ def scanner_notes(decisions: DataFrame, omitted: int) -> DataFrame:
     return lines.select(F.lit("scanner").alias("key"), tidy(_lines("## Scanner Notes", "", none, more, F.col("l"))).alias("content"))
 
 
-def review_notes(dossiers: DataFrame, decisions: DataFrame, docs_dir: str, omitted: int = 0) -> DataFrame:
+def review_notes(dossiers: DataFrame, decisions: DataFrame, docs_dir: str, omitted: int = 0, reused: DataFrame | None = None) -> DataFrame:
     head = ["# Review Notes", "", "Deterministic scanner notes followed by model-reported review gaps per component."]
-    return owned_document(sections(dossiers, docs_dir, "review_gaps"), f"{docs_dir}/review_notes.md", head, "review_gaps", scanner_notes(decisions, omitted))
+    return owned_document(_parts(dossiers, docs_dir, "review_gaps", reused), f"{docs_dir}/review_notes.md", head, "review_gaps", scanner_notes(decisions, omitted))
 
 
 # What the index says of each document.
@@ -266,9 +274,20 @@ def codebase_info(decisions: DataFrame, languages: DataFrame, manifests: DataFra
     return parts.agg(F.expr("listagg(part, '\\n') within group (order by n)").alias("c")).select(F.lit(at).alias("path"), tidy(F.col("c")).alias("content"))
 
 
-def document_set(dossiers: DataFrame, decisions: DataFrame, index: DataFrame, info: DataFrame, docs_dir: str, omitted: int = 0) -> DataFrame:
-    """path, content of every document: the index and the codebase's (path, content), which need no dossier, the
-    components overview, the topics, the review notes, and a page for each component."""
-    out = index.select("path", "content").unionByName(info.select("path", "content")).unionByName(components_overview(dossiers, docs_dir))
-    out = out.unionByName(topic_documents(dossiers, docs_dir)).unionByName(review_notes(dossiers, decisions, docs_dir, omitted))
-    return out.unionByName(component_pages(dossiers))
+def document_set(dossiers: DataFrame, decisions: DataFrame, first: DataFrame, docs_dir: str, omitted: int = 0, reused: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """path, content of every document: `first`, the index and the codebase's (path, content), which need no dossier, the
+    components overview, the topics, the review notes, and a page for each component. Components without a dossier keep
+    their installed sections (`reused`) and pages (`pages`: path, content)."""
+    out = first.select("path", "content").unionByName(components_overview(dossiers, docs_dir, reused)).unionByName(topic_documents(dossiers, docs_dir, reused))
+    out = out.unionByName(review_notes(dossiers, decisions, docs_dir, omitted, reused)).unionByName(component_pages(dossiers))
+    return out if pages is None else out.unionByName(pages.select("path", "content"))
+
+
+def expected_sections(components: DataFrame, docs_dir: str) -> DataFrame:
+    """doc, n, topic, key: the sections that every document of a set over these components has to have, in order."""
+    files = [("components.md", "components"), *[(f, t) for t, f, _ in TOPICS], ("review_notes.md", "review_gaps")]
+    place = F.row_number().over(Window.orderBy(F.desc("root_component"), "component_key"))  # a row a component
+    rows = components.withColumn("n", place).select("component_key", "n", F.explode(F.array(*[F.struct(F.lit(f"{docs_dir}/{f}").alias("doc"), F.lit(t).alias("topic")) for f, t in files])).alias("x"))
+    rows = rows.select("x.doc", F.when(F.col("x.topic") == "review_gaps", F.col("n") + 1).otherwise(F.col("n")).alias("n"), "x.topic", F.col("component_key").alias("key"))
+    scanner = components.sparkSession.createDataFrame([(f"{docs_dir}/review_notes.md", 1, "scanner", "scanner")], "doc string, n int, topic string, key string")
+    return rows.unionByName(scanner)

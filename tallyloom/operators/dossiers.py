@@ -364,16 +364,18 @@ def content_rows(bodies: DataFrame, key: str, kind: str, evidence: DataFrame, ca
     return rows.select(key, "n", "path", "rule", "value", _codes(F.coalesce("may_cite", F.lit(False)), F.coalesce("is_known", F.lit(False))).alias("codes"))
 
 
-def validated(bodies: DataFrame, key: str, kind: str, evidence: DataFrame, catalog: DataFrame, most_issues: int = MOST_ISSUES) -> tuple[DataFrame, DataFrame]:
+def validated(bodies: DataFrame, key: str, kind: str, evidence: DataFrame, catalog: DataFrame, most_issues: int = MOST_ISSUES, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Issues (key, place, code, path) of bodies (key, body), the first `most_issues` of each, and the evidence that each
-    cites rightly (key, path). Fragments above their bytes are response_too_large and not read."""
+    cites rightly (key, path). Fragments above their bytes are response_too_large and not read. `keep` may write the
+    checked values once for both."""
     small = F.octet_length("body") <= MOST_FRAGMENT_BYTES if kind != "dossier" else F.lit(True)
     code = F.when(~F.coalesce(small, F.lit(True)), "response_too_large").otherwise(decode_issue(F.col("body"), kind))
     early = bodies.select(key, "body", code.alias("code"))
-    shaped = early.where("code is null").select(key, "body", shape_issues(F.col("body"), kind).alias("i"))
-    rows = content_rows(shaped.where("size(i) = 0"), key, kind, evidence, catalog)
+    shaped = keep(early.select(key, "body", "code", F.when(F.col("code").isNull(), shape_issues(F.col("body"), kind)).alias("i")))
+    early, shaped = shaped.where("code is not null").select(key, "code"), shaped.where("code is null").select(key, "body", "i")
+    rows = keep(content_rows(shaped.where("size(i) = 0"), key, kind, evidence, catalog))
     issue = lambda df: df.select(key, "place", "code", "path")
-    out = issue(early.where("code is not null").withColumns({"place": F.lit(0), "path": F.lit("")}))
+    out = issue(early.withColumns({"place": F.lit(0), "path": F.lit("")}))
     out = out.unionByName(issue(shaped.select(key, F.posexplode("i").alias("place", "i")).select(key, "place", "i.*")))
     content = rows.select(key, "n", "path", F.posexplode("codes").alias("m", "code"))
     content = content.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("n", "m")) - 1)

@@ -63,11 +63,11 @@ class Answers:
     calls: DataFrame
 
 
-def _checked(answers: DataFrame, kinds: list[str], evidence: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _checked(answers: DataFrame, kinds: list[str], evidence: DataFrame, catalog: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """Issues and used evidence of answers (request_id, kind, body) of several kinds."""
     out = used = None
     for kind in kinds:
-        issues, cited = dossiers.validated(answers.where(F.col("kind") == kind).select("request_id", "body"), "request_id", kind, evidence, catalog)
+        issues, cited = dossiers.validated(answers.where(F.col("kind") == kind).select("request_id", "body"), "request_id", kind, evidence, catalog, keep=keep)
         out, used = (issues, cited) if out is None else (out.unionByName(issues), used.unionByName(cited))
     return out, used
 
@@ -79,7 +79,7 @@ def ask(requests: DataFrame, kinds: list[str], evidence: DataFrame, catalog: Dat
     def one(asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         got = keep(generator.generate(asked, call).join(asked.select("request_id", "kind"), "request_id"))
         whole = got.where("finish_reason = 'stop'")
-        issues, used = _checked(whole, kinds, evidence, catalog)
+        issues, used = _checked(whole, kinds, evidence, catalog, keep)
         early = got.where("finish_reason <> 'stop'").select("request_id", F.when(F.col("finish_reason") == "length", "truncated").otherwise("incomplete").alias("code"))
         first = issues.groupBy("request_id").agg(F.min_by("code", "place").alias("code"), F.array_sort(F.collect_list(F.struct("place", "code", "path"))).alias("issues"))
         return whole, keep(first.unionByName(early.withColumn("issues", F.lit(None).cast(first.schema["issues"].dataType)))), keep(used)
@@ -87,6 +87,10 @@ def ask(requests: DataFrame, kinds: list[str], evidence: DataFrame, catalog: Dat
     first, wrong, used = one(requests)
     repair = requests.join(wrong.where("issues is not null"), "request_id").join(first.select("request_id", "body"), "request_id")
     again = keep(repair.select("request_id", "kind", F.to_json(F.struct(F.col("request").alias("repair_of"), F.left("body", F.lit(dossiers.MOST_FRAGMENT_BYTES)).alias("invalid"), "issues")).alias("request")))
+    if again.isEmpty():
+        good = first.join(wrong.select("request_id"), "request_id", "left_anti").select("request_id", "body")
+        calls = requests.select("request_id", F.lit(1).alias("calls"), F.lit(0).alias("repaired"))
+        return Answers(keep(good), wrong.select("request_id", "code"), used, calls)
     second, still, used_again = one(again)
     good = first.join(wrong.select("request_id"), "request_id", "left_anti").unionByName(second.join(still.select("request_id"), "request_id", "left_anti")).select("request_id", "body")
     bad = wrong.where("issues is null").select("request_id", "code").unionByName(still.select("request_id", "code"))
@@ -232,6 +236,11 @@ def by_dossier(batches: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -
     good = keep(named.join(got.good, "request_id").join(failed, KEY, "left_anti").join(counts, KEY))
     parts = good.where("n > 1").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("batch", "body"))).alias("parts"))
     again = keep(_identified(parts, "dossier", F.to_json(F.struct(F.lit("synthesis").alias("kind"), "component_key", "parts"))))
+    if again.isEmpty():
+        calls = named.select("request_id", *KEY).join(got.calls, "request_id")
+        stats = calls.groupBy(*KEY).agg(total("calls").alias("calls"), total("repaired").alias("repairs")).select("*", F.lit(False).alias("overview_fallback"), F.lit(False).alias("diagram_fallback"))
+        whole = good.select(*KEY, F.from_json("body", dossiers.DOSSIER).alias("d")).select(*KEY, "d.*")
+        return Generated(keep(whole), failed, keep(stats))
     cited = again.select("request_id", *KEY).join(named.join(got.used, "request_id").select(*KEY, "path").distinct(), KEY).select("request_id", "path")
     made = ask(again, ["dossier"], cited, catalog, call, keep)
     final = good.where("n = 1").select(*KEY, "body").unionByName(again.join(made.good, "request_id").select(*KEY, "body"))
@@ -245,6 +254,8 @@ def automatic(batches: DataFrame, scopes: DataFrame, catalog: DataFrame, call: C
     """One request a component first; those whose answer was cut off, and no others, go on to fragments."""
     once = by_dossier(batches, catalog, call, keep)
     cut = once.failures.where("category = 'truncated'").select(*KEY)
+    if cut.isEmpty():
+        return once
     rest = by_fragments(scopes.join(cut, KEY, "left_semi"), catalog, call, keep, limit)
     stats = once.stats.unionByName(rest.stats).groupBy(*KEY).agg(total("calls").alias("calls"), total("repairs").alias("repairs"), F.bool_or("overview_fallback").alias("overview_fallback"), F.bool_or("diagram_fallback").alias("diagram_fallback"))
     return Generated(once.dossiers.unionByName(rest.dossiers.select(*once.dossiers.columns)), once.failures.join(cut, KEY, "left_anti").unionByName(rest.failures), stats)

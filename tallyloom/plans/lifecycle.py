@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.paths import component_page
 from ..functions.text import content_hash, struct_hash
-from ..operators import changes, components, merge, output, packing, rendering, validation
-from ..operators.classify import SourcePolicy, scan
-from ..sources import generator
+from ..operators import changes, components, documents, fragments, output, packing, planning, rendering
+from ..operators.classify import SourcePolicy, language_histogram, scan, secret_content
 from ..sources.sinks import VersionedStore
 
 VERSIONS = ("input-1", "planner-1", "prompt-1", "render-1", "merge-1")
@@ -35,9 +34,13 @@ class Settings:
     batch_bytes: int = 80_000
     context_bytes: int = 120_000
     docs_dir: str = "docs"
+    request_bytes: int = 500_000
+    call_limit: int = 80
+    strategy: str = "dossier"
 
     def problems(self) -> list[str]:
-        out = [f"{n} must be positive" for n in ("batch_bytes", "context_bytes") if getattr(self, n) <= 0]
+        out = [f"{n} must be positive" for n in ("batch_bytes", "context_bytes", "request_bytes", "call_limit") if getattr(self, n) <= 0]
+        out += [f"unknown strategy {self.strategy}"] * (self.strategy not in ("auto", "dossier", "fragments"))
         out += ["batch_bytes must not exceed context_bytes"] * (self.batch_bytes > self.context_bytes)
         out += ["explicit needs roots"] * (self.explicit and not self.roots)
         return out
@@ -50,6 +53,7 @@ class Plan:
     changes: DataFrame
     actions: DataFrame
     reason: str | None
+    decisions: DataFrame
 
     def is_noop(self) -> bool:
         return self.actions.where("action <> 'skip_unchanged'").isEmpty()
@@ -65,64 +69,88 @@ def plan(tracked: DataFrame, old_files: DataFrame | None, old_components: DataFr
     spark = tracked.sparkSession
     if found := settings.problems():
         raise ValueError("; ".join(found))
-    reason = "explicit" if full else "state_missing" if old_files is None else None
+    reason = "explicit_full" if full else "state_missing" if old_files is None else None
     old_files = spark.createDataFrame([], STATE_FILES) if old_files is None else old_files
     old_components = spark.createDataFrame([], STATE_COMPONENTS) if old_components is None else old_components
-    decisions = scan(tracked, settings.policy).where("included").select("path", "role", "triggers")
-    files = tracked.select("path", "data", "size").join(decisions, "path").withColumn("source_hash", content_hash(F.col("data")))
+    decisions = scan(tracked, settings.policy)
+    files = tracked.select("path", "data", "size").join(decisions.where("included").select("path", "role", "triggers"), "path").withColumn("source_hash", content_hash(F.col("data")))
     files = components.component_key(files, settings.roots, settings.explicit)
     own = files.where("triggers").select(*KEY).distinct()
     hashes = components.input_hash(files, VERSIONS, config_hash(spark, settings)).join(own, KEY, "left_semi")
     norm = changes.normalized(changes.snapshot_changes(old_files, files), old_files, files)
     actions = changes.actions(changes.affected(old_files, files), hashes, old_components, full=reason is not None)
-    return Plan(files, hashes, norm, actions, reason)
+    return Plan(files, hashes, norm, actions, reason, decisions)
 
 
-ITEM = "struct<title:string,description:string>"
+class GenerationError(RuntimeError):
+    """A component has no dossier: which, and the category of the failure."""
 
+    exit_code = 5
 
-def requests_of(p: Plan, settings: Settings) -> DataFrame:
-    """request_id, component_key, root_component, paths, request: one a batch of each component that is made anew."""
-    fresh = p.actions.where("action in ('create', 'regenerate')")
-    trig = p.files.where("triggers").join(fresh.select(*KEY), KEY, "left_semi")
-    batches = packing.greedy_batches(trig, settings.batch_bytes, "alone")
-    rows = batches.join(p.files.select("path", "source_hash"), "path").groupBy(*KEY, "batch").agg(F.array_sort(F.collect_list(F.struct("path", "source_hash"))).alias("f"))
-    body = F.to_json(F.struct("component_key", "batch", F.col("f").alias("files")))
-    return rows.select(F.concat_ws("#", "component_key", F.col("root_component").cast("string"), F.col("batch").cast("string")).alias("request_id"), *KEY, F.transform("f", lambda x: x["path"]).alias("paths"), body.alias("request"))
 
+class OutputError(RuntimeError):
+    """The documents that were made must not be installed."""
 
-def valid_body(body):
-    return validation.json_issue(body, {"complete": "BOOLEAN", "omitted_count": "BIGINT", "items": "ARRAY.*"}, validation.MOST_FRAGMENT_BYTES).isNull()
+    exit_code = 6
 
 
-def documents_of(requests: DataFrame, responses: DataFrame, docs_dir: str) -> DataFrame:
-    """path, content of the page of each component in `requests`."""
-    schema = T.StructType([T.StructField("items", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("description", T.StringType())])))])
-    items = requests.join(responses.select("request_id", F.from_json("body", schema)["items"].alias("items")), "request_id")
-    rows = items.select(F.col("component_key"), F.lit("architecture").alias("section"), F.explode("paths").alias("path"), "items").select("component_key", "section", "path", F.explode("items").alias("i")).select("component_key", "section", "path", "i.*")
-    merged = merge.best_supported(merge.merged(rows, ["title", "description"], ["component_key", "section"]), ["component_key", "section"], "title")
-    path = F.concat_ws("/", F.lit(docs_dir), F.lit("components"), "component_key", F.lit("index.md"))
-    lines = merged.select(path.alias("path"), F.col("position").alias("n"), F.concat(F.lit("- **"), "title", F.lit("**: "), "description", F.lit(" ("), rendering.sources_line(F.col("paths"), path), F.lit(")")).alias("line"))
-    head = merged.select(path.alias("path"), F.concat(F.lit("# "), "component_key", F.lit("\n")).alias("line")).distinct().select("path", F.lit(0).alias("n"), "line")
-    return rendering.joined(lines.unionByName(head), ["path"], ["n"])
+def generated(p: Plan, settings: Settings, keep: Callable[[DataFrame], DataFrame], call: Callable[[str], tuple[str, str]]) -> fragments.Generated:
+    """A dossier for each component that the plan makes anew, by the strategy that the settings ask for."""
+    fresh = p.actions.where("action in ('create', 'regenerate')").select(*KEY)
+    files = p.files.where("triggers").join(fresh, KEY, "left_semi").select(*KEY, "path", "data", "size")
+    catalog = p.files.select("component_key").distinct()
+    if settings.strategy == "fragments":
+        return fragments.by_fragments(_scopes(files, settings, keep), catalog, call, keep, settings.call_limit)
+    batches = packing.greedy_batches(files, settings.context_bytes, "error" if settings.strategy == "dossier" else "alone").select(*KEY, "path", "batch")
+    rows = keep(files.join(batches, [*KEY, "path"]).select(*KEY, "batch", "path", F.encode("data", "utf-8").alias("data")))
+    if settings.strategy == "dossier":
+        return fragments.by_dossier(rows, catalog, call, keep)
+    return fragments.automatic(rows, _scopes(files, settings, keep), catalog, call, keep, settings.call_limit)
 
 
-def sync(tracked: DataFrame, store: VersionedStore, old_files: DataFrame | None, old_components: DataFrame | None, keep: Callable[[DataFrame], DataFrame], settings: Settings = Settings(), call=generator.stub, full: bool = False) -> tuple[Plan, DataFrame | None]:
-    """Makes what the plan asks for, reuses the rest, and commits it if nothing changed meanwhile. `keep` writes a table
-    and reads it again, so that no model call is repeated. Returns the plan and the diff, or no diff for a no-op."""
+def _scopes(files: DataFrame, settings: Settings, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    cut = planning.refined_scopes(planning.source_scopes(files, settings.batch_bytes), lambda n, size: size + 64 * n + 1024, settings.request_bytes, keep)
+    return keep(planning.numbered_scopes(cut))
+
+
+def documents_of(p: Plan, dossiers: DataFrame, live: DataFrame, docs_dir: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, content of the whole document set: fresh dossiers, and what is installed of the components that stay."""
+    decisions = p.decisions
+    parts = keep(p.files.where("triggers").select(*KEY).distinct())
+    page = component_page(docs_dir, F.col("component_key"), F.col("root_component"))
+    named = keep(parts.withColumn("document", page))
+    stay = named.join(dossiers.select(*KEY), KEY, "left_anti")
+    found, _ = rendering.sections(live, "path", "content")
+    reused = found.select("topic", F.col("key").alias("component_key"), "content").join(stay.select(*KEY), "component_key")
+    pages = live.join(stay.select(F.col("document").alias("path")), "path", "left_semi")
+    tree = components.parents(parts)
+    omitted = rendering.hierarchy(tree)[1].first()[0]
+    info = documents.codebase_info(decisions, language_histogram(p.files), p.files.where("role = 'dependency_manifest'").select("path"), parts, rendering.hierarchy_text(tree), docs_dir, omitted)
+    return documents.document_set(dossiers.join(named, KEY), decisions, documents.index(named, docs_dir).unionByName(info), docs_dir, omitted, keep(reused), pages)
+
+
+def sync(tracked: DataFrame, store: VersionedStore, old_files: DataFrame | None, old_components: DataFrame | None, keep: Callable[[DataFrame], DataFrame], settings: Settings = Settings(), call=fragments.typed_stub, full: bool = False) -> tuple[Plan, DataFrame | None]:
+    """Makes what the plan asks for, reuses the rest, checks the whole set and commits it if nothing changed meanwhile.
+    `keep` writes a table and reads it again, so that no model call is repeated. Returns the plan and the diff, or no
+    diff for a no-op. A component without a dossier raises, and so does a set that fails its checks; nothing is installed."""
     p = plan(tracked, old_files, old_components, settings, full)
     p.actions = keep(p.actions)
     if p.is_noop():
         return p, None
     live = keep(store.read())
-    requests = keep(requests_of(p, settings))
-    responses = generator.repaired(requests, valid_body, call, keep)
-    fresh = documents_of(requests, keep(responses), settings.docs_dir)
-    gone = p.actions.where("action in ('delete', 'create', 'regenerate')").select(F.concat_ws("/", F.lit(settings.docs_dir), F.lit("components"), "component_key", F.lit("index.md")).alias("path"))
-    rest = live.join(gone, "path", "left_anti").select("path", "content")
-    made = keep(fresh.select("path", "content").unionByName(rest))
+    got = generated(p, settings, keep, call)
+    failed = got.failures.orderBy("component_key").limit(5).collect()
+    if failed:
+        raise GenerationError("; ".join(f"{r['component_key']}: {r['category']}" for r in failed))
+    made = keep(documents_of(p, got.dossiers, live, settings.docs_dir, keep))
+    hashed = made.select("path", content_hash(F.col("content")).alias("hash"))
+    expected = documents.expected_sections(p.files.where("triggers").select(*KEY).distinct(), settings.docs_dir)
+    wrong = output.candidate_checks(made, rendering.sections(made, "path", "content"), expected, hashed, rendering.DOCUMENTS, settings.docs_dir, secret_content)
+    first = wrong.orderBy("step", "path").first()
+    if first:
+        raise OutputError(f"{first['path']}: {first['code']}")
     store.commit(made, live.select("path", "hash"))
-    return p, output.output_diff(made.select("path", content_hash(F.col("content")).alias("hash")), live)
+    return p, output.output_diff(hashed, live)
 
 
 def check(tracked: DataFrame, store: VersionedStore, owned: DataFrame, old_files: DataFrame, old_components: DataFrame, settings: Settings = Settings()) -> None:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import changes, components, coverage, merge, output, packing, rendering, validation
+from tallyloom.operators import changes, components, coverage, fragments, merge, output, packing, rendering, validation
 from tallyloom.plans import lifecycle
 from tallyloom.sources import generator, records
 from tallyloom.sources.sinks import PreconditionError, VersionedStore
@@ -147,7 +147,9 @@ def test_store_and_lifecycle(spark, tmp_path):
     tracked = tree([("main.go", "package main"), ("services/api/a.go", "package api"), ("README.md", "hi")])
     p, diff = lifecycle.sync(tracked, store, None, None, keep)
     assert p.reason == "state_missing" and {r["status"] for r in diff.collect()} == {"added"}
-    assert sorted(r["path"] for r in store.read().collect()) == ["docs/components/@root/index.md", "docs/components/services/api/index.md"]
+    first = {r["path"]: r["content"] for r in store.read().collect()}
+    assert set(first) == {"docs/components/@root/index.md", "docs/components/services/api/index.md", *(f"docs/{x}" for x in rendering.DOCUMENTS)}
+    assert "### Part all" in first["docs/architecture.md"] and "[`main.go`](../main.go)" in first["docs/architecture.md"] and "- [`services/api`](components/services/api/index.md)" in first["docs/index.md"]
     files, parts = keep(p.files.select("path", "source_hash", "role", "triggers", "component_key", "root_component")), keep(p.hashes)
     owned = keep(store.read().select("path", "hash"))
     assert lifecycle.sync(tracked, store, files, parts, keep)[1] is None
@@ -155,14 +157,21 @@ def test_store_and_lifecycle(spark, tmp_path):
     edited = tree([("main.go", "package main"), ("services/api/a.go", "package api // more"), ("README.md", "hi")])
     with pytest.raises(lifecycle.StaleError, match="sources changed"):
         lifecycle.check(edited, store, owned, files, parts)
-    p, diff = lifecycle.sync(edited, store, files, parts, keep)
-    assert {r["path"].split("/")[2]: r["status"] for r in diff.collect()} == {"@root": "unchanged", "services": "changed"}
+    cut = lambda request: (fragments.typed_stub(request)[0], "length")
+    with pytest.raises(lifecycle.GenerationError, match="services/api: truncated"):
+        lifecycle.sync(edited, store, files, parts, keep, call=cut)
+    other = lambda request: (fragments.typed_stub(request)[0].replace("Holds code.", "Holds more."), "stop")
+    p, diff = lifecycle.sync(edited, store, files, parts, keep, call=other)
+    status = {r["path"]: r["status"] for r in diff.collect()}
+    second = {r["path"]: r["content"] for r in store.read().collect()}
+    assert status["docs/components/@root/index.md"] == "unchanged" and status["docs/components/services/api/index.md"] == status["docs/architecture.md"] == "changed" and status["docs/index.md"] == "unchanged"
+    assert second["docs/architecture.md"].count("Holds code.") == 1 and second["docs/architecture.md"].count("Holds more.") == 1
     assert lifecycle.run_report(p).first()["regenerate"] == 1
     with pytest.raises(lifecycle.StaleError, match="modified"):
         lifecycle.check(edited, store, owned, files, parts)
     with pytest.raises(PreconditionError):
         store.commit(store.read(), owned)
-    assert len(store.prune()) >= 1 and store.read().count() == 2
+    assert len(store.prune()) >= 1 and store.read().count() == 11
 
 
 def test_repair_is_asked_for_once(spark):
