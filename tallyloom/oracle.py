@@ -43,8 +43,8 @@ ROLE = role_case({r: r for r in C.ROLES})
 REASON = role_case(C.ROLES)
 EARLY_ROLE = role_case({r: r for r in C.ROLES}, data=False)
 QUIET = "('test', 'lock_file', 'prose', 'fixture', 'generated_code')"
-TRACKED = f"""tracked AS (SELECT doc_id, {PATH} AS path, CASE WHEN doc_id % 101 = 0 THEN '160000' WHEN doc_id % 103 = 0 THEN '100600' WHEN doc_id % 3 = 0 THEN '100755' ELSE '100644' END AS mode,
-  text AS data, strlen(text)::BIGINT AS size FROM documents WHERE doc_id % 13 <> 0)"""
+TRACKED = f"""tracked AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'fresh/' ELSE '' END || ({PATH}) AS path, CASE WHEN doc_id % 101 = 0 THEN '160000' WHEN doc_id % 103 = 0 THEN '100600' WHEN doc_id % 3 = 0 THEN '100755' ELSE '100644' END AS mode,
+  text AS data, strlen(text)::BIGINT AS size FROM documents)"""
 
 
 def owned(name: str, source: str) -> str:
@@ -61,11 +61,11 @@ cur_r AS (SELECT doc_id, path, data, size, 'sha256:' || sha256(data) AS source_h
 cur_t AS (SELECT *, role NOT IN {QUIET} AS triggers FROM cur_r),
 {owned("cur", "cur_t")}"""
 
-OLD = f"""old_p AS (SELECT doc_id, {PATH} AS path, text AS data, strlen(text)::BIGINT AS size FROM documents WHERE doc_id % 11 <> 0),
+OLD = f"""old_p AS (SELECT doc_id, {PATH} AS path, text AS data, strlen(text)::BIGINT AS size FROM documents),
 old_r AS (SELECT *, {ROLE} AS role FROM old_p),
 old_t AS (SELECT *, role NOT IN {QUIET} AS triggers FROM old_r),
 {owned("old_o", "old_t")},
-old AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'legacy/' || path ELSE path END AS path, 'sha256:' || sha256(CASE WHEN doc_id % 7 = 0 THEN data || 'x' ELSE data END) AS source_hash, size, role, triggers,
+old AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'retired/' || path WHEN doc_id % 19 = 0 THEN 'legacy/' || path ELSE path END AS path, 'sha256:' || sha256(CASE WHEN doc_id % 7 = 0 THEN data || 'x' ELSE data END) AS source_hash, size, role, triggers,
   CASE WHEN doc_id % 17 = 0 THEN 'services/src0' ELSE component_key END AS component_key, root_component AND doc_id % 17 <> 0 AS root_component FROM old_o)"""
 
 DIFFERS = "(o.source_hash IS DISTINCT FROM c.source_hash OR o.role IS DISTINCT FROM c.role OR o.triggers IS DISTINCT FROM c.triggers OR o.component_key IS DISTINCT FROM c.component_key OR o.root_component IS DISTINCT FROM c.root_component)"

@@ -25,8 +25,10 @@ def _paths(docs: DataFrame) -> DataFrame:
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries with their content: doc_id, path, mode, data, size."""
-    docs = _paths(table(spark, sf_dir, "documents").where("doc_id % 13 <> 0"))
+    """Index entries with their content: doc_id, path, mode, data, size. All documents are there; one in 13 lies in another
+    folder than before, so that its old path is gone."""
+    docs = _paths(table(spark, sf_dir, "documents"))
+    docs = docs.withColumn("path", F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("fresh/"), "path")).otherwise(F.col("path")))
     mode = F.when(F.col("doc_id") % 101 == 0, "160000").when(F.col("doc_id") % 103 == 0, "100600").when(F.col("doc_id") % 3 == 0, "100755").otherwise("100644")
     return docs.select("doc_id", "path", mode.alias("mode"), F.col("text").alias("data"), F.octet_length("text").cast("long").alias("size"), "source", "lang")
 
@@ -43,11 +45,11 @@ def files_cur(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the state before: some are missing, some had another content, owner or folder."""
-    docs = _paths(table(spark, sf_dir, "documents").where("doc_id % 11 <> 0"))
+    """The files of the state before, all documents too: some had another content, owner or folder."""
+    docs = _paths(table(spark, sf_dir, "documents"))
     files = _owned(docs.select("doc_id", "path", F.col("text").alias("data"), F.octet_length("text").cast("long").alias("size")))
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("data", F.lit("x"))).otherwise(F.col("data"))
-    moved = F.when(F.col("doc_id") % 19 == 0, F.concat(F.lit("legacy/"), "path")).otherwise(F.col("path"))
+    moved = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("retired/"), "path")).when(F.col("doc_id") % 19 == 0, F.concat(F.lit("legacy/"), "path")).otherwise(F.col("path"))
     key = F.when(F.col("doc_id") % 17 == 0, "services/src0").otherwise(F.col("component_key"))
     root = F.col("root_component") & (F.col("doc_id") % 17 != 0)
     return files.select("doc_id", moved.alias("path"), content_hash(text).alias("source_hash"), "size", "role", "triggers", key.alias("component_key"), root.alias("root_component"))
