@@ -145,19 +145,16 @@ LINE_RULES = [
 ]
 
 
-def _any(rules: list[tuple[str, str]]) -> str:
-    return "|".join(f"(?:{rx})" for rx, _ in rules)
-
-
 def prose_problem(text: Column) -> Column:
     """Why a text is no plain prose, or null: the first sign that it must not hold, then the whole text's rules in turn,
-    then the first line that breaks one. One search tells the texts that have nothing, most of them."""
-    sign = F.regexp_extract(text, f"({_any(SIGN_RULES)})", 1)
-    out = F.when(sign.rlike(SIGN_RULES[0][0]), SIGN_RULES[0][1])
-    for rx, why in SIGN_RULES[1:]:
-        out = out.when(sign.rlike(rx), why)
-    for rx, why in PROSE_RULES:
-        out = out.when(text.rlike(rx), why)
+    then the first line that breaks one."""
+    sign = F.regexp_extract(text, "(" + "|".join(rx for rx, _ in SIGN_RULES) + ")", 1)
+
+    def of_sign(found: Column) -> Column:
+        out = None
+        for rx, why in SIGN_RULES:
+            out = F.when(found.rlike(rx), why) if out is None else out.when(found.rlike(rx), why)
+        return out
 
     def of_line(line: Column) -> Column:
         bare, found = F.regexp_replace(line, r"\A[ \t]+", ""), None
@@ -165,10 +162,15 @@ def prose_problem(text: Column) -> Column:
             found = F.when(bare.rlike(rx), why) if found is None else found.when(bare.rlike(rx), why)
         return found
 
+    # the text is searched for a sign once, and what was found is named in a list of one
+    out = F.get(F.transform(F.array(sign), of_sign), F.lit(0))
+    whole = None
+    for rx, why in PROSE_RULES:
+        whole = F.when(text.rlike(rx), why) if whole is None else whole.when(text.rlike(rx), why)
     lines = F.filter(F.transform(F.split(text, "\n"), of_line), lambda x: x.isNotNull())
-    any_line = "(?:(?m)^[ \\t]*(?:" + "|".join(rx.replace(r"\A", "") for rx, _ in LINE_RULES) + "))"
-    out = out.otherwise(F.when(text.rlike(any_line), F.get(lines, F.lit(0))))
-    return F.when(text.rlike("|".join([_any(SIGN_RULES), *(f"(?:{rx})" for rx, _ in PROSE_RULES), any_line])), out)
+    # most texts have no such line at all, which one search tells
+    any_line = "(?m)^[ \\t]*(?:" + "|".join(rx.replace(r"\A", "") for rx, _ in LINE_RULES) + ")"
+    return F.coalesce(out, whole.otherwise(F.when(text.rlike(any_line), F.get(lines, F.lit(0)))))
 
 
 def label_problem(text: Column) -> Column:
