@@ -5,16 +5,18 @@ so that no call is repeated."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fallback_title
 from ..sources import generator
 from . import dossiers, merge
-from .packing import MAPPED, total
+from .packing import MAPPED, halves_with_overlap, total
 
 KEY = ["component_key", "root_component"]
 SCOPE = [*KEY, "batch", "batch_count", "chunk", "chunk_count", "split_path"]
@@ -25,6 +27,7 @@ PROJECTED = 8
 MINIMUM_OUTPUT_TOKENS, MINIMUM_RESPONSE_BYTES = 8_192, 8_192
 ISSUE_BYTES = {"code": 64, "path": 256, "message": 256}
 MOST_ISSUES = 50
+SPLIT_DEPTH = 3
 
 Keep = Callable[[DataFrame], DataFrame]
 Call = Callable[[str], tuple[str, str]]
@@ -39,20 +42,52 @@ def within_budget(requests: DataFrame, spent: DataFrame | None, limit: int, orde
     return rows.where(ok).drop("nth_", "calls"), rows.where(~ok).select(*KEY).distinct()
 
 
+def _request_id() -> Column:
+    return F.concat_ws("#", "component_key", F.col("root_component").cast("string"), "split_path", "kind").alias("request_id")
+
+
 def map_requests(scopes: DataFrame, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A request (request_id, kind, the scope's columns, request) for each scope and kind, with the files' content, and
     what each may cite (request_id, path). scopes: the scope's columns, path, data; a scope's files are a batch at most.
     context: component_key, root_component, path of supporting files and manifests, that may be cited too."""
     files = scopes.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("path", F.decode("data", "utf-8").alias("data")))).alias("files"))
     each = files.select(*SCOPE, "files", F.explode(F.array(*map(F.lit, MAPPED))).alias("kind"))
-    name = F.concat_ws("#", "component_key", F.col("root_component").cast("string"), "split_path", "kind").alias("request_id")
-    requests = each.select(name, "kind", *SCOPE, F.to_json(F.struct("kind", "component_key", "split_path", "files")).alias("request"), F.transform("files", lambda f: f["path"]).alias("paths"))
+    requests = each.select(_request_id(), "kind", *SCOPE, F.to_json(F.struct("kind", "component_key", "split_path", "files")).alias("request"), F.transform("files", lambda f: f["path"]).alias("paths"))
     evidence = requests.select("request_id", F.explode("paths").alias("path"))
     if context is not None:
         evidence = evidence.unionByName(requests.select("request_id", *KEY).join(context.select(*KEY, "path"), KEY).select("request_id", "path"))
     return requests.drop("paths"), evidence.distinct()
 
 
+def split_requests(requests: DataFrame) -> DataFrame:
+    """parent and the columns of a request, with paths: each request as two, the first and the second half of its files, or
+    of its only file's text, whose second half starts with the first one's last line. One without a place to cut gives no
+    row. Both halves are chunks of two and one level further down the split path."""
+    names = ["parent", "kind", *SCOPE, "request", "paths"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                asked = json.loads(row["request"])
+                files = asked.get("files") or []
+                if len(files) > 1:
+                    parts = [files[: len(files) // 2], files[len(files) // 2 :]]
+                else:
+                    two = halves_with_overlap((files[0].get("data") or "").encode()) if files else None
+                    parts = [[files[0] | {"data": x.decode()}] for x in two or []]
+                for i, part in enumerate(parts):
+                    at = f"{row['split_path']}/{i}"
+                    text = json.dumps(asked | {"split_path": at, "files": part}, ensure_ascii=False, separators=(",", ":"))
+                    child = row | {"parent": row["request_id"], "split_path": at, "chunk": i + 1, "chunk_count": len(parts), "request": text, "paths": [f["path"] for f in part]}
+                    out.append([child[n] for n in names])
+            yield pd.DataFrame(out, columns=names)
+
+    types = {f.name: f.dataType.simpleString() for f in requests.schema.fields} | {"parent": "string", "paths": "array<string>"}
+    halves = requests.select("request_id", "kind", *SCOPE, "request").mapInPandas(run, ", ".join(f"{n} {types[n]}" for n in names))
+    return halves.select("parent", _request_id(), "kind", *SCOPE, "request", "paths")
+
+
 @dataclass
 class Answers:
     """good: request_id, body; bad: request_id, code (the first); used: request_id, path; calls: request_id, calls, repaired."""
@@ -177,33 +212,93 @@ def dossier_issues(found: DataFrame, evidence: DataFrame, catalog: DataFrame) ->
 @dataclass
 class Generated:
     """dossiers; failures (component_key, root_component, category); stats (component_key, root_component, calls,
-    repairs, overview_fallback, diagram_fallback)."""
+    repairs, overview_fallback, diagram_fallback); coverage of fragments, see Mapped."""
 
     dossiers: DataFrame
     failures: DataFrame
     stats: DataFrame
+    coverage: DataFrame | None = None
 
 
-def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, context: DataFrame | None = None) -> Generated:
-    """Dossiers from fragments: each scope is asked for each kind, required kinds must come good or their component fails,
-    overview candidates may not; items are merged, then overview and diagrams are reduced, each with a fall-back."""
-    requests, evidence = map_requests(scopes, context)
-    requests, evidence = keep(requests), keep(evidence)
-    requests, over = within_budget(requests, None, limit, ["batch", "chunk", "split_path", "kind"])
-    got = ask(keep(requests), MAPPED, evidence, catalog, call, keep)
-    named = requests.select("request_id", "kind", *KEY)
-    bodies = keep(named.join(got.good, "request_id"))
-    failed = named.join(got.bad, "request_id").where("kind <> 'overview_candidate'").select(*KEY, F.when(F.col("code").isin("truncated", "incomplete"), F.col("code")).otherwise("schema_validation").alias("category"))
-    failures = keep(over.withColumn("category", F.lit("call_limit")).unionByName(failed).groupBy(*KEY).agg(F.min("category").alias("category")))
-    bodies = bodies.join(failures, KEY, "left_anti")
-    live = named.select(*KEY).distinct().join(failures, KEY, "left_anti")
+@dataclass
+class Mapped:
+    """bodies (component_key, root_component, kind, body) of the answers that count; used (component_key, root_component,
+    path); failures (component_key, root_component, category); calls (component_key, root_component, calls, repaired);
+    coverage (component_key, root_component, kind, split_path, state) of required kinds, state one of complete, saturated,
+    replaced and pending."""
+
+    bodies: DataFrame
+    used: DataFrame
+    failures: DataFrame
+    calls: DataFrame
+    coverage: DataFrame
+
+
+def mapped(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int, depth: int, context: DataFrame | None = None) -> Mapped:
+    """Asks each scope for each kind. A required answer that was cut off, or whose list is saturated (not complete, or as
+    long as it may be), is replaced by its scope's two halves, `depth` times at most; all that are open are asked at once,
+    a level at a time. Where nothing can be halved, a saturated answer stays and one that was cut off fails its component,
+    as any other bad answer does, and as the limit of calls does. Components that failed aren't asked further."""
+    bodies, used, failed, calls, coverage = [], [], [], [], []
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    open_, evidence = map_requests(scopes, context)
+    evidence, spent = keep(evidence), None
+    sizes = F.element_at(F.create_map(*[F.lit(x) for k in SECTIONS for x in (k, dossiers.FRAGMENT_ITEMS[k])]), F.col("kind"))
+    saturated = (F.get_json_object("body", "$.complete") == "false") | (F.json_array_length(F.get_json_object("body", "$.items")) == sizes)
+    for level in range(depth + 1):
+        open_, over = within_budget(keep(open_), spent, limit, ["batch", "chunk", "split_path", "kind"])
+        open_ = keep(open_)
+        got = ask(open_, MAPPED, evidence, catalog, call, keep)
+        required = F.col("kind") != "overview_candidate"
+        state = F.when(F.col("body").isNull(), F.col("code")).when(required & saturated, "saturated").otherwise("complete")
+        answers = open_.select("request_id", "kind", *KEY, "split_path").join(got.good, "request_id", "left").join(got.bad, "request_id", "left")
+        answers = keep(answers.withColumn("state", state))
+        twice = None
+        cut = answers.where(required & F.col("state").isin("truncated", "saturated")).select("request_id")
+        if level < depth and not cut.isEmpty():
+            twice = keep(split_requests(open_.join(cut, "request_id", "left_semi")))
+            parents = twice.select(F.col("parent").alias("request_id")).distinct()
+            coverage.append(answers.join(parents, "request_id", "left_semi").where(required).select(*KEY, "kind", "split_path", F.lit("replaced").alias("state")))
+            answers = answers.join(parents, "request_id", "left_anti")
+        ends = F.when(F.col("body").isNull(), "pending").otherwise(F.col("state")).alias("state")
+        coverage.append(answers.where(required).select(*KEY, "kind", "split_path", ends))
+        bodies.append(answers.where("body is not null").select(*KEY, "kind", "body"))
+        used.append(answers.where("body is not null").join(got.used, "request_id").select(*KEY, "path"))
+        category = F.when(F.col("state").isin("truncated", "incomplete"), F.col("state")).otherwise("schema_validation").alias("category")
+        failed += [over.withColumn("category", F.lit("call_limit")), answers.where(required & F.col("body").isNull()).select(*KEY, category)]
+        calls.append(open_.select("request_id", *KEY).join(got.calls, "request_id"))
+        if twice is None or level == depth:
+            break
+        failed = [keep(union(failed))]
+        open_ = keep(twice.join(failed[0].select(*KEY).distinct(), KEY, "left_anti"))
+        if open_.isEmpty():
+            break
+        evidence = open_.select("request_id", F.explode("paths").alias("path"))
+        if context is not None:
+            evidence = evidence.unionByName(open_.select("request_id", *KEY).join(context.select(*KEY, "path"), KEY).select("request_id", "path"))
+        evidence, open_ = keep(evidence.distinct()), open_.drop("parent", "paths")
+        spent = keep(union(calls).groupBy(*KEY).agg(total("calls").alias("calls")))
+    failures = keep(union(failed).groupBy(*KEY).agg(F.min("category").alias("category")))
+    return Mapped(union(bodies), keep(union(used).distinct()), failures, union(calls), union(coverage))
+
+
+def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, context: DataFrame | None = None, depth: int = SPLIT_DEPTH) -> Generated:
+    """Dossiers from fragments: each scope is asked for each kind and halved where its answer is cut off or saturated (see
+    mapped), required kinds must come good or their component fails, overview candidates need not; items are merged, then
+    overview and diagrams are reduced, each with a fall-back."""
+    got = mapped(scopes, catalog, call, keep, limit, depth, context)
+    failures = got.failures
+    bodies = got.bodies.join(failures, KEY, "left_anti")
+    live = scopes.select(*KEY).distinct().join(failures, KEY, "left_anti")
     sections = keep(merged_sections(bodies))
-    used = keep(named.join(got.used, "request_id").select(*KEY, "path").distinct().join(failures, KEY, "left_anti"))
+    used = got.used.join(failures, KEY, "left_anti")
 
     candidates = bodies.where("kind = 'overview_candidate'").select(*KEY, F.from_json("body", dossiers.body_type("overview_candidate")).alias("c"), "body")
     shown = projection(sections).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("section", "count", "names"))).alias("sections"))
     some = candidates.groupBy(*KEY).agg(F.array_sort(F.collect_list("body")).alias("candidates")).join(shown, KEY, "left")
-    overview, overview_calls = _reduced(_identified(some, "overview", F.to_json(F.struct(F.lit("overview").alias("kind"), "component_key", "candidates", "sections"))), "overview", evidence, catalog, call, keep)
+    asked = _identified(some, "overview", F.to_json(F.struct(F.lit("overview").alias("kind"), "component_key", "candidates", "sections")))
+    may = asked.select("request_id", *KEY).join(used, KEY).select("request_id", "path")
+    overview, overview_calls = _reduced(asked, "overview", may, catalog, call, keep)
     titles = overview.select(*KEY, F.from_json("body", dossiers.body_type("overview")).alias("o")).select(*KEY, "o.title", "o.purpose")
     first = candidates.select(*KEY, F.element_at("c.source_paths", 1).alias("path"), F.col("c.title").alias("title"), F.col("c.purpose").alias("purpose"))
     picked = merge.overview(first, KEY, "title", "purpose", None)
@@ -215,10 +310,10 @@ def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep,
     drawn, diagram_calls = _reduced(asked, "diagrams", may, catalog, call, keep)
     drawn = keep(drawn)
     out = keep(assembled(sections, titles, drawn, live, used))
-    calls = requests.select("request_id", *KEY).join(got.calls, "request_id").unionByName(overview_calls).unionByName(diagram_calls)
+    calls = got.calls.unionByName(overview_calls).unionByName(diagram_calls)
     stats = calls.groupBy(*KEY).agg(total("calls").alias("calls"), total("repaired").alias("repairs")).join(titles.select(*KEY, "reduced"), KEY, "left").join(drawn.select(*KEY, F.lit(True).alias("drawn")), KEY, "left")
     stats = stats.select(*KEY, "calls", "repairs", (~F.coalesce("reduced", F.lit(False))).alias("overview_fallback"), F.col("drawn").isNull().alias("diagram_fallback"))
-    return Generated(out, failures, keep(stats))
+    return Generated(out, failures, keep(stats), got.coverage)
 
 
 def by_dossier(batches: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -> Generated:
@@ -250,15 +345,15 @@ def by_dossier(batches: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -
     return Generated(keep(final.select(*KEY, F.from_json("body", dossiers.DOSSIER).alias("d")).select(*KEY, "d.*")), keep(failed.unionByName(late)), keep(stats))
 
 
-def automatic(batches: DataFrame, scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80) -> Generated:
+def automatic(batches: DataFrame, scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, depth: int = SPLIT_DEPTH) -> Generated:
     """One request a component first; those whose answer was cut off, and no others, go on to fragments."""
     once = by_dossier(batches, catalog, call, keep)
     cut = once.failures.where("category = 'truncated'").select(*KEY)
     if cut.isEmpty():
         return once
-    rest = by_fragments(scopes.join(cut, KEY, "left_semi"), catalog, call, keep, limit)
+    rest = by_fragments(scopes.join(cut, KEY, "left_semi"), catalog, call, keep, limit, depth=depth)
     stats = once.stats.unionByName(rest.stats).groupBy(*KEY).agg(total("calls").alias("calls"), total("repairs").alias("repairs"), F.bool_or("overview_fallback").alias("overview_fallback"), F.bool_or("diagram_fallback").alias("diagram_fallback"))
-    return Generated(once.dossiers.unionByName(rest.dossiers.select(*once.dossiers.columns)), once.failures.join(cut, KEY, "left_anti").unionByName(rest.failures), stats)
+    return Generated(once.dossiers.unionByName(rest.dossiers.select(*once.dossiers.columns)), once.failures.join(cut, KEY, "left_anti").unionByName(rest.failures), stats, rest.coverage)
 
 
 # --- bounds that hold before any call

@@ -112,7 +112,7 @@ def _sizes(got):
 @query("fragment_generation", f"WITH RECURSIVE {O.CUR}, {_WIDE}, n AS (SELECT component_key, root_component, max(batch)::BIGINT AS n FROM br GROUP BY ALL) SELECT component_key, root_component, 9 * n + 1 AS calls, 2 * n AS repairs, true AS overview_fallback, false AS diagram_fallback, least(n, 100)::INTEGER AS n_architecture, 1 AS n_interfaces, 1 AS n_diagrams FROM n")
 def _(spark, d):
     catalog = V.files_cur(spark, d).select("component_key").distinct()
-    return _sizes(fragments.by_fragments(_scopes(spark, d), catalog, _rough_call, stored, limit=1 << 40))
+    return _sizes(fragments.by_fragments(_scopes(spark, d), catalog, _rough_call, stored, limit=1 << 40, depth=0))
 
 
 def _cut_call(request: str) -> tuple[str, str]:
@@ -126,7 +126,7 @@ def _cut_call(request: str) -> tuple[str, str]:
 def _(spark, d):
     scopes = _scopes(spark, d)
     catalog = V.files_cur(spark, d).select("component_key").distinct()
-    got = fragments.automatic(scopes.select(*KEY, "batch", "path", "data"), scopes, catalog, _cut_call, stored, limit=1 << 40)
+    got = fragments.automatic(scopes.select(*KEY, "batch", "path", "data"), scopes, catalog, _cut_call, stored, limit=1 << 40, depth=0)
     return _sizes(got).select(*KEY, "calls", "repairs", "n_architecture", "n_diagrams")
 
 

@@ -36,6 +36,7 @@ class Settings:
     docs_dir: str = "docs"
     request_bytes: int = 500_000
     call_limit: int = 80
+    split_depth: int = 3
     strategy: str = "dossier"
 
     def problems(self) -> list[str]:
@@ -100,12 +101,12 @@ def generated(p: Plan, settings: Settings, keep: Callable[[DataFrame], DataFrame
     files = p.files.where("triggers").join(fresh, KEY, "left_semi").select(*KEY, "path", "data", "size")
     catalog = p.files.select("component_key").distinct()
     if settings.strategy == "fragments":
-        return fragments.by_fragments(_scopes(files, settings, keep), catalog, call, keep, settings.call_limit)
+        return fragments.by_fragments(_scopes(files, settings, keep), catalog, call, keep, settings.call_limit, depth=settings.split_depth)
     batches = packing.greedy_batches(files, settings.context_bytes, "error" if settings.strategy == "dossier" else "alone").select(*KEY, "path", "batch")
     rows = keep(files.join(batches, [*KEY, "path"]).select(*KEY, "batch", "path", F.encode("data", "utf-8").alias("data")))
     if settings.strategy == "dossier":
         return fragments.by_dossier(rows, catalog, call, keep)
-    return fragments.automatic(rows, _scopes(files, settings, keep), catalog, call, keep, settings.call_limit)
+    return fragments.automatic(rows, _scopes(files, settings, keep), catalog, call, keep, settings.call_limit, depth=settings.split_depth)
 
 
 def _scopes(files: DataFrame, settings: Settings, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:

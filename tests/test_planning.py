@@ -102,6 +102,39 @@ def test_fragments_end_to_end(spark):
     assert [r["category"] for r in few.failures.collect()] == ["call_limit"] and few.dossiers.count() == 0
 
 
+def test_scopes_are_halved(spark):
+    text = "one\ntwo\nthree\nfour\n"
+    rows = spark.createDataFrame([("a", False, 1, 1, 1, 1, "b1/c1", p, t) for p, t in (("x.go", text), ("y.go", "short"))] + [("b", False, 1, 1, 1, 1, "b1/c1", p, "flat") for p in ("v.go", "w.go")], "component_key string, root_component boolean, batch int, batch_count int, chunk int, chunk_count int, split_path string, path string, data string").withColumn("data", F.encode("data", "utf-8"))
+
+    def call(request):
+        asked = json.loads(request)
+        body, end = fragments.typed_stub(request)
+        if asked["kind"] in ("data_models", "workflows"):
+            none = json.dumps({"complete": True, "omitted_count": 0, "items": []})
+            long = len(asked["files"]) > 1 or len(asked["files"][0]["data"]) > 15
+            if asked["kind"] == "workflows":
+                return none, "length" if asked["component_key"] == "a" and long else "stop"
+            return (body if asked["component_key"] == "b" else none), end  # a single data model saturates its list
+        return body, end
+
+    catalog = rows.select("component_key")
+    got = fragments.by_fragments(rows, catalog, call, stored)
+    states = {(r["component_key"], r["kind"], r["split_path"]): r["state"] for r in got.coverage.collect()}
+    lines = {k[2]: v for k, v in states.items() if k[:2] == ("a", "workflows")}
+    assert lines == {"b1/c1": "replaced", "b1/c1/0": "replaced", "b1/c1/1": "complete", "b1/c1/0/0": "complete", "b1/c1/0/1": "complete"}
+    assert {k[2]: v for k, v in states.items() if k[:2] == ("b", "data_models")} == {"b1/c1": "replaced", "b1/c1/0": "saturated", "b1/c1/1": "saturated"}
+    assert got.failures.count() == 0
+    made = {r["component_key"]: r for r in got.dossiers.collect()}
+    assert len(made["b"]["data_models"]) == 1 and made["b"]["data_models"][0]["source_paths"] == ["v.go", "w.go"]
+    calls = {r["component_key"]: r["calls"] for r in got.stats.collect()}
+    assert calls == {"a": 9 + 4, "b": 9 + 2}
+    # no level left, no call left
+    flat = fragments.mapped(rows, catalog, call, stored, 80, 0)
+    assert [tuple(r) for r in flat.failures.collect()] == [("a", False, "truncated")]
+    few = fragments.mapped(rows, catalog, call, stored, 8, 3)
+    assert sorted(tuple(r) for r in few.failures.collect()) == [("a", False, "call_limit"), ("b", False, "call_limit")]
+
+
 def test_profiles():
     needed = fragments.profile({"interfaces": 3000})
     assert fragments.profile_problems(needed, 8192, 65_536, 500_000) == [] and len(fragments.profile_problems(needed, 10, 10, 10)) == 3
