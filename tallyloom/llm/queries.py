@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bit_sliced, decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, tool_calls, url_filter
+from . import bit_sliced, decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, tool_calls, url_filter, wavelet
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_shards": sstable.query,
     "op10_quality_rules": rules.query,
     "op11_bit_sliced_search": bit_sliced.query,
+    "op12_ranked_search": wavelet.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_mix_sources": mixing.ORACLE,
     "op6_link_tool_calls": tool_calls.ORACLE,
     "op11_bit_sliced_search": bit_sliced.ORACLE,
+    "op12_ranked_search": wavelet.ORACLE,
 }
