@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bit_sliced, decontaminate, fm, mixing, rules, secrets, simhash, sstable, suffix_dedup, tool_calls, url_filter, wavelet
+from . import bit_sliced, decontaminate, fm, mixing, prefix_trie, rules, secrets, simhash, sstable, suffix_dedup, tool_calls, url_filter, wavelet
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": rules.query,
     "op11_bit_sliced_search": bit_sliced.query,
     "op12_ranked_search": wavelet.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_link_tool_calls": tool_calls.ORACLE,
     "op11_bit_sliced_search": bit_sliced.ORACLE,
     "op12_ranked_search": wavelet.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
