@@ -290,17 +290,11 @@ def search(index: DataFrame, documents: int, items: DataFrame, k: int = 10, id_c
 
     Equal items (identifier and text) count once; an identifier with several texts is several items. Items without a term
     have no row, nor have any where the index is empty. Repeated documents are ranked each."""
-    spark, found = index.sparkSession, []
+    spark, found = index.sparkSession, None
     for wanted in passes(items, id_col, text_col, most):
-        found.append(_search_pass(index, documents, wanted, k))
-        if len(found) > 1:
-            found[-2:] = [stored(found[-2]), stored(found[-1])] if len(found) == 2 else [found[-2], stored(found[-1])]
-    if not found:
-        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    out = found[0]
-    for df in found[1:]:
-        out = out.union(df)
-    return out
+        one = _search_pass(index, documents, wanted, k)
+        found = one if found is None else stored(found).union(stored(one))
+    return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if found is None else found
 
 
 def _search_pass(index: DataFrame, documents: int, wanted: list[tuple[int | None, Counter]], k: int) -> DataFrame:
