@@ -49,7 +49,7 @@ def terms_of(text: str | bytes | None) -> list[bytes]:
 def totals(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """How many documents have a term, and how many terms all of them have."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(TERM)), F.lit(0)).cast("long")
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    row = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
