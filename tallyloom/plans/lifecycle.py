@@ -12,6 +12,7 @@ from ..functions.paths import component_page
 from ..functions.text import content_hash, struct_hash
 from ..operators import changes, components, documents, fragments, output, packing, planning, rendering
 from ..operators.classify import SourcePolicy, language_histogram, scan, secret_content
+from ..sources.journal import FileTree
 from ..sources.sinks import VersionedStore
 
 VERSIONS = ("input-1", "planner-1", "prompt-1", "render-1", "merge-1")
@@ -130,10 +131,11 @@ def documents_of(p: Plan, dossiers: DataFrame, live: DataFrame, docs_dir: str, k
     return documents.document_set(dossiers.join(named, KEY), decisions, documents.index(named, docs_dir).unionByName(info), docs_dir, omitted, keep(reused), pages)
 
 
-def sync(tracked: DataFrame, store: VersionedStore, old_files: DataFrame | None, old_components: DataFrame | None, keep: Callable[[DataFrame], DataFrame], settings: Settings = Settings(), call=fragments.typed_stub, full: bool = False) -> tuple[Plan, DataFrame | None]:
+def sync(tracked: DataFrame, store: VersionedStore | FileTree, old_files: DataFrame | None, old_components: DataFrame | None, keep: Callable[[DataFrame], DataFrame], settings: Settings = Settings(), call=fragments.typed_stub, full: bool = False) -> tuple[Plan, DataFrame | None]:
     """Makes what the plan asks for, reuses the rest, checks the whole set and commits it if nothing changed meanwhile.
     `keep` writes a table and reads it again, so that no model call is repeated. Returns the plan and the diff, or no
     diff for a no-op. A component without a dossier raises, and so does a set that fails its checks; nothing is installed."""
+    store.recover()
     p = plan(tracked, old_files, old_components, settings, full)
     p.actions = keep(p.actions)
     if p.is_noop():
@@ -154,8 +156,9 @@ def sync(tracked: DataFrame, store: VersionedStore, old_files: DataFrame | None,
     return p, output.output_diff(hashed, live)
 
 
-def check(tracked: DataFrame, store: VersionedStore, owned: DataFrame, old_files: DataFrame, old_components: DataFrame, settings: Settings = Settings()) -> None:
+def check(tracked: DataFrame, store: VersionedStore | FileTree, owned: DataFrame, old_files: DataFrame, old_components: DataFrame, settings: Settings = Settings()) -> None:
     """Raises StaleError unless installed documents are as the state (path, hash) says and the plan has nothing to do."""
+    store.recover()
     broken = output.first_reason(output.integrity(owned, store.read())).first()[0]
     if broken:
         raise StaleError(broken)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .queries import query
+from .streaming import events
 from .views import table
 
 MONEY = "decimal(18,2)"
@@ -45,12 +46,10 @@ def _(spark, d):
 
 @query("platform_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
-    rows = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("hour", "event_type", "n")
+    return events.windowed_counts(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
 @query("platform_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
   SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
 def _(spark, d):
-    rows = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    return rows.groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.min("ts").alias("started"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "n")
+    return events.sessions(table(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("started"), "n")

@@ -28,7 +28,7 @@ NO_FILE = "sha256:-"
 class RecoveryConflictError(RuntimeError):
     """Files are neither as before a transaction nor as it wanted them; everything was left as it is."""
 
-    exit_code = 7
+    exit_code = 6
 
     def __init__(self, conflicts: list[tuple[str, str]]):
         super().__init__("; ".join(f"{path}: {why}" for path, why in conflicts[:5]))

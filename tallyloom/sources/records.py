@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import is_clean
 from ..functions.text import is_hash
@@ -60,12 +66,48 @@ def worktree(spark: SparkSession, root: str, most_bytes: int, glob: str = "*") -
     return files.select(path.alias("path"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("data"), F.col("length").alias("size"), (F.col("length") > most_bytes).alias("truncated"))
 
 
+def worktree_files(paths: DataFrame, root: str, most_bytes: int) -> DataFrame:
+    """path, data, size, truncated, problem of given paths below `root`, a folder that all machines see as local files. No
+    link is followed: a link's content is its target, and a path through a link is refused. problem: unclean_path,
+    link_in_path, missing, not_a_file; a file above the limit is truncated and has no data."""
+    root = root.rstrip("/")
+
+    def look(path: str) -> tuple[bytes | None, int | None, bool, str | None]:
+        at, parts = root, path.split("/")
+        for i, part in enumerate(parts):
+            at = f"{at}/{part}"
+            try:
+                mode = os.lstat(at)
+            except (FileNotFoundError, NotADirectoryError):
+                return None, None, False, "missing"
+            if i < len(parts) - 1 and stat.S_ISLNK(mode.st_mode):
+                return None, None, False, "link_in_path"
+        if stat.S_ISLNK(mode.st_mode):
+            data = os.readlink(at.encode())
+            return (data if len(data) <= most_bytes else None), len(data), len(data) > most_bytes, None
+        if not stat.S_ISREG(mode.st_mode):
+            return None, None, False, "not_a_file"
+        with open(os.open(at, os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
+            size = os.fstat(f.fileno()).st_size
+            data = f.read(most_bytes + 1) if size <= most_bytes else b""
+        cut = size > most_bytes or len(data) > most_bytes
+        return (None if cut else data), max(size, len(data)), cut, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, clean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, size, cut, problem = look(path) if clean else (None, None, False, "unclean_path")
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary()), pa.array([size], pa.int64()), pa.array([cut], pa.bool_()), pa.array([problem], pa.string())], names=["path", "data", "size", "truncated", "problem"])
+
+    return paths.select("path", F.coalesce(is_clean(F.col("path")), F.lit(False)).alias("clean")).mapInArrow(run, "path string, data binary, size long, truncated boolean, problem string")
+
+
 STATE = "version int, files array<struct<path string, source_hash string, role string, triggers boolean, component_key string, root_component boolean>>, components array<struct<component_key string, root_component boolean, input_hash string, document string>>, generated map<string,string>, config_hash string"
 
 
 def load_state(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
-    """"missing", "invalid" or "valid", and the state as one row. Unknown keys, a wrong type, a file above the bound and
-    a broken rule of state_issues() make it invalid."""
+    """"missing", "invalid" or "valid", and the state as one row. Unknown names at any level, a wrong type, a file above the
+    bound and a broken rule of state_issues() make it invalid."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -74,14 +116,39 @@ def load_state(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
             return "missing", None
     except AnalysisException:
         return "missing", None
-    names = ["version", "files", "components", "generated", "config_hash"]
-    keys = F.json_object_keys("value")
-    ok = raw.select(F.from_json("value", STATE).alias("s"), (F.try_parse_json("value").isNotNull() & (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0) & (F.octet_length("value") <= MOST_STATE_BYTES)).alias("ok")).where("ok and s.version is not null")
+    return _state(raw)
+
+
+def load_tree_state(repository, revision: str, path: str) -> tuple[str, DataFrame | None]:
+    """The same of the state that a commit holds."""
+    found = repository.file(revision, path, MOST_STATE_BYTES)
+    if found is None:
+        return "missing", None
+    if found[1]:
+        return "invalid", None
+    return _state(repository.spark.createDataFrame([(found[2].decode("utf-8", "replace"),)], "value string"))
+
+
+def _state(raw: DataFrame) -> tuple[str, DataFrame | None]:
+    shape = F.from_json("value", STATE)
+    ok = raw.select(shape.alias("s"), (F.try_parse_json("value").isNotNull() & (F.size(unknown_names("value")) == 0) & (F.octet_length("value") <= MOST_STATE_BYTES)).alias("ok")).where("ok and s.version is not null")
     if ok.isEmpty() or not state_issues(ok.select("s.*")).isEmpty():
         return "invalid", None
     return "valid", ok.select("s.*")
 
 
+def unknown_names(column: str) -> Column:
+    """Names in a state (JSON) that it may not have, at its top and within files and components, sorted."""
+    types = T.StructType.fromDDL(STATE)
+    maps = lambda name: F.from_json(F.get_json_object(column, f"$.{name}"), "array<map<string,string>>")
+    names = [F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))]
+    extra = [F.array_except(names[0], F.array(*map(F.lit, types.names)))]
+    for part in ("files", "components"):
+        used = F.array_distinct(F.flatten(F.transform(F.coalesce(maps(part), F.array().cast("array<map<string,string>>")), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
+        extra.append(F.transform(F.array_except(used, F.array(*map(F.lit, types[part].dataType.elementType.names))), lambda n: F.concat(F.lit(f"{part}."), n)))  # noqa: B023
+    return F.array_sort(F.concat(*extra))
+
+
 def state_issues(state: DataFrame) -> DataFrame:
     """path, code of the files of a state (one row, whose size load_state() bounds) that break a rule."""
     return file_issues(state.select(F.lit(0).alias("state"), F.posexplode("files").alias("n", "f")).select("state", "n", "f.*")).drop("state")

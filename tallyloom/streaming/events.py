@@ -32,3 +32,16 @@ def incremental(stream: DataFrame, merge: Callable[[DataFrame, int], None], chec
     """Hands each batch to `merge` once there is something new, then stops. A batch that is handed over again after a
     crash has the same number, by which `merge` knows that it has it."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def exactly_once(stream: DataFrame, store, name: str, make: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Commits what `make` makes of each batch and what the store holds (path, content) to a store with a ledger. The
+    batch's number is committed with the documents: a batch that is handed over again changes nothing, whatever a crash
+    left undone, and of two writers one is refused."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if store.last_batch(name) < number:
+            live = store.read()
+            store.commit(make(batch, live), live.select("path", "hash"), batch=(name, number))
+
+    return incremental(stream, merge, checkpoint)
