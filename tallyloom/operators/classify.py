@@ -65,20 +65,25 @@ class SourcePolicy:
     extra: dict = field(default_factory=dict, compare=False)
 
 
-def generated_header(data: Column) -> Column:
-    """Marks in the first 4096 bytes."""
-    head = F.lower(F.decode(F.substring(F.encode(data, "utf-8"), 1, 4096), "iso-8859-1"))
+def header(data: Column) -> Column:
+    """The first 4096 bytes, in lower case."""
+    return F.lower(F.decode(F.substring(F.encode(data, "utf-8"), 1, 4096), "iso-8859-1"))
+
+
+def marked(head: Column) -> Column:
+    """Whether a header says that the file is generated."""
     return (head.contains("code generated") & head.contains("do not edit")) | head.contains("@generated") | head.contains("autogenerated file")
 
 
-def role_tests(path: Column, data: Column | None) -> dict[str, Column]:
-    """For each role the test for it, on path and, where given, content."""
+def role_tests(path: Column, data: Column | None, parts: tuple[Column, Column, Column, Column] | None = None) -> dict[str, Column]:
+    """For each role the test for it, on path and, where given, content. parts: columns that hold the lower path, its base
+    name, its extension and the content's header already."""
     p = F.lower(path)
-    base, ext = basename(p), extension(p)
+    p, base, ext, head = parts or (p, basename(p), extension(p), None if data is None else header(data))
     content = lambda test: F.coalesce(test(data), F.lit(False)) if data is not None else F.lit(False)
     shebang = rf"(?i)\A#![^\n]*(?:{'|'.join(INTERPRETERS)})"
     return {
-        "generated_code": has_segment(p, GENERATED_FOLDERS) | content(generated_header),
+        "generated_code": has_segment(p, GENERATED_FOLDERS) | content(lambda _: marked(head)),
         "lock_file": (ext == ".lock") | base.isin(LOCK_NAMES),
         "fixture": has_segment(p, FIXTURE_FOLDERS) | base.contains(".min.") | base.endswith(".map"),
         "test": has_segment(p, TEST_FOLDERS) | base.rlike(r"_test\.go\z|\Atest_.*\.py\z|\.test\.|\.spec\."),
@@ -107,6 +112,17 @@ def reason_expression(path: Column, data: Column | None = None, overrides: tuple
     return _first(role_tests(path, data), ROLES, ROLES["unknown_source"], [(matches_any(path, [g]), "role_override") for g, _ in overrides])
 
 
+def with_role(files: DataFrame, overrides: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Files (path, data) with their role. What the tests share is bound to columns first, and the role comes out of a
+    generator of one row: a filter on the role then stays above it, where the optimizer would else write all tests, with all
+    that path and content are made of, into each filter, and the generated method would be too long to be compiled."""
+    rows = files.withColumns({"lower_": F.lower("path"), "head_": header(F.col("data"))})
+    rows = rows.withColumns({"base_": basename(F.col("lower_")), "ext_": extension(F.col("lower_"))})
+    tests = role_tests(F.col("path"), F.col("data"), tuple(F.col(c) for c in ("lower_", "base_", "ext_", "head_")))
+    role = _first(tests, {r: r for r in ROLES}, "unknown_source", [(matches_any(F.col("path"), [g]), r) for g, r in overrides])
+    return rows.select(*files.columns, F.explode(F.array(role)).alias("role"))
+
+
 def secret_path(path: Column) -> Column:
     base = F.lower(basename(path))
     ext = extension(base)

@@ -30,9 +30,10 @@ def component_key(files: DataFrame, roots: tuple[str, ...] = (), explicit: bool
     """
     spark = files.sparkSession
     files = files.withColumn("folder_", dirname(F.col("path")))
-    folders = files.select("folder_").distinct()
+    # one pass over the files: their folders, and which of these hold a manifest
+    folders = files.groupBy("folder_").agg(F.bool_or(F.col("role") == "dependency_manifest").alias("manifest_"))
     above = folders.select("folder_", F.posexplode(F.concat(ancestors(F.col("folder_")), F.array("folder_"))).alias("depth_", "candidate_"))
-    manifests = files.where((F.col("role") == "dependency_manifest") & (F.col("folder_") != ".")).select(F.col("folder_").alias("candidate_")).distinct().withColumn("rank_", F.lit(0))
+    manifests = folders.where(F.col("manifest_") & (F.col("folder_") != ".")).select(F.col("folder_").alias("candidate_"), F.lit(0).alias("rank_"))
     owners = manifests.limit(0) if explicit else manifests
     if roots:
         owners = owners.unionByName(spark.createDataFrame([(r, 1) for r in roots], "candidate_ string, rank_ int"))

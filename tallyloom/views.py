@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import content_hash
-from .operators.classify import role_expression
+from .operators.classify import with_role
 from .operators.components import component_key
 
 EXTENSIONS = [".go", ".py", "_test.go", ".md", ".sql", ".proto", ".lock", ".yaml"]
@@ -34,8 +34,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _owned(files: DataFrame) -> DataFrame:
-    role = role_expression(F.col("path"), F.col("data"))
-    files = files.withColumn("role", role).withColumn("triggers", ~F.col("role").isin("test", "lock_file", "prose", "fixture", "generated_code"))
+    files = with_role(files).withColumn("triggers", ~F.col("role").isin("test", "lock_file", "prose", "fixture", "generated_code"))
     return component_key(files)
 
 
