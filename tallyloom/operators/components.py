@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname
 from ..functions.text import framed_hash
+from . import packing
 
+KEY = ["component_key", "root_component"]
 ROOT = "@root"
 # Top folders whose subfolders are components.
 CONTAINERS = ["apps", "cmd", "internal", "packages", "pkg", "services", "src"]
@@ -95,19 +97,66 @@ def parents(keys: DataFrame) -> DataFrame:
     return keys.join(found, "component_key", "left").select("component_key", F.when(F.col("component_key") != ROOT, F.coalesce("parent", F.lit(ROOT))).alias("parent"))
 
 
-def input_hash(files: DataFrame, versions: tuple[str, ...], config_hash: str) -> DataFrame:
-    """(component_key, root_component, input_hash): a digest of everything that a component's text depends on.
-
-    Fields are framed by their length and lists by their number, so that no two inputs read alike. A file enters by its
-    own framed digest. A component's digests are hashed in 256 buckets by their first byte, and the buckets' hashes are
-    what is hashed for the component, so that no row holds more than a bucket's share of 64 hex digits a file.
-    """
-    key = ["component_key", "root_component"]
-    one = framed_hash(F.col("path"), F.col("role"), F.col("source_hash"), F.coalesce("data", F.lit("")))
-    rows = files.select(*key, (~F.col("triggers")).alias("late"), "path", one.alias("digest")).withColumn("bucket", F.substring("digest", 8, 2))
-    buckets = rows.groupBy(*key, "bucket").agg(F.array_sort(F.collect_list(F.struct("late", "path", "digest"))).alias("f"))
+def context(files: DataFrame, supporting_bytes: int, manifest_bytes: int) -> DataFrame:
+    """component_key, root_component, kind, path, role, source_hash, size: the files that a component is shown beside its
+    triggering ones. Supporting: its own that don't trigger, in path order as many as fit the bytes. Manifest: those at
+    the top of the tree that fit theirs, for all components but the root; they are chosen once, and the few that the bytes
+    let through go to the components as one row."""
+    columns = ["path", "role", "source_hash", "size"]
+    fits = packing.fitted(supporting(files), supporting_bytes).where("selected").select(*KEY, "path")
+    own = supporting(files).join(fits, [*KEY, "path"]).select(*KEY, F.lit("supporting").alias("kind"), *columns)
+    top = files.where((F.col("role") == "dependency_manifest") & F.col("root_component"))
+    chosen = packing.fitted(top, manifest_bytes).where("selected").select("path")
+    one = top.join(chosen, "path").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("m"))
+    others = files.where("triggers and not root_component").select(*KEY).distinct()
+    shown = others.join(F.broadcast(one)).select(*KEY, F.lit("manifest").alias("kind"), F.explode("m").alias("m")).select(*KEY, "kind", "m.*")
+    return own.unionByName(shown)
+
+
+def _section(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """key and a digest of a section: the number of its elements and all their digests in order. They are hashed in 256
+    buckets by their first byte, and the buckets' hashes are what is hashed, so that no row holds more than a bucket's share
+    of 64 hex digits an element."""
+    rows = rows.withColumn("bucket", F.substring("digest", 8, 2))
+    buckets = rows.groupBy(*key, "bucket").agg(F.array_sort(F.collect_list(F.struct(*order, "digest"))).alias("f"))
     buckets = buckets.select(*key, F.size("f").cast("long").alias("n"), F.struct("bucket", F.sha2(F.array_join(F.transform("f", lambda f: f["digest"]), ""), 256).alias("h")).alias("b"))
     lists = buckets.groupBy(*key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("b")).alias("b"))
-    joined = F.array_join(F.transform("b", lambda b: F.concat(b["bucket"], b["h"])), "")
+    return lists.select(*key, framed_hash(F.col("n").cast("string"), F.array_join(F.transform("b", lambda b: F.concat(b["bucket"], b["h"])), "")).alias(name))
+
+
+def digested(files: DataFrame) -> DataFrame:
+    """The files without their content, each with its framed digest: what input_hash() and context() need, to be written once
+    where content is large."""
+    data = F.coalesce("data", F.lit("")) if "data" in files.columns else F.lit("")
+    size = ["size"] if "size" in files.columns else []
+    return files.select(*KEY, "path", "role", "source_hash", "triggers", *size, framed_hash(F.col("path"), F.col("role"), F.col("source_hash"), data).alias("digest"))
+
+
+def input_hash(files: DataFrame, versions: tuple[str, ...], config_hash: str, shown: DataFrame | None = None, norm: DataFrame | None = None) -> DataFrame:
+    """(component_key, root_component, input_hash): a digest of everything that a component's text depends on, for each
+    component with a triggering file: versions and settings, the catalogue of all components, its triggering files, the
+    context that it is shown (see context(); without it no context counts), and the changes that it has a side of (see
+    changes.normalized()).
+
+    Fields are framed by their length, and each section begins with its number of elements, so that no two inputs read
+    alike. A file enters by its own framed digest, content included where there is one; `files` may be what digested() made of them."""
+    files = files if "digest" in files.columns else digested(files)
+    own = files.where("triggers").select(*KEY, F.lit(False).alias("late"), "path", "digest")
+    parts = own.select(*KEY).distinct()
+    catalog = _section(parts.select(F.col("component_key").alias("k"), framed_hash(F.col("component_key")).alias("digest")), [], ["k"], "catalog_")
+    sections = parts.join(F.broadcast(catalog))  # one row
+    if shown is not None:
+        seen = shown.join(files.select("path", "digest"), "path")
+        own = own.unionByName(seen.where("kind = 'supporting'").select(*KEY, F.lit(True).alias("late"), "path", "digest"))
+        sections = sections.join(_section(seen.where("kind = 'manifest'"), KEY, ["path"], "manifests_"), KEY, "left")
+    sections = sections.join(_section(own, KEY, ["late", "path"], "sources_"), KEY)
+    if norm is not None:
+        fields = ["status", "old_path", "new_path", "old_role", "new_role", "old_key", "new_key"]
+        told = norm.select(*[F.col(f"{s}_root").cast("string").alias(f"{s}_r") for s in ("old", "new")], *[F.col(f"{s}_triggers").cast("string").alias(f"{s}_t") for s in ("old", "new")], "*")
+        told = told.withColumn("digest", framed_hash(*map(F.col, fields), *map(F.col, ["old_r", "new_r", "old_t", "new_t"])))
+        side = lambda s: told.where(F.col(f"{s}_key") != "").select(F.col(f"{s}_key").alias("component_key"), F.col(f"{s}_root").alias("root_component"), "old_path", "new_path", "digest")
+        sections = sections.join(_section(side("old").union(side("new")).distinct(), KEY, ["old_path", "new_path"], "changes_"), KEY, "left")
+    none = framed_hash(F.lit("0"), F.lit(""))
+    got = [F.coalesce(c, none) if c in sections.columns else none for c in ("catalog_", "sources_", "manifests_", "changes_")]
     head = [F.lit(v) for v in (*versions, config_hash)]
-    return lists.select(*key, framed_hash(*head, F.col("component_key"), F.col("root_component").cast("string"), F.col("n").cast("string"), joined).alias("input_hash"))
+    return sections.select(*KEY, framed_hash(*head, F.col("component_key"), F.col("root_component").cast("string"), *got).alias("input_hash"))

@@ -42,17 +42,44 @@ def within_budget(requests: DataFrame, spent: DataFrame | None, limit: int, orde
     return rows.where(ok).drop("nth_", "calls"), rows.where(~ok).select(*KEY).distinct()
 
 
+def charged(requests: DataFrame, spent: DataFrame | None, limit: int, order: list[str]) -> DataFrame:
+    """All columns of requests (with `repaired`, whether a request needs a second call) with `called` and `again`: whether
+    its first and its second call are within the limit, if a component's calls are made one after the other in order. A
+    running sum charges both calls of all requests before, so that the cut falls at the same call."""
+    each = F.lit(1) + F.col("repaired").cast("int")
+    before = F.coalesce(F.sum(each).over(Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = requests.withColumn("before_", before)
+    rows = rows.withColumn("calls_", F.lit(0).cast("long")) if spent is None else rows.join(spent.select(*KEY, F.col("calls").alias("calls_")), KEY, "left")
+    used = F.coalesce("calls_", F.lit(0)) + F.col("before_")
+    return rows.withColumns({"called": used < limit, "again": F.col("repaired") & (used + 1 < limit)}).drop("before_", "calls_")
+
+
+def baseline_calls(scopes: Column) -> Column:
+    """The most calls that a component of so many scopes takes if no scope is halved: every kind of each scope and both
+    reducers, each with a repair."""
+    return 2 * (len(MAPPED) * scopes + 2)
+
+
 def _request_id() -> Column:
     return F.concat_ws("#", "component_key", F.col("root_component").cast("string"), "split_path", "kind").alias("request_id")
 
 
-def map_requests(scopes: DataFrame, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _with_shown(rows: DataFrame, shown: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """The rows with what their component is shown beside its sources, and the names of these columns."""
+    if shown is None:
+        return rows, []
+    names = [c for c in shown.columns if c not in KEY]
+    return rows.join(shown, KEY, "left"), names
+
+
+def map_requests(scopes: DataFrame, context: DataFrame | None = None, shown: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A request (request_id, kind, the scope's columns, request) for each scope and kind, with the files' content, and
     what each may cite (request_id, path). scopes: the scope's columns, path, data; a scope's files are a batch at most.
-    context: component_key, root_component, path of supporting files and manifests, that may be cited too."""
+    context: component_key, root_component, path of supporting files and manifests, that may be cited too. shown: a row a
+    component with further fields of its requests, within their bytes: the context's content and the changes."""
     files = scopes.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("path", F.decode("data", "utf-8").alias("data")))).alias("files"))
-    each = files.select(*SCOPE, "files", F.explode(F.array(*map(F.lit, MAPPED))).alias("kind"))
-    requests = each.select(_request_id(), "kind", *SCOPE, F.to_json(F.struct("kind", "component_key", "split_path", "files")).alias("request"), F.transform("files", lambda f: f["path"]).alias("paths"))
+    each, extra = _with_shown(files.select(*SCOPE, "files", F.explode(F.array(*map(F.lit, MAPPED))).alias("kind")), shown)
+    requests = each.select(_request_id(), "kind", *SCOPE, F.to_json(F.struct("kind", "component_key", "split_path", "files", *extra)).alias("request"), F.transform("files", lambda f: f["path"]).alias("paths"))
     evidence = requests.select("request_id", F.explode("paths").alias("path"))
     if context is not None:
         evidence = evidence.unionByName(requests.select("request_id", *KEY).join(context.select(*KEY, "path"), KEY).select("request_id", "path"))
@@ -107,10 +134,11 @@ def _checked(answers: DataFrame, kinds: list[str], evidence: DataFrame, catalog:
     return out, used
 
 
-def ask(requests: DataFrame, kinds: list[str], evidence: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -> Answers:
+def ask(requests: DataFrame, kinds: list[str], evidence: DataFrame, catalog: DataFrame, call: Call, keep: Keep, room: DataFrame | None = None, order: list[str] = ["request_id"]) -> Answers:  # noqa: B006
     """Asks every request (request_id, kind, request), checks the answers, and asks once more, with the issues, where an
     answer can be repaired. An answer that did not finish with "stop" is bad and isn't repaired: `length` is truncated,
-    anything else incomplete."""
+    anything else incomplete. room (component_key, root_component, left): how many calls a component has left besides these
+    first ones; repairs are made in order while there are some, and the others are bad with the code call_limit."""
     def one(asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         got = keep(generator.generate(asked, call).join(asked.select("request_id", "kind"), "request_id"))
         whole = got.where("finish_reason = 'stop'")
@@ -121,7 +149,16 @@ def ask(requests: DataFrame, kinds: list[str], evidence: DataFrame, catalog: Dat
 
     first, wrong, used = one(requests)
     repair = requests.join(wrong.where("issues is not null"), "request_id").join(first.select("request_id", "body"), "request_id")
-    again = keep(repair.select("request_id", "kind", F.to_json(F.struct(F.col("request").alias("repair_of"), F.left("body", F.lit(dossiers.MOST_FRAGMENT_BYTES)).alias("invalid"), "issues")).alias("request")))
+    late = None
+    if room is not None:
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
+        repair = keep(repair.join(room.select(*KEY, "left"), KEY, "left").withColumn("may", nth <= F.coalesce("left", F.lit(0))))
+        late = repair.where("not may").select("request_id", F.lit("call_limit").alias("code"))
+        repair = repair.where("may")
+    cut = (F.octet_length("body") > dossiers.MOST_FRAGMENT_BYTES).alias("invalid_is_cut")
+    again = keep(repair.select("request_id", "kind", F.to_json(F.struct(F.col("request").alias("repair_of"), F.left("body", F.lit(dossiers.MOST_FRAGMENT_BYTES)).alias("invalid"), cut, "issues")).alias("request")))
+    if late is not None:
+        wrong = keep(wrong.join(late.withColumnRenamed("code", "late"), "request_id", "left").select("request_id", F.coalesce("late", "code").alias("code"), F.when(F.col("late").isNull(), F.col("issues")).alias("issues")))
     if again.isEmpty():
         good = first.join(wrong.select("request_id"), "request_id", "left_anti").select("request_id", "body")
         calls = requests.select("request_id", F.lit(1).alias("calls"), F.lit(0).alias("repaired"))
@@ -173,11 +210,24 @@ def _identified(rows: DataFrame, kind: str, request: Column) -> DataFrame:
     return rows.select(name.alias("request_id"), F.lit(kind).alias("kind"), *KEY, request.alias("request"))
 
 
-def _reduced(requests: DataFrame, kind: str, evidence: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -> tuple[DataFrame, DataFrame]:
-    """An optional reducer: component_key, root_component, body of the good answers, and its calls. Whatever fails falls back."""
-    requests = keep(requests)
-    got = ask(requests, [kind], evidence, catalog, call, keep)
-    return requests.join(got.good, "request_id").select(*KEY, "body"), requests.select("request_id", *KEY).join(got.calls, "request_id")
+def _left(components: DataFrame, spent: DataFrame, limit: int) -> DataFrame:
+    """component_key, root_component, left: the calls that components may still make."""
+    used = F.coalesce("calls", F.lit(0))
+    return components.select(*KEY).distinct().join(spent.select(*KEY, "calls"), KEY, "left").select(*KEY, F.greatest(F.lit(limit) - used, F.lit(0)).cast("long").alias("left"))
+
+
+def _spent(calls: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [c.select(*KEY, "calls") for c in calls]).groupBy(*KEY).agg(total("calls").alias("calls"))
+
+
+def _reduced(requests: DataFrame, kind: str, evidence: DataFrame, catalog: DataFrame, call: Call, keep: Keep, spent: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An optional reducer: component_key, root_component, body of the good answers, its calls, and the components that
+    reached their limit of calls. An answer that isn't good falls back; the limit does not, it fails the component."""
+    requests = keep(requests.join(_left(requests, spent, limit), KEY))
+    may = requests.where("left > 0")
+    got = ask(may.drop("left"), [kind], evidence, catalog, call, keep, may.select(*KEY, (F.col("left") - 1).alias("left")))
+    over = requests.where("left = 0").select(*KEY).unionByName(may.join(got.bad.where("code = 'call_limit'"), "request_id").select(*KEY))
+    return may.join(got.good, "request_id").select(*KEY, "body"), keep(may.select("request_id", *KEY).join(got.calls, "request_id")), keep(over)
 
 
 def assembled(sections: DataFrame, overviews: DataFrame, diagrams: DataFrame, components: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -234,21 +284,26 @@ class Mapped:
     coverage: DataFrame
 
 
-def mapped(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int, depth: int, context: DataFrame | None = None) -> Mapped:
+def mapped(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int, depth: int, context: DataFrame | None = None, spent: DataFrame | None = None, shown: DataFrame | None = None) -> Mapped:
     """Asks each scope for each kind. A required answer that was cut off, or whose list is saturated (not complete, or as
     long as it may be), is replaced by its scope's two halves, `depth` times at most; all that are open are asked at once,
     a level at a time. Where nothing can be halved, a saturated answer stays and one that was cut off fails its component,
-    as any other bad answer does, and as the limit of calls does. Components that failed aren't asked further."""
+    as any other bad answer does, and as the limit of calls does, which repairs count against too. `spent`
+    (component_key, root_component, calls) was called before. Components that failed aren't asked further."""
     bodies, used, failed, calls, coverage = [], [], [], [], []
+    order = ["batch", "chunk", "split_path", "kind"]
+    before = spent
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    open_, evidence = map_requests(scopes, context)
-    evidence, spent = keep(evidence), None
+    open_, evidence = map_requests(scopes, context, shown)
+    evidence = keep(evidence)
     sizes = F.element_at(F.create_map(*[F.lit(x) for k in SECTIONS for x in (k, dossiers.FRAGMENT_ITEMS[k])]), F.col("kind"))
     saturated = (F.get_json_object("body", "$.complete") == "false") | (F.json_array_length(F.get_json_object("body", "$.items")) == sizes)
     for level in range(depth + 1):
-        open_, over = within_budget(keep(open_), spent, limit, ["batch", "chunk", "split_path", "kind"])
+        open_, over = within_budget(keep(open_), spent, limit, order)
         open_ = keep(open_)
-        got = ask(open_, MAPPED, evidence, catalog, call, keep)
+        asked = open_.groupBy(*KEY).agg(F.count(F.lit(1)).alias("calls"))
+        room = keep(_left(open_, asked if spent is None else _spent([asked, spent]), limit))
+        got = ask(open_, MAPPED, evidence, catalog, call, keep, room, order)
         required = F.col("kind") != "overview_candidate"
         state = F.when(F.col("body").isNull(), F.col("code")).when(required & saturated, "saturated").otherwise("complete")
         answers = open_.select("request_id", "kind", *KEY, "split_path").join(got.good, "request_id", "left").join(got.bad, "request_id", "left")
@@ -264,8 +319,9 @@ def mapped(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit:
         coverage.append(answers.where(required).select(*KEY, "kind", "split_path", ends))
         bodies.append(answers.where("body is not null").select(*KEY, "kind", "body"))
         used.append(answers.where("body is not null").join(got.used, "request_id").select(*KEY, "path"))
-        category = F.when(F.col("state").isin("truncated", "incomplete"), F.col("state")).otherwise("schema_validation").alias("category")
-        failed += [over.withColumn("category", F.lit("call_limit")), answers.where(required & F.col("body").isNull()).select(*KEY, category)]
+        category = F.when(F.col("state").isin("truncated", "incomplete", "call_limit"), F.col("state")).otherwise("schema_validation").alias("category")
+        stops = F.col("body").isNull() & (required | (F.col("state") == "call_limit"))
+        failed += [over.withColumn("category", F.lit("call_limit")), answers.where(stops).select(*KEY, category)]
         calls.append(open_.select("request_id", *KEY).join(got.calls, "request_id"))
         if twice is None or level == depth:
             break
@@ -277,16 +333,18 @@ def mapped(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit:
         if context is not None:
             evidence = evidence.unionByName(open_.select("request_id", *KEY).join(context.select(*KEY, "path"), KEY).select("request_id", "path"))
         evidence, open_ = keep(evidence.distinct()), open_.drop("parent", "paths")
-        spent = keep(union(calls).groupBy(*KEY).agg(total("calls").alias("calls")))
+        spent = keep(_spent([*calls, *([] if before is None else [before])]))
     failures = keep(union(failed).groupBy(*KEY).agg(F.min("category").alias("category")))
     return Mapped(union(bodies), keep(union(used).distinct()), failures, union(calls), union(coverage))
 
 
-def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, context: DataFrame | None = None, depth: int = SPLIT_DEPTH) -> Generated:
+def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, context: DataFrame | None = None, depth: int = SPLIT_DEPTH, spent: DataFrame | None = None, shown: DataFrame | None = None) -> Generated:
     """Dossiers from fragments: each scope is asked for each kind and halved where its answer is cut off or saturated (see
     mapped), required kinds must come good or their component fails, overview candidates need not; items are merged, then
-    overview and diagrams are reduced, each with a fall-back."""
-    got = mapped(scopes, catalog, call, keep, limit, depth, context)
+    overview and diagrams are reduced, each with a fall-back. A component's limit counts every call, repairs and reducers
+    too, and those that were made before (`spent`). shown: see map_requests()."""
+    got = mapped(scopes, catalog, call, keep, limit, depth, context, spent, shown)
+    before = [] if spent is None else [spent]
     failures = got.failures
     bodies = got.bodies.join(failures, KEY, "left_anti")
     live = scopes.select(*KEY).distinct().join(failures, KEY, "left_anti")
@@ -298,7 +356,9 @@ def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep,
     some = candidates.groupBy(*KEY).agg(F.array_sort(F.collect_list("body")).alias("candidates")).join(shown, KEY, "left")
     asked = _identified(some, "overview", F.to_json(F.struct(F.lit("overview").alias("kind"), "component_key", "candidates", "sections")))
     may = asked.select("request_id", *KEY).join(used, KEY).select("request_id", "path")
-    overview, overview_calls = _reduced(asked, "overview", may, catalog, call, keep)
+    calls = keep(_spent([got.calls, *before]))
+    overview, overview_calls, over = _reduced(asked, "overview", may, catalog, call, keep, calls, limit)
+    live = keep(live.join(over, KEY, "left_anti"))
     titles = overview.select(*KEY, F.from_json("body", dossiers.body_type("overview")).alias("o")).select(*KEY, "o.title", "o.purpose")
     first = candidates.select(*KEY, F.element_at("c.source_paths", 1).alias("path"), F.col("c.title").alias("title"), F.col("c.purpose").alias("purpose"))
     picked = merge.overview(first, KEY, "title", "purpose", None)
@@ -307,8 +367,9 @@ def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep,
     shown, cites = diagram_projection(sections)
     asked = _identified(live.join(shown, KEY, "left"), "diagrams", F.to_json(F.struct(F.lit("diagrams").alias("kind"), "component_key", "items")))
     may = asked.select("request_id", *KEY).join(cites, KEY).select("request_id", "path")
-    drawn, diagram_calls = _reduced(asked, "diagrams", may, catalog, call, keep)
-    drawn = keep(drawn)
+    drawn, diagram_calls, over_too = _reduced(asked, "diagrams", may, catalog, call, keep, keep(_spent([calls, overview_calls])), limit)
+    drawn, live = keep(drawn), keep(live.join(over_too, KEY, "left_anti"))
+    failures = keep(failures.unionByName(over.unionByName(over_too).distinct().withColumn("category", F.lit("call_limit"))))
     out = keep(assembled(sections, titles, drawn, live, used))
     calls = got.calls.unionByName(overview_calls).unionByName(diagram_calls)
     stats = calls.groupBy(*KEY).agg(total("calls").alias("calls"), total("repaired").alias("repairs")).join(titles.select(*KEY, "reduced"), KEY, "left").join(drawn.select(*KEY, F.lit(True).alias("drawn")), KEY, "left")
@@ -316,16 +377,19 @@ def by_fragments(scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep,
     return Generated(out, failures, keep(stats), got.coverage)
 
 
-def by_dossier(batches: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -> Generated:
+def by_dossier(batches: DataFrame, catalog: DataFrame, call: Call, keep: Keep, shown: DataFrame | None = None, limit: int | None = None) -> Generated:
     """Dossiers at once, or batch by batch with a synthesis that may cite only what its batches cited. batches:
     component_key, root_component, batch, path, data; a component of one batch is one request. Any bad answer fails its
-    component, by the category of the first in order."""
+    component, by the category of the first in order. shown: see map_requests(). With a limit of calls, repairs beyond it
+    aren't made."""
     files = batches.groupBy(*KEY, "batch").agg(F.array_sort(F.collect_list(F.struct("path", F.decode("data", "utf-8").alias("data")))).alias("files"))
     name = F.concat_ws("#", "component_key", F.col("root_component").cast("string"), F.concat(F.lit("batch"), F.col("batch").cast("string")))
-    requests = keep(files.select(name.alias("request_id"), F.lit("dossier").alias("kind"), *KEY, "batch", F.to_json(F.struct(F.lit("dossier").alias("kind"), "component_key", "batch", "files")).alias("request"), F.transform("files", lambda f: f["path"]).alias("paths")))
-    got = ask(requests.drop("paths"), ["dossier"], requests.select("request_id", F.explode("paths").alias("path")), catalog, call, keep)
+    files, extra = _with_shown(files, shown)
+    requests = keep(files.select(name.alias("request_id"), F.lit("dossier").alias("kind"), *KEY, "batch", F.to_json(F.struct(F.lit("dossier").alias("kind"), "component_key", "batch", "files", *extra)).alias("request"), F.transform("files", lambda f: f["path"]).alias("paths")))
+    room = None if limit is None else _left(requests, requests.groupBy(*KEY).agg(F.count(F.lit(1)).alias("calls")), limit)
+    got = ask(requests.drop("paths"), ["dossier"], requests.select("request_id", F.explode("paths").alias("path")), catalog, call, keep, room, ["batch"])
     named = requests.select("request_id", *KEY, "batch")
-    category = F.when(F.col("code").isin("truncated", "incomplete"), F.col("code")).otherwise("schema_validation")
+    category = F.when(F.col("code").isin("truncated", "incomplete", "call_limit"), F.col("code")).otherwise("schema_validation")
     failed = keep(named.join(got.bad, "request_id").groupBy(*KEY).agg(F.min_by(category, "batch").alias("category")))
     counts = named.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     good = keep(named.join(got.good, "request_id").join(failed, KEY, "left_anti").join(counts, KEY))
@@ -345,15 +409,20 @@ def by_dossier(batches: DataFrame, catalog: DataFrame, call: Call, keep: Keep) -
     return Generated(keep(final.select(*KEY, F.from_json("body", dossiers.DOSSIER).alias("d")).select(*KEY, "d.*")), keep(failed.unionByName(late)), keep(stats))
 
 
-def automatic(batches: DataFrame, scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, depth: int = SPLIT_DEPTH) -> Generated:
-    """One request a component first; those whose answer was cut off, and no others, go on to fragments."""
-    once = by_dossier(batches, catalog, call, keep)
+def automatic(batches: DataFrame, scopes: DataFrame, catalog: DataFrame, call: Call, keep: Keep, limit: int = 80, depth: int = SPLIT_DEPTH, context: DataFrame | None = None, shown: DataFrame | None = None) -> Generated:
+    """One request for each component that fits one (it has a single batch); those whose answer was cut off, and no others, go
+    on to fragments, as components of `scopes` do that don't fit. Both share the limit of calls."""
+    small = keep(batches.groupBy(*KEY).agg(F.count_distinct("batch").alias("n")).where("n = 1").select(*KEY))
+    large = scopes.select(*KEY).distinct().join(small, KEY, "left_anti")
+    once = by_dossier(batches.join(small, KEY, "left_semi"), catalog, call, keep, shown, limit)
     cut = once.failures.where("category = 'truncated'").select(*KEY)
-    if cut.isEmpty():
+    rest = keep(cut.unionByName(large))
+    if rest.isEmpty():
         return once
-    rest = by_fragments(scopes.join(cut, KEY, "left_semi"), catalog, call, keep, limit, depth=depth)
-    stats = once.stats.unionByName(rest.stats).groupBy(*KEY).agg(total("calls").alias("calls"), total("repairs").alias("repairs"), F.bool_or("overview_fallback").alias("overview_fallback"), F.bool_or("diagram_fallback").alias("diagram_fallback"))
-    return Generated(once.dossiers.unionByName(rest.dossiers.select(*once.dossiers.columns)), once.failures.join(cut, KEY, "left_anti").unionByName(rest.failures), stats, rest.coverage)
+    spent = keep(once.stats.join(cut, KEY, "left_semi").select(*KEY, "calls"))
+    made = by_fragments(scopes.join(rest, KEY, "left_semi"), catalog, call, keep, limit, context, depth, spent, shown)
+    stats = once.stats.unionByName(made.stats).groupBy(*KEY).agg(total("calls").alias("calls"), total("repairs").alias("repairs"), F.bool_or("overview_fallback").alias("overview_fallback"), F.bool_or("diagram_fallback").alias("diagram_fallback"))
+    return Generated(once.dossiers.unionByName(made.dossiers.select(*once.dossiers.columns)), once.failures.join(cut, KEY, "left_anti").unionByName(made.failures), stats, made.coverage)
 
 
 # --- bounds that hold before any call

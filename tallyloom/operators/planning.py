@@ -57,7 +57,7 @@ def selected(old: DataFrame, cur: DataFrame, norm: DataFrame, impact: set[str],
     """(component_key, root_component, reasons): the known components that a run has to do with.
 
     With a reason for a full run: all there are and were. Else what changes and owners pick, and by what the
-    configuration changed: owners of files that differ (source), all current components (context, generation, unknown).
+    configuration changed: owners of files that differ, supporting ones too (source), all current components (context, generation, unknown).
     """
     now, was = cur.where("triggers").select(*KEY).distinct(), old.select(*KEY).distinct()
     known = now.union(was).distinct()
@@ -65,7 +65,7 @@ def selected(old: DataFrame, cur: DataFrame, norm: DataFrame, impact: set[str],
         return changes.reasons(known.withColumn("reason", F.lit(full_reason)), known)
     picked = changes.changed_components(norm).unionByName(changes.ownership_changes(old, cur).select(*KEY, F.lit("ownership_changed").alias("reason")))
     if "source" in impact:
-        picked = picked.unionByName(changes.policy_differences(old, cur).withColumn("reason", F.lit("source_policy_changed")))
+        picked = picked.unionByName(changes.policy_differences(old, cur, supporting=True).withColumn("reason", F.lit("source_policy_changed")))
     for group, reason in (("context", "context_configuration_changed"), ("generation", "generation_configuration_changed"), ("unknown", "configuration_changed")):
         if group in impact:
             picked = picked.unionByName(now.withColumn("reason", F.lit(reason)))
@@ -121,12 +121,16 @@ def _halved(parts: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "component_key string, root_component boolean, part array<int>, path string, data binary")
 
 
-def refined_scopes(scopes: DataFrame, request_bytes: Callable[[Column, Column], Column], limit: int, keep: Callable[[DataFrame], DataFrame], most_rounds: int = 40) -> DataFrame:
+def refined_scopes(scopes: DataFrame, request_bytes: Callable[[Column, Column], Column], limit: int, keep: Callable[[DataFrame], DataFrame], most_rounds: int = 40, ceiling: Callable[[Column], Column] | None = None, call_limit: int = 0) -> DataFrame:
     """The scopes, those whose request is above the limit halved until all requests fit. `request_bytes` makes a request's
-    size of the number of files and their bytes; a part that can't be halved raises. A part holds a batch's bytes at most."""
+    size of the number of files and their bytes; a part that can't be halved raises. A part holds a batch's bytes at most.
+    With a ceiling, the most calls that so many scopes take, a component whose scopes may take more than `call_limit` is
+    refused, before anything is halved and after each round: halving only adds scopes."""
     size = request_bytes(F.count(F.lit(1)), F.sum(F.length("data")))
     for _ in range(most_rounds):
         scopes = keep(scopes)
+        if ceiling is not None:
+            refuse_over(scopes, ceiling, call_limit)
         big = scopes.groupBy(*KEY, "part").agg(size.alias("bytes")).where(F.col("bytes") > limit).select(*KEY, "part")
         if big.isEmpty():
             return scopes
@@ -134,6 +138,20 @@ def refined_scopes(scopes: DataFrame, request_bytes: Callable[[Column, Column],
     raise ValueError("requests still exceed the limit")
 
 
+def refuse_over(scopes: DataFrame, ceiling: Callable[[Column], Column], call_limit: int) -> None:
+    """Raises CallCeilingError where a component's scopes may take more calls than the limit."""
+    counts = scopes.select(*KEY, "part").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("calls", ceiling(F.col("n")))
+    over = counts.where(F.col("calls") > call_limit).orderBy(*KEY).limit(1).collect()
+    if over:
+        raise CallCeilingError(f"component {over[0]['component_key']} may take {over[0]['calls']} calls, more than the limit of {call_limit}")
+
+
+class CallCeilingError(ValueError):
+    """A component may take more calls than its limit; nothing was called."""
+
+    exit_code = 5
+
+
 def numbered_scopes(scopes: DataFrame) -> DataFrame:
     """(component_key, root_component, batch, batch_count, chunk, chunk_count, split_path, path, data): scopes by their
     final numbers, batches and chunks from 1. Halves of several files are batches; chunks are the parts of one file."""

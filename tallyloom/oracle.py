@@ -93,13 +93,36 @@ def framed(*fields: str) -> str:
     return "'sha256:' || sha256(" + " || ".join(f"unhex(lpad(printf('%X', strlen({f})), 16, '0')) || encode({f})" for f in fields) + ")"
 
 
-def input_hash(name: str, source: str, data: str, versions: list[str]) -> str:
-    one = framed("path", "role", "source_hash", data)
-    head = [f"'{v}'" for v in versions]
-    return f"""{name}_d AS (SELECT component_key, root_component, triggers, path, {one} AS digest FROM {source}),
-{name}_b AS (SELECT component_key, root_component, substr(digest, 8, 2) AS bucket, count(*) AS n, sha256(string_agg(digest, '' ORDER BY NOT triggers, path)) AS h FROM {name}_d GROUP BY ALL),
-{name} AS (SELECT component_key, root_component, {framed(*head, "component_key", "root_component::VARCHAR", "n::VARCHAR", "joined")} AS input_hash
-  FROM (SELECT component_key, root_component, sum(n)::BIGINT AS n, string_agg(bucket || h, '' ORDER BY bucket) AS joined FROM {name}_b GROUP BY ALL))"""
+def section(name: str, rows: str, key: str, order: str) -> str:
+    """A digest of the rows (key, `order`, digest) by key: their number and, bucket by bucket, their digests in order."""
+    by = f"{key}, " if key else ""
+    return f"""{name}_b AS (SELECT {by}substr(digest, 8, 2) AS bucket, count(*) AS n, sha256(string_agg(digest, '' ORDER BY {order})) AS h FROM ({rows}) GROUP BY ALL),
+{name} AS (SELECT {by}{framed("n::VARCHAR", "joined")} AS section FROM (SELECT {by}sum(n)::BIGINT AS n, string_agg(bucket || h, '' ORDER BY bucket) AS joined FROM {name}_b GROUP BY ALL))"""
+
+
+def input_hash(name: str, source: str, data: str, versions: list[str], shown: str | None = None, norm: str | None = None) -> str:
+    """shown: a table of component_key, root_component, kind, path; norm: one of changes with both sides."""
+    keys = "component_key, root_component"
+    one, head = framed("path", "role", "source_hash", data), [f"'{v}'" for v in versions]
+    files = f"SELECT {keys}, false AS late, path, {one} AS digest FROM {source} WHERE triggers"
+    out = [section(f"{name}_k", f"SELECT component_key AS k, {framed('component_key')} AS digest FROM (SELECT DISTINCT {keys} FROM {source} WHERE triggers)", "", "k")]
+    joins, none = f"JOIN {name}_s s USING ({keys})", framed("'0'", "''")
+    got = ["(SELECT section FROM " + f"{name}_k)", "s.section", none, none]
+    if shown:
+        seen = lambda kind: f"SELECT c.component_key, c.root_component, true AS late, path, {one} AS digest FROM {shown} c JOIN (SELECT path, role, source_hash, {data if data.startswith(chr(39)) else 'data'} AS data FROM {source}) USING (path) WHERE kind = '{kind}'"
+        files += " UNION ALL " + seen("supporting")
+        out.append(section(f"{name}_m", seen("manifest"), keys, "path"))
+        joins += f" LEFT JOIN {name}_m m USING ({keys})"
+        got[2] = f"coalesce(m.section, {none})"
+    out.append(section(f"{name}_s", files, keys, "late, path"))
+    if norm:
+        told = framed("status", "old_path", "new_path", "old_role", "new_role", "old_key", "new_key", *[f"{s}_{c}::VARCHAR" for c in ("root", "triggers") for s in ("old", "new")])
+        sides = " UNION ".join(f"SELECT {s}_key AS component_key, {s}_root AS root_component, old_path, new_path, {told} AS digest FROM {norm} WHERE {s}_key <> ''" for s in ("old", "new"))
+        out.append(section(f"{name}_c", sides, keys, "old_path, new_path"))
+        joins += f" LEFT JOIN {name}_c x USING ({keys})"
+        got[3] = f"coalesce(x.section, {none})"
+    hashed = framed(*head, "component_key", "root_component::VARCHAR", *got)
+    return ",\n".join([*out, f"{name} AS (SELECT component_key, root_component, {hashed} AS input_hash FROM (SELECT DISTINCT {keys} FROM {source} WHERE triggers) {joins})"])
 
 
 ITEMS = f"items AS (SELECT doc_id, source AS component_key, lang AS section, 'T' || doc_id % 40 AS title, 'D' || doc_id % 60 AS description, {PATH} AS path FROM documents)"

@@ -10,7 +10,7 @@ from . import oracle as O
 from . import views as V
 from .operators import changes, components, dossiers, fragments, packing, planning
 from .queries import _AFFECTED, _BATCHES, _stored_both, query
-from .sources import printer, prompts
+from .sources import printer
 from .sources.tables import stored
 
 KEY = ["component_key", "root_component"]
@@ -54,7 +54,8 @@ def _(spark, d):
     return rows.select("doc_id", F.array_join(planning.config_changes(F.col("aggregate"), F.when(n % 6 == 0, F.col("aggregate")).otherwise("old"), now, was), ",").alias("changed"))
 
 
-_SELECTED = f"""{_AFFECTED}, all_picked AS (SELECT * FROM picked UNION SELECT DISTINCT component_key, root_component, 'generation_configuration_changed' FROM cur WHERE triggers)"""
+_SELECTED = f"""{_AFFECTED}, all_picked AS (SELECT * FROM picked WHERE reason <> 'source_policy_changed' UNION SELECT x.k, x.r, 'source_policy_changed' FROM (SELECT unnest([{{'k': o.component_key, 'r': o.root_component, 'ok': o.path IS NOT NULL}}, {{'k': c.component_key, 'r': c.root_component, 'ok': c.path IS NOT NULL}}]) AS x
+  FROM old o FULL JOIN cur c ON o.path = c.path WHERE o.path IS NULL OR c.path IS NULL OR {O.DIFFERS}) WHERE x.ok UNION SELECT DISTINCT component_key, root_component, 'generation_configuration_changed' FROM cur WHERE triggers)"""
 
 
 @query("selected_components", f"WITH {_SELECTED} SELECT component_key, root_component, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM all_picked SEMI JOIN known USING (component_key, root_component) GROUP BY ALL")
@@ -122,7 +123,7 @@ def _cut_call(request: str) -> tuple[str, str]:
     return body, "length" if asked.get("kind") == "dossier" and len(asked["component_key"]) % 2 == 0 else "stop"
 
 
-@query("automatic_generation", f"WITH RECURSIVE {O.CUR}, {_WIDE}, n AS (SELECT component_key, root_component, max(batch)::BIGINT AS n, length(component_key) % 2 = 0 AS cut FROM br GROUP BY ALL) SELECT component_key, root_component, CASE WHEN cut THEN 8 * n + 2 WHEN n = 1 THEN 1 ELSE n + 1 END AS calls, 0::BIGINT AS repairs, CASE WHEN cut THEN least(n, 100)::INTEGER ELSE 1 END AS n_architecture, CASE WHEN cut THEN 1 ELSE 0 END AS n_diagrams FROM n")
+@query("automatic_generation", f"WITH RECURSIVE {O.CUR}, {_WIDE}, n AS (SELECT component_key, root_component, max(batch)::BIGINT AS n, length(component_key) % 2 = 0 AS cut FROM br GROUP BY ALL) SELECT component_key, root_component, CASE WHEN n > 1 THEN 7 * n + 2 WHEN cut THEN 10 ELSE 1 END AS calls, 0::BIGINT AS repairs, CASE WHEN n > 1 OR cut THEN least(n, 100)::INTEGER ELSE 1 END AS n_architecture, CASE WHEN n > 1 OR cut THEN 1 ELSE 0 END AS n_diagrams FROM n")
 def _(spark, d):
     scopes = _scopes(spark, d)
     catalog = V.files_cur(spark, d).select("component_key").distinct()
@@ -137,24 +138,24 @@ def _(spark, d):
     return fragments.within_budget(rows, spent, 9, ["doc_id"])[0].select("component_key", "doc_id")
 
 
-@query("fragment_profile", "SELECT 2048 + 6 * 8192 + 50 * (6 * 576 + 64) AS repair_bytes, 8192 AS output_tokens, 8192 AS response_bytes, 3912 AS canonical_bytes")
+@query("charged_calls", """WITH RECURSIVE r AS (SELECT source, doc_id, doc_id % 3 = 0 AS rep, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+c(source, n, doc_id, used, called, again) AS (SELECT source, 0::BIGINT, NULL::BIGINT, 2::BIGINT, false, false FROM r WHERE n = 1 UNION ALL
+  SELECT r.source, r.n, r.doc_id, used + (used < 20)::BIGINT + (rep AND used + 1 < 20)::BIGINT, used < 20, rep AND used + 1 < 20 FROM c JOIN r ON r.source IS NOT DISTINCT FROM c.source AND r.n = c.n + 1)
+SELECT source AS component_key, doc_id, called, again FROM c WHERE n > 0""")
 def _(spark, d):
-    return spark.createDataFrame([fragments.profile({"architecture": 2048, "diagrams": 99})], "repair_bytes int, output_tokens int, response_bytes int, canonical_bytes int")
-
-
-@query("largest_variants", "SELECT * FROM (VALUES ('overview_candidate', 1572), ('diagrams', 3815)) v(kind, bytes)")
-def _(spark, d):
-    return spark.createDataFrame([(k, fragments.canonical_bytes(fragments.largest_fragment(k))) for k in ("overview_candidate", "diagrams")], "kind string, bytes int")
-
-
-@query("item_limits", "SELECT * FROM (VALUES ('architecture', 2), ('interfaces', 2), ('data_models', 1), ('workflows', 1), ('dependencies', 2), ('review_gaps', 2), ('diagrams', 1)) v(kind, items)")
-def _(spark, d):
-    return spark.createDataFrame(list(dossiers.FRAGMENT_ITEMS.items()), "kind string, items int")
+    """Which calls of each source are within its limit of 20, two of them spent: a repair counts before the next request."""
+    rows = V.table(spark, d, "documents").select(F.col("source").alias("component_key"), F.lit(False).alias("root_component"), "doc_id", (F.col("doc_id") % 3 == 0).alias("repaired"))
+    spent = rows.select(*KEY).distinct().withColumn("calls", F.lit(2).cast("long"))
+    return fragments.charged(rows, spent, 20, ["doc_id"]).select("component_key", "doc_id", "called", "again")
 
 
-@query("prompt_resources", None)
+@query("fragment_bodies", f"""WITH RECURSIVE {O.CUR}, {_WIDE}, s AS (SELECT component_key, root_component, batch, min(path) AS path FROM br GROUP BY ALL)
+SELECT component_key, root_component, row_number() OVER (PARTITION BY component_key, root_component ORDER BY 'b' || batch || '/c1') AS position, 'Part b' || batch || '/c1' AS title, 'Holds code.' AS description, path AS cited FROM s""")
 def _(spark, d):
-    return prompts.table(spark)
+    """What the assembled dossiers say of architecture: an item for each scope, with the file that it cites."""
+    catalog = V.files_cur(spark, d).select("component_key").distinct()
+    got = fragments.by_fragments(_scopes(spark, d), catalog, fragments.typed_stub, stored, limit=1 << 40, depth=0)
+    return got.dossiers.select(*KEY, F.posexplode("architecture").alias("n", "x")).select(*KEY, (F.col("n") + 1).cast("long").alias("position"), "x.title", "x.description", F.element_at("x.source_paths", 1).alias("cited"))
 
 
 @query("plan_lines", f"WITH {O.CUR}, k AS (SELECT component_key, root_component, count(*) FILTER (WHERE triggers) AS t, count(*) FILTER (WHERE NOT triggers) AS s FROM cur GROUP BY ALL), c AS (SELECT count(*) AS components, sum(t)::BIGINT AS triggering FROM k) SELECT 0 AS n, '' AS key, 'components=' || components || ' triggering=' || triggering AS line FROM c UNION ALL SELECT 1, component_key, 'component=' || component_key || ' root=' || root_component || ' triggering=' || t || ' supporting=' || s FROM k UNION ALL SELECT 2, component_key, 'component=' || component_key || ' root=' || root_component || ' action=create reasons=a,b' FROM k UNION ALL SELECT 3, path, 'change=added old_path= new_path=' || path FROM cur WHERE doc_id % 50 = 0")

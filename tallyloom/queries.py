@@ -226,9 +226,34 @@ def _(spark, d):
     return changes.component_changes(changes.normalized(changes.snapshot_changes(old, cur), old, cur))
 
 
-@query("input_hash", f"WITH {O.CUR}, {O.input_hash('ih', 'cur', 'data', [*VERSIONS, 'cfg'])} SELECT * FROM ih")
+SUPPORTING, MANIFESTS = 30_000, 40
+# the files, two manifests at the top, one of them above its bytes, and the context that fits
+_CONTEXT = f"""with_top AS (SELECT path, data, size, source_hash, role, triggers, component_key, root_component FROM cur UNION ALL SELECT unnest(['go.mod', 'package.json']), unnest(['module x', repeat('long', 20)]), unnest([8, 80]), unnest(['sha256:' || sha256('module x'), 'sha256:' || sha256(repeat('long', 20))]), 'dependency_manifest', true, '@root', true),
+sup AS (SELECT component_key, root_component, path, size, row_number() OVER (PARTITION BY component_key, root_component ORDER BY path) AS n FROM with_top WHERE NOT triggers AND (component_key, root_component) IN (SELECT component_key, root_component FROM with_top WHERE triggers)),
+fit(component_key, root_component, n, bytes, path, took) AS (SELECT component_key, root_component, 1::BIGINT, CASE WHEN size <= {SUPPORTING} THEN size ELSE 0 END, path, size <= {SUPPORTING} FROM sup WHERE n = 1 UNION ALL
+  SELECT s.component_key, s.root_component, s.n, CASE WHEN f.bytes + s.size <= {SUPPORTING} THEN f.bytes + s.size ELSE f.bytes END, s.path, f.bytes + s.size <= {SUPPORTING} FROM fit f JOIN sup s ON s.component_key = f.component_key AND s.root_component = f.root_component AND s.n = f.n + 1),
+shown AS (SELECT component_key, root_component, 'supporting' AS kind, path FROM fit WHERE took UNION ALL SELECT DISTINCT component_key, root_component, 'manifest', 'go.mod' FROM with_top WHERE triggers AND NOT root_component)"""
+
+
+def _with_top(spark, d):
+    files = V.files_cur(spark, d).drop("doc_id")
+    top = spark.createDataFrame([("go.mod", "module x"), ("package.json", "long" * 20)], "path string, data string")
+    top = top.select("path", "data", F.length("data").cast("long").alias("size"), X.content_hash(F.col("data")).alias("source_hash"), F.lit("dependency_manifest").alias("role"), F.lit(True).alias("triggers"), F.lit("@root").alias("component_key"), F.lit(True).alias("root_component"))
+    return files.unionByName(top)
+
+
+@query("component_context", f"WITH RECURSIVE {O.CUR}, {_CONTEXT} SELECT * FROM shown")
 def _(spark, d):
-    return components.input_hash(V.files_cur(spark, d), tuple(VERSIONS), "cfg")
+    return components.context(_with_top(spark, d), SUPPORTING, MANIFESTS).select(*KEY, "kind", "path")
+
+
+@query("input_hash", f"""WITH RECURSIVE {O.CUR}, {O.OLD}, {O.CHANGES}, {O.NORM}, {_CONTEXT}, {O.input_hash('ih', 'with_top', 'data', [*VERSIONS, 'cfg'], 'shown', 'norm')} SELECT * FROM ih""")
+def _(spark, d):
+    """With the catalogue, the context that fits, and the changes since the old snapshot."""
+    old, cur = _stored_both(spark, d)
+    norm = changes.normalized(changes.snapshot_changes(old, cur), old, cur)
+    files = stored(components.digested(_with_top(spark, d)))
+    return components.input_hash(files, tuple(VERSIONS), "cfg", components.context(files, SUPPORTING, MANIFESTS), norm)
 
 
 @query("component_actions", f"""WITH {_AFFECTED}, {O.input_hash('now', 'cur', "''", [*VERSIONS, 'cfg'])}, {O.input_hash('was', 'old', "''", [*VERSIONS, 'cfg'])}

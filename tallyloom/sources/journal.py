@@ -9,6 +9,7 @@ a task that runs twice finds its file as it wants it. Markers name the state: st
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from ..operators.output import broken_preconditions
 from .sinks import PreconditionError
 
 HOME = ".transaction"
-LEDGER = ".ledger"
+LEDGER, STATE = ".ledger", ".state.json"
 #: The hash of what is there but isn't a file.
 NO_FILE = "sha256:-"
 
@@ -255,22 +256,27 @@ class FileTree:
         self._discard()
         return outcome
 
-    def commit(self, documents: DataFrame, expected: DataFrame | None = None, batch: tuple[str, int] | None = None) -> bool:
+    def commit(self, documents: DataFrame, expected: DataFrame | None = None, batch: tuple[str, int] | None = None, state: dict | None = None) -> bool:
         """Makes path, content the whole of the folder: what `expected` names (or, without it, what is there) and the
         documents don't goes. With batch, a stream's name and a batch's number, the number is kept in the same transaction,
-        and a batch that is there already changes nothing. Returns whether anything was installed."""
+        and a batch that is there already changes nothing; so is a state. Returns whether anything was installed."""
         if batch is not None and batch[1] <= self.last_batch(batch[0]):
             return False
         live = self.read().select("path", "hash") if expected is None else expected.select("path", "hash")
         live = live.where("hash is not null")
         writes = documents.select("path", F.col("content").cast("binary").alias("content"))
-        if batch is not None:
-            mark = f"{LEDGER}/{batch[0]}"
-            writes = writes.unionByName(self.spark.createDataFrame([(mark, str(batch[1]).encode())], "path string, content binary"))
-            live = live.unionByName(self.hashes(self.spark.createDataFrame([(mark,)], "path string")))
-        self.install(writes, live.where(~F.startswith("path", F.lit(f"{LEDGER}/"))).join(documents.select("path"), "path", "left_anti"), live)
+        marks = ([(f"{LEDGER}/{batch[0]}", str(batch[1]).encode())] if batch else []) + ([(STATE, json.dumps(state).encode())] if state else [])
+        if marks:
+            marks = self.spark.createDataFrame(marks, "path string, content binary")
+            writes, live = writes.unionByName(marks), live.unionByName(self.hashes(marks))
+        self.install(writes, live.where(~F.startswith("path", F.lit(f"{LEDGER}/")) & (F.col("path") != STATE)).join(documents.select("path"), "path", "left_anti"), live)
         return True
 
+    def kept_state(self) -> dict | None:
+        """What the last commit that came with a state said of it."""
+        found = self.contents(self.spark.createDataFrame([(STATE,)], "path string")).first()
+        return json.loads(found["content"]) if found else None
+
     def last_batch(self, stream: str) -> int:
         """The number of the last batch of a stream that was committed, -1 before the first."""
         found = self.contents(self.spark.createDataFrame([(f"{LEDGER}/{stream}",)], "path string")).first()

@@ -157,12 +157,21 @@ def state_issues(state: DataFrame) -> DataFrame:
 def file_issues(files: DataFrame) -> DataFrame:
     """state, path, code of files that break a rule: order, uniqueness, path, hash, role. `files`: state, n (the place in
     it), path, source_hash, role. A path out of order is one that comes before the path that it follows."""
-    twice = files.groupBy("state", "path").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("state", "path", F.lit("duplicate_path").alias("code"))
     before = F.lag("path").over(Window.partitionBy("state").orderBy("n"))
     late = files.withColumn("before", before).where("path < before").select("state", "path", F.lit("unsorted").alias("code"))
+    return _row_issues(files, ["state"]).unionByName(late)
+
+
+def table_issues(files: DataFrame) -> DataFrame:
+    """path, code of the same, but for the order, of a state that is a table."""
+    return _row_issues(files, [])
+
+
+def _row_issues(files: DataFrame, key: list[str]) -> DataFrame:
+    twice = files.groupBy(*key, "path").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*key, "path", F.lit("duplicate_path").alias("code"))
     codes = F.array(F.when(~is_clean(F.col("path")), "unclean_path"), F.when(~is_hash(F.col("source_hash")), "bad_hash"), F.when(~F.coalesce(F.col("role").isin(list(ROLES)), F.lit(False)), "unknown_role"))
-    each = files.select("state", "path", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
-    return twice.unionByName(late).unionByName(each)
+    each = files.select(*key, "path", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+    return twice.unionByName(each)
 
 
 def _bounded(finish_failure: Column, content: Column, most_bytes: int) -> Column:

@@ -38,20 +38,24 @@ class VersionedStore:
         at = self.path(self.root)
         return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
-    def pointer(self) -> tuple[int, str | None, dict[str, int]]:
-        """The number of the last pointer (0 before the first commit), its version, and the last batch of each stream."""
+    def pointer(self) -> tuple[int, dict]:
+        """The number of the last pointer (0 before the first commit) and what it holds: the version, the last batch of each
+        stream, and the state that goes with it."""
         n = max((int(x.removeprefix(f"{POINTER}-")) for x in self._names() if x.startswith(f"{POINTER}-")), default=0)
         if not n:
-            return 0, None, {}
-        kept = json.loads(self.spark.read.text(f"{self.root}/{POINTER}-{n:012d}", wholetext=True).first()[0])
-        return n, kept["version"], kept["batches"]
+            return 0, {"version": None, "batches": {}, "state": None}
+        return n, json.loads(self.spark.read.text(f"{self.root}/{POINTER}-{n:012d}", wholetext=True).first()[0])
 
     def version(self) -> str | None:
-        return self.pointer()[1]
+        return self.pointer()[1]["version"]
 
     def last_batch(self, stream: str) -> int:
         """The number of the last batch of a stream that was committed, -1 before the first."""
-        return self.pointer()[2].get(stream, -1)
+        return self.pointer()[1]["batches"].get(stream, -1)
+
+    def kept_state(self) -> dict | None:
+        """What the last commit that came with a state said of it."""
+        return self.pointer()[1]["state"]
 
     def recover(self) -> None:
         """Nothing is to be completed or undone: readers follow committed pointers only."""
@@ -61,19 +65,21 @@ class VersionedStore:
         v = self.version()
         return self.spark.read.parquet(f"{self.root}/{v}") if v else self.spark.createDataFrame([], "path string, content string, hash string")
 
-    def commit(self, documents: DataFrame, expected: DataFrame | None = None, batch: tuple[str, int] | None = None) -> str:
+    def commit(self, documents: DataFrame, expected: DataFrame | None = None, batch: tuple[str, int] | None = None, state: dict | None = None) -> str:
         """Installs path, content. `expected` (path, hash) is what must be live; else the commit is refused. With batch, a
-        stream's name and a batch's number, a batch that is there already changes nothing. Returns the version that counts."""
-        number, live, batches = self.pointer()
+        stream's name and a batch's number, a batch that is there already changes nothing. A state is kept with the
+        version, or else the one before. Returns the version that counts."""
+        number, kept = self.pointer()
+        batches = kept["batches"]
         if batch is not None and batch[1] <= batches.get(batch[0], -1):
-            return live
+            return kept["version"]
         name = f"v-{uuid.uuid4().hex}"
         documents.select("path", "content", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash")).write.parquet(f"{self.root}/{name}")
         if expected is not None:
             broken = broken_preconditions(expected, self.read()).limit(5).collect()
             if broken:
                 raise PreconditionError(f"changed meanwhile: {', '.join(r['path'] for r in broken)}")
-        self._point(number + 1, {"version": name, "batches": batches if batch is None else batches | {batch[0]: batch[1]}})
+        self._point(number + 1, {"version": name, "batches": batches if batch is None else batches | {batch[0]: batch[1]}, "state": state or kept["state"]})
         return name
 
     def _point(self, number: int, kept: dict) -> None:
@@ -93,11 +99,11 @@ class VersionedStore:
             raise PreconditionError(f"another commit is number {number}") from None
 
     def prune(self) -> list[str]:
-        """Removes versions that aren't committed, pointers before the last, and what never became a pointer."""
-        n, v, _ = self.pointer()
-        keep, gone = {v, f"{POINTER}-{n:012d}"}, []
+        """Removes versions and states that aren't the committed ones, pointers before the last, and what never became one."""
+        n, kept = self.pointer()
+        keep, gone = {kept["version"], (kept["state"] or {}).get("at"), f"{POINTER}-{n:012d}"}, []
         for name in self._names():
-            if name.startswith(("v-", "new-", f"{POINTER}-")) and name not in keep:
+            if name.startswith(("v-", "new-", ".state-", f"{POINTER}-")) and name not in keep:
                 self.fs.delete(self.path(f"{self.root}/{name}"), True)
                 gone.append(name)
         return gone

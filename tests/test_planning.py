@@ -136,6 +136,9 @@ def test_scopes_are_halved(spark):
 
 
 def test_profiles():
+    assert fragments.profile({"architecture": 2048, "diagrams": 99}) == {"canonical_bytes": 3912, "repair_bytes": 2048 + 6 * 8192 + 50 * (6 * 576 + 64), "output_tokens": 8192, "response_bytes": 8192}
+    assert [fragments.canonical_bytes(fragments.largest_fragment(k)) for k in ("overview_candidate", "diagrams")] == [1572, 3815]
+    assert dossiers.FRAGMENT_ITEMS == {"architecture": 2, "interfaces": 2, "data_models": 1, "workflows": 1, "dependencies": 2, "review_gaps": 2, "diagrams": 1}
     needed = fragments.profile({"interfaces": 3000})
     assert fragments.profile_problems(needed, 8192, 65_536, 500_000) == [] and len(fragments.profile_problems(needed, 10, 10, 10)) == 3
     for kind in [*dossiers.FRAGMENT_ITEMS, "overview_candidate"]:
