@@ -18,8 +18,6 @@ from .text_stats import BASE, MORE, document_stats, ratios
 MOST_LABELLED = 20_000
 #: Share of the rows that a rule is grown on; the rest prunes it.
 GROW = 2 / 3
-#: Thresholds that are tried for each statistic when a condition is added: a bound of the learner's search.
-CUTS = 48
 
 
 def document_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,28 +69,25 @@ def _covered(conditions: list[Condition], x: dict, n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict, bad: np.ndarray, most: int, cuts: int = CUTS) -> list[Condition]:
-    """Adds the threshold with the best information gain until no good row is covered or nothing gains. The thresholds
-    tried are `cuts` evenly spaced places in the order of a statistic's values among the rows left."""
+def _grow(x: dict, bad: np.ndarray, most: int | None = None) -> list[Condition]:
+    """Adds the threshold with the best information gain until no good row is covered or nothing gains, or until there are
+    `most` conditions. Every border between two values of every statistic is tried; of equal gains the first counts."""
     conditions: list[Condition] = []
     live = np.ones(len(bad), dtype=bool)
-    while len(conditions) < most and (live & ~bad).any():
+    while (most is None or len(conditions) < most) and (live & ~bad).any():
         p0 = (live & bad).sum()
         now, best, gain = np.log2(p0 / live.sum()), None, 1e-9
         for name, values in x.items():
             v, b = values[live], bad[live]
             order = np.argsort(v, kind="stable")
             v, b = v[order], np.cumsum(b[order])
-            ends = np.unique(np.linspace(0, len(v) - 1, cuts).astype(int))
-            for i in ends:
-                j = int(np.searchsorted(v, v[i], side="right"))  # rows at or below the threshold
-                for above, p, n in ((False, b[j - 1], j), (True, b[-1] - b[j - 1], len(v) - j)):
-                    if p and n < len(v):
-                        g = p * (np.log2(p / n) - now)
-                        if g > gain:
-                            # halfway to the next value, so that the border itself isn't fitted
-                            cut = (v[j - 1] + v[j]) / 2 if j < len(v) else v[j - 1]
-                            best, gain = Condition(name, above, float(cut)), g
+            at = np.flatnonzero(v[1:] != v[:-1]) + 1  # rows at or below each border
+            for above, p, n in ((False, b[at - 1], at), (True, b[-1] - b[at - 1], len(v) - at)):
+                g = p * (np.log2(np.maximum(p, 1) / n) - now)
+                if len(g) and g.max() > gain:
+                    i = int(g.argmax())
+                    # halfway to the next value, so that the border itself isn't fitted
+                    best, gain = Condition(name, above, float((v[at[i] - 1] + v[at[i]]) / 2)), g[i]
         if best is None:
             break
         conditions.append(best)
@@ -100,7 +95,7 @@ def _grow(x: dict, bad: np.ndarray, most: int, cuts: int = CUTS) -> list[Conditi
     return conditions
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.99, least_hits: int = 5, seed: int = 5) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int | None = None, most_conditions: int | None = None, precision: float = 0.99, least_hits: int = 5, seed: int = 5) -> list[Rule]:
     """An ordered list of rules for the rows where `bad` holds.
 
     Each rule is grown on two thirds of the rows that no rule covers yet and pruned on the rest: its last
@@ -110,7 +105,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
     rng, rules, n = np.random.default_rng(seed), [], len(bad)
     left = np.ones(n, dtype=bool)
     grow = rng.random(n) < GROW
-    while len(rules) < most_rules and (left & bad & grow).sum() >= least_hits:
+    while (most_rules is None or len(rules) < most_rules) and (left & bad & grow).sum() >= least_hits:
         at = left & grow
         conditions = _grow({k: v[at] for k, v in x.items()}, bad[at], most_conditions)
         if not conditions:

@@ -178,3 +178,28 @@ def test_trie_in_pieces(spark, monkeypatch):
         want[bytes(r["node"])].append(r["conv_id"])
     want = {k: hashlib.sha256(",".join(map(str, sorted(v))).encode()).hexdigest() for k, v in want.items()}
     assert {bytes(r["node"]): r["ends_sha256"] for r in prefix_trie.ends_digest(ends).collect()} == want
+
+
+def test_the_first_condition_is_the_best_of_all():
+    """Every border of every statistic, one by one, against what a rule begins with."""
+    from tallyloom.llm import rules
+
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        x = {k: np.round(rng.normal(size=80), 1) for k in ("u", "v", "w")}
+        bad = (x["u"] + 0.3 * rng.normal(size=80)) > 0.4
+        if not bad.any() or bad.all():
+            continue
+        gains = {}
+        for name, values in x.items():
+            for border in sorted(set(values))[:-1]:
+                for above in (False, True):
+                    hit = values > border if above else values <= border
+                    p, n = (hit & bad).sum(), hit.sum()
+                    gains[name, border, above] = p * (np.log2(p / n) - np.log2(bad.mean())) if p else 0.0
+        first = rules._grow(x, bad, 1)[0]
+        border = max(v for v in x[first.feature] if v <= first.threshold)
+        assert gains[first.feature, border, first.above] == pytest.approx(max(gains.values()))
+        whole = rules._grow(x, bad)
+        held = rules._covered(whole, x, len(bad))
+        assert held.any() and (held & ~bad).sum() == 0
