@@ -25,6 +25,8 @@ from .common import read, stored
 BLOCK_ROWS = 131_072
 #: Queries of a batch, at most; fewer where else there were fewer pairs than twice the cores.
 BATCH_QUERIES = 8192
+#: Tasks that pairs of a block and a batch are dealt to, at most; a task takes its pairs one by one.
+MOST_TASKS = 100_000
 #: Values a component is multiplied by before it is rounded down.
 SCALE = 256.0
 #: Quantised components stop here, so that they are exact in doubles.
@@ -225,7 +227,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, batch_queries: int
     batches = batches_of(queries, len(blocks), batch_queries)
     dealt = [r[0] for r in batches.select("batch").collect()]
     each = lambda numbers: F.explode(F.lit(numbers).cast("array<int>"))
-    pairs = index.withColumn("batch", each(dealt)).join(batches.withColumnRenamed("ids", "query_ids").withColumn("block", each(blocks)), ["block", "batch"])
+    # dealt out before the join, which may leave a block's copies in the task that read it
+    copies = index.withColumn("batch", each(dealt)).repartition(max(1, min(MOST_TASKS, 3 * len(blocks) * len(dealt))), "block", "batch")
+    pairs = copies.join(batches.withColumnRenamed("ids", "query_ids").withColumn("block", each(blocks)), ["block", "batch"])
     pairs = pairs.select("n", "ids", "low", "bits", "slices", "query_ids", "vectors")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
