@@ -75,6 +75,10 @@ def marked(head: Column) -> Column:
     return (head.contains("code generated") & head.contains("do not edit")) | head.contains("@generated") | head.contains("autogenerated file")
 
 
+def generated_header(data: Column) -> Column:
+    return marked(header(data))
+
+
 def role_tests(path: Column, data: Column | None, parts: tuple[Column, Column, Column, Column] | None = None) -> dict[str, Column]:
     """For each role the test for it, on path and, where given, content. parts: columns that hold the lower path, its base
     name, its extension and the content's header already."""
