@@ -203,7 +203,8 @@ def trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """The nodes of the trie over all rebuilt conversations, with what the contract of the query names.
 
     Turns are ordered by turn (nulls first), then by role and text; repeated rows are turns of their own. Null roles and
-    texts count as empty, rows without a conversation are left out. An empty table has no node, not even a root. Other
+    texts count as empty, rows without a conversation are left out. A negative identifier's base is above it (-5 has 0). One
+    conversation's turns are one task's stream, however many they are. An empty table has no node, not even a root. Other
     columns are ignored; long texts count whole."""
     rows = stored(family_tries(families(conversations, conv_col, turn_col, role_col, text_col, family_rows)))
     nodes = stored(rows.where("not is_end").groupBy("node").agg(F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.min("conv_id").alias("conv_id"), F.sum("n").alias("n_convs"), F.max("chars").alias("chars")))

@@ -30,7 +30,7 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, want = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     order = sorted(df.columns)
