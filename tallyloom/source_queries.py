@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from functools import reduce
 
@@ -19,7 +18,7 @@ from .queries import query
 from .sources.journal import FileTree
 from .sources.objects import Repository
 from .sources.sinks import VersionedStore
-from .sources.tables import shared_dir, stored
+from .sources.tables import scratch, stored
 from .streaming import events, state
 
 # --- transactions that were cut off: 40 of them over all documents, at five points, some with files of somebody else
@@ -98,7 +97,7 @@ def _(spark, d):
     paths = stored(docs.select("path"))
     out: list[DataFrame] = []
     for crash in recovery.STATES:
-        tree = FileTree(spark, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}")
+        tree = FileTree(spark, scratch(spark, "tree"))
         tree.install(docs.select("path", F.col("data").alias("content")))
 
         def cut_off(state: str, at: str = "verified" if crash == "moving" else crash) -> None:
@@ -140,7 +139,7 @@ def _runs(spark, d):
 
 def _as_stream(spark, df, part: str):
     """A stream over the parts of a table, a batch each, a folder for what belongs to it, and what adds a part."""
-    root, kept = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", stored(df)
+    root, kept = scratch(spark, "stream"), stored(df)
 
     kept.drop(part).limit(0).write.parquet(f"{root}/in")  # a stream can't begin without its folder
 
@@ -234,7 +233,7 @@ def _(spark, d):
 
 def _commit(spark, d) -> tuple[str, str]:
     """A folder with the objects of a commit that holds all documents as files, and the commit's id."""
-    root = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    root = scratch(spark, "objects")
     named = lambda kind, body: F.concat(F.encode(F.concat(F.lit(f"{kind} "), F.length(body).cast("string"), F.lit("\0")), "utf-8"), body)
     mode = F.when(F.col("doc_id") % 3 == 0, "100755").otherwise("100644")
     blobs = V.tracked(spark, d).where("data is not null").select("path", mode.alias("mode"), named("blob", F.encode("data", "utf-8")).alias("object"))

@@ -22,11 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when the driver ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows without lineage: a Parquet table that any executor reads again, removed when the driver ends."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = scratch(spark, "table")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
