@@ -30,7 +30,7 @@ OBJECTS = "oid string, kind string, size long, pack string, chain array<long>"
 
 
 class Reader:
-    """Entries of packs and loose objects, as a task reads them; open files and inflated entries are kept for a while."""
+    """Entries of packs and loose objects, as a task reads them; open packs and inflated entries are kept for a while."""
 
     def __init__(self, git_dir: str, id_bytes: int):
         self.fs, self.base = _open(git_dir)
@@ -97,7 +97,8 @@ class Reader:
 
     def content(self, oid: str, pack: str | None, chain: list[int] | None) -> bytes:
         if pack is None:
-            return self.inflated(self.file(f"{oid[:2]}/{oid[2:]}"), 0).split(b"\0", 1)[1]
+            with self.fs.open_input_file(f"{self.base}/objects/{oid[:2]}/{oid[2:]}") as f:  # read once: not kept open
+                return self.inflated(f, 0).split(b"\0", 1)[1]
         data = self.entry(pack, chain[0])
         for offset in chain[1:]:
             data = apply_delta(data, self.entry(pack, offset))
