@@ -24,6 +24,8 @@ HOME = ".transaction"
 LEDGER, STATE = ".ledger", ".state.json"
 #: The hash of what is there but isn't a file.
 NO_FILE = "sha256:-"
+#: Bytes of content that a task gathers before it hands them on.
+HELD_BYTES = 4 << 20
 
 
 class RecoveryConflictError(RuntimeError):
@@ -62,9 +64,13 @@ def content_id(data: bytes) -> str:
 def _put(fs, base: str, path: str, data: bytes) -> None:
     at = f"{base}/{path}"
     folder, name = at.rsplit("/", 1)
-    fs.create_dir(folder, recursive=True)
     aside = f"{folder}/.{name}.new"
-    with fs.open_output_stream(aside) as f:
+    try:
+        out = fs.open_output_stream(aside)
+    except FileNotFoundError:  # most files come to a folder that is there
+        fs.create_dir(folder, recursive=True)
+        out = fs.open_output_stream(aside)
+    with out as f:
         f.write(data)
     try:
         fs.move(aside, at)
@@ -122,24 +128,42 @@ class FileTree:
 
     def contents(self, paths: DataFrame) -> DataFrame:
         """path, content, hash of the files that are there, of the given paths. What is no file has the hash `NO_FILE`."""
+        return self._read(paths, True)
+
+    def _read(self, paths: DataFrame, whole: bool) -> DataFrame:
         root = self.root
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, base = _open(root)
             for batch in batches:
+                out, held = [], 0
                 for path in batch.column(0).to_pylist():
                     try:
                         data = _content(fs, f"{base}/{path}")
+                        found = None if data is None else content_id(data)
                     except IsADirectoryError:
-                        yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([None], pa.binary()), "hash": [NO_FILE]})
-                        continue
-                    if data is not None:
-                        yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([data], pa.binary()), "hash": [content_id(data)]})
+                        data, found = None, NO_FILE
+                    if found is not None:
+                        out.append((path, data if whole else None, found))
+                        held += len(data or b"") if whole else 0
+                    if held >= HELD_BYTES:
+                        yield rows(out)
+                        out, held = [], 0
+                yield rows(out)
+
+        def rows(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))], names=["path", "content", "hash"])
+
+        return self._dealt(paths.select("path").distinct()).mapInArrow(run, "path string, content binary, hash string")
 
-        return paths.select("path").distinct().mapInArrow(run, "path string, content binary, hash string")
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows in as many tasks as a shuffle has: a file takes its time however few bytes its row has, and by their bytes
+        alone tasks would be put together. By a hash of the path, as a join by paths would count as dealt already."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
 
     def hashes(self, paths: DataFrame) -> DataFrame:
-        return self.contents(paths).select("path", "hash")
+        """path, hash as contents() gives them; no content leaves the tasks."""
+        return self._read(paths, False).select("path", "hash")
 
     def change(self, rows: DataFrame) -> DataFrame:
         """path, done for rows of path, content (null: remove) and accepted, the hashes of what may be replaced ("" for no
@@ -150,7 +174,7 @@ class FileTree:
             fs, base = _open(root)
             for batch in batches:
                 out = []
-                for path, content, accepted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for path, content, accepted in ((x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
                     try:
                         live = _content(fs, f"{base}/{path}")
                         now = "" if live is None else content_id(live)
@@ -162,7 +186,7 @@ class FileTree:
                     out.append((path, now == wanted or now in accepted))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.bool_())], names=["path", "done"])
 
-        return rows.select("path", "content", "accepted").mapInArrow(run, "path string, done boolean")
+        return self._dealt(rows.select("path", "content", "accepted")).mapInArrow(run, "path string, done boolean")
 
     def read(self) -> DataFrame:
         """path, content, hash of all files below the folder; names that start with a dot or an underscore are not read."""
