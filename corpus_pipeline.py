@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more) stays: that with the
-    smallest identifier, null identifiers last, ties by a hash of the text and then of all columns.
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more; SimHash fingerprints within 2
+    bits are met first, then MinHash bands, and whole shingle sets decide) stays: that with the smallest identifier, null identifiers last, ties by a hash of the text and then of all columns.
 
     Null and blank texts are copies of each other, repeated rows too. An empty table stays empty; whole texts count;
     helper columns have names that no column of the table has."""

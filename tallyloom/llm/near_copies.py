@@ -1,9 +1,11 @@
-"""Near copies by shingle similarity: MinHash bands find the candidates, whole shingle sets decide.
+"""Near copies by shingle similarity: SimHash fingerprints and MinHash bands find the candidates, whole shingle sets decide.
 
-Texts with equal sets of 5-word shingles are one node. A node has BANDS band values of DEPTH minima each; two nodes of
+Texts with equal sets of 5-word shingles are one node. Nodes whose SimHash fingerprints of these shingles differ in 2 of 64 bits
+at most are met first, as simhash.links() finds them: by two segments and their one-wildcard variants. Equal fingerprints meet
+one of theirs. What is further apart is left to the bands, so that no edited copy is lost: a node has BANDS band values of DEPTH minima each; two nodes of
 similarity s share one with probability 1 - (1 - s**DEPTH)**BANDS, so a pair at 0.8 is missed with probability 5e-8 and
-a closer one less often. Fingerprints of 64 bits can't serve here: at 0.8 they differ in 10 bits on average, and segments
-short enough for that hold a large share of all texts.
+a closer one less often. Fingerprints alone can't do: at 0.8 they differ in 10 bits on average, and segments short enough for
+that hold a large share of all texts.
 
 No bucket is compared pair by pair. Each node meets its bucket's hub, the node with the most copies, and the components
 of those links are known. Where a bucket still has several components, its nodes go on to a prefix filter: sets that are
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, free_prefix, slices, stored
 
 WIDTH = 5
@@ -56,17 +59,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, node, n, bands) of each row of (doc_id, key, text)."""
+    """(doc_id, key, node, n, fp, bands) of each row of (doc_id, key, text); fp is the SimHash fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, 2):
-            sets = [shingles(x) for x in text.to_pylist()]
+            texts = text.to_pylist()
+            sets = [shingles(x) for x in texts]
+            fps = np.array([simhash.simhash(x, WIDTH) for x in texts], np.uint64).view(np.int64)
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             values = np.concatenate([bands(s) for s in sets]).view(np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), listed], names=["doc_id", "key", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), listed], names=["doc_id", "key", "node", "n", "fp", "bands"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "key", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, node long, n long, bands array<long>")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "key", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, node long, n long, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -112,16 +117,24 @@ def _mixed(placed: DataFrame, key: str) -> DataFrame:
     return placed.groupBy(key).agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select(key)
 
 
+def met(nodes: DataFrame) -> DataFrame:
+    """(a, b): the nodes of (node, fp) whose fingerprints link, each but the first of a fingerprint with the first."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(firsts, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, two = firsts.toDF("a", "one"), firsts.toDF("b", "two")
+    return same.union(simhash.links(firsts).join(one, "a").join(two, "b").select("one", "two"))
+
+
 def roots(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root) of each node that is linked; `rows` has key and text, `found` their sketches."""
-    nodes = stored(found.groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")))
+    nodes = stored(found.groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
     indexed = nodes.select("node", "n", "copies", F.explode("bands").alias("sig"))
     groups = indexed.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((-F.col("copies")).alias("less"), "node", "n")).alias("hub"))
     groups = stored(groups.where("c > 1").select("sig", "hub"))
     members = stored(indexed.join(groups, "sig").select("sig", "node", "n", F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n")))
     # sets whose sizes differ more can't be that similar
-    star = stored(members.where("node != a and 5 * least(n, a_n) >= 4 * greatest(n, a_n)").select("a", F.col("node").alias("b")).distinct())
-    needed = members.select("node").distinct().join(nodes.select("node", "key"), "node")
+    star = stored(members.where("node != a and 5 * least(n, a_n) >= 4 * greatest(n, a_n)").select("a", F.col("node").alias("b")).union(met(nodes.select("node", "fp"))).distinct())
+    needed = members.select("node").union(star.select("a")).union(star.select("b")).distinct().join(nodes.select("node", "key"), "node")
     sets = stored(shingle_sets(rows.join(needed, "key").select("node", "text")).dropDuplicates(["node"]))
     linked = stored(_similar(star, sets))
     placed = stored(_placed(members.select("sig", "node"), linked))

@@ -203,3 +203,15 @@ def test_the_first_condition_is_the_best_of_all():
         whole = rules._grow(x, bad)
         held = rules._covered(whole, x, len(bad))
         assert held.any() and (held & ~bad).sum() == 0
+
+
+def test_near_copies_meet_by_simhash(spark):
+    """Fingerprints within 2 bits link their nodes, equal ones too, whatever the bands say."""
+    from tallyloom.llm import near_copies
+
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 255), (5, 1 << 40)], "node long, fp long")
+    assert {tuple(sorted(r)) for r in near_copies.met(nodes).collect()} == {(1, 2), (1, 3), (1, 5)}
+    row = near_copies.sketches(spark.createDataFrame([(1, 2, "a b c d e f")], "doc_id long, key long, text string")).first()
+    from tallyloom.llm import simhash
+
+    assert row["fp"] % 2**64 == simhash.simhash(b"a b c d e f", 5)
