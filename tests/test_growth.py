@@ -1,9 +1,13 @@
 """What goes wrong only where tables are large or plans are adapted while they run."""
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import planning_queries
 from tallyloom.operators import components, packing
+from tallyloom.queries import ORACLES, QUERIES
 
 KEY = ["component_key", "root_component"]
 
@@ -25,3 +29,28 @@ def test_a_component_is_walked_by_one_task(adapted, tmp_path):
     own = components.supporting(adapted.read.parquet(str(tmp_path / "files")).repartition(8))
     assert packing.first_fit(own, 10).select("selected", "bytes", "omitted").collect() == [(10, 10, 386)]
     assert packing.greedy_batches(own, 50).agg(F.max("batch")).first()[0] == 8
+
+
+def test_more_scopes_than_a_section_holds(spark, tmp_path, monkeypatch):
+    """Each scope's item counts, beyond the 100 of a dossier's section, and b10 comes before b2."""
+    text = F.concat(F.repeat(F.lit("word "), 100), F.lit("\n"))
+    spark.range(220).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.length(text).cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(planning_queries, "_LIMIT", 600)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["fragment_bodies"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(ORACLES["fragment_bodies"].replace("200000", "600")).fetchall()) and max(r[2] for r in got) > 100
+
+
+def test_parts_come_in_small_batches(spark, monkeypatch):
+    """What a task gathers is bounded by bytes, not by the rows of a batch."""
+    monkeypatch.setattr(packing, "HELD_BYTES", 1000)
+    sizes = []
+    make = pa.RecordBatch.from_arrays
+    monkeypatch.setattr(packing, "pa", type("Spy", (), {k: getattr(pa, k) for k in ("DataType", "int32", "binary", "array")} | {"RecordBatch": type("B", (), {"from_arrays": staticmethod(lambda a, names: sizes.append(len(a[0])) or make(a, names=names))})}))
+    runs = []
+    rows = spark.createDataFrame([("a", "x\n" * 300)], "path string, data string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: runs.append(run))
+    packing.newline_chunks(rows, 100)
+    list(runs[0](iter([pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(50)], "data": ["x\n" * 300] * 50})])))
+    assert len(sizes) > 20 and sum(sizes) == 300 and max(sizes) <= 12
