@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import views as V
 from .operators import classify, documents, dossiers
 from .queries import POLICY, _SCAN, query
+from .sources.tables import stored
 
 # One dossier for each source, its name in place of @; every third has no items.
 _DIAGRAMS = [
@@ -154,7 +155,7 @@ def _checked(spark, d, kind, cases):
     bodies = _bodies(spark, d, cases)
     evidence = bodies.select("key", F.lit("src0").alias("path"))
     catalog = V.table(spark, d, "documents").select(F.col("source").alias("component_key"))
-    return dossiers.validated(bodies, "key", kind, evidence, catalog)
+    return dossiers.validated(bodies, "key", kind, evidence, catalog, keep=stored)
 
 
 @query("fragment_issues", _wanted(CASES))
@@ -203,9 +204,9 @@ def _(spark, d):
 def _(spark, d):
     bodies = _bodies(spark, d, CASES)
     evidence, catalog = bodies.select("key", F.lit("src0").alias("path")), spark.createDataFrame([("src0",)], "component_key string")
-    kept = dossiers.sealed(bodies, dossiers.validated(bodies, "key", "architecture", evidence, catalog)[0], "key")
+    kept = stored(dossiers.sealed(bodies, dossiers.validated(bodies, "key", "architecture", evidence, catalog, keep=stored)[0], "key"))
     changed = kept.withColumn("body", F.when(F.col("key") % 2 == 1, F.concat("body", F.lit(" "))).otherwise(F.col("body")))
-    return dossiers.trusted(changed, "key", "architecture", evidence, catalog).select("key", "code")
+    return dossiers.trusted(changed, "key", "architecture", evidence, catalog, stored).select("key", "code")
 
 
 @query("bound_scopes", "SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'unknown_scope' WHEN 2 THEN 'invalid_value' END AS code FROM documents")
