@@ -31,6 +31,18 @@ def test_a_component_is_walked_by_one_task(adapted, tmp_path):
     assert packing.greedy_batches(own, 50).agg(F.max("batch")).first()[0] == 8
 
 
+def test_an_input_hash_has_the_context_of_one_walk(adapted, tmp_path):
+    """The context that counts is what fits a component's bytes once, not once in each task that has some of its files."""
+    text = F.concat(F.repeat(F.lit("word "), 400), F.col("id").cast("string"))
+    docs = adapted.range(0, 400, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = [*KEY, "input_hash"]
+    got = {tuple(r) for r in QUERIES["input_hash"](adapted, str(tmp_path)).select(*names).collect()}
+    assert got == set(con.sql(f"select {', '.join(names)} from ({ORACLES['input_hash']})").fetchall())
+
+
 def test_more_scopes_than_a_section_holds(spark, tmp_path, monkeypatch):
     """Each scope's item counts, beyond the 100 of a dossier's section, and b10 comes before b2."""
     text = F.concat(F.repeat(F.lit("word "), 100), F.lit("\n"))
