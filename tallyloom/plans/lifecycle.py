@@ -146,7 +146,7 @@ def plan(tracked: DataFrame, old_files: DataFrame | None, old_components: DataFr
     old_files = spark.createDataFrame([], STATE_FILES) if state.files is None else state.files
     old_components = spark.createDataFrame([], STATE_COMPONENTS) if state.components is None else state.components
     decisions = scan(tracked, settings.policy)
-    files = tracked.select("path", "data", "size").join(decisions.where("included").select("path", "role", "triggers"), "path").withColumn("source_hash", content_hash(F.col("data")))
+    files = tracked.select("path", "data", "size").join(decisions.where("included").select("path", "role", "triggers"), "path").withColumn("source_hash", content_hash(F.coalesce("data", F.lit(""))))
     files = components.component_key(files, settings.roots, settings.explicit)
     narrow = keep(components.digested(files))
     told = spark.createDataFrame([], "status string, old_path string, new_path string") if feed is None else feed.select("status", "old_path", "new_path")

@@ -43,6 +43,18 @@ def test_an_input_hash_has_the_context_of_one_walk(adapted, tmp_path):
     assert got == set(con.sql(f"select {', '.join(names)} from ({ORACLES['input_hash']})").fetchall())
 
 
+@pytest.mark.parametrize("name", ["input_hash", "component_actions"])
+def test_a_component_of_texts_that_are_null_has_no_hash(spark, tmp_path, name):
+    """Alone in its component (every 97th document) a null text leaves no digest; beside others (services/src0) it is only counted."""
+    text = F.when(~F.col("id").isin(3, 97, 1067), F.concat(F.lit("word "), F.col("id").cast("string")))
+    spark.range(1070).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.length(text).cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.sql(ORACLES[name])
+    got = {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*sql.columns).collect()}
+    assert got == set(sql.fetchall())
+
+
 def test_more_scopes_than_a_section_holds(spark, tmp_path, monkeypatch):
     """Each scope's item counts, beyond the 100 of a dossier's section, and b10 comes before b2."""
     text = F.concat(F.repeat(F.lit("word "), 100), F.lit("\n"))

@@ -46,6 +46,12 @@ def test_runs_follow_each_other(spark, tmp_path, kind):
     assert lifecycle.sync(tree(spark, edited), store, state=then)[1] is None
 
 
+def test_a_file_without_content_is_empty(spark):
+    """Its component has a hash like any other: without one it would count as gone."""
+    rows = spark.createDataFrame([("services/api/a.go", "100644", None, 0), ("main.go", "100644", "package main", 12)], "path string, mode string, data string, size long")
+    assert names(lifecycle.plan(rows, None, None).actions) == {"@root": "create", "services/api": "create"}
+
+
 def test_reasons_and_selection(spark):
     s = Settings()
     frames = [spark.createDataFrame([], schema) for schema in (lifecycle.STATE_FILES, lifecycle.STATE_COMPONENTS)]
