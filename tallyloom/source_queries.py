@@ -92,13 +92,14 @@ SELECT crash, CASE crash WHEN 'committed' THEN 'forward' ELSE 'back' END AS outc
 @query("journal_recovery", _RECOVERED)
 def _(spark, d):
     """All documents as files, changed in a transaction that is cut off at each state (while moving: with every other file
-    moved), and recovered: what recovery did, and the files that are there then."""
+    moved), and recovered: what recovery did, and the files that are there then. What goes back leaves its files to the next
+    transaction; the one that goes forward is the last."""
     docs = V.tracked(spark, d)
     paths = stored(docs.select("path"))
     out: list[DataFrame] = []
+    tree = FileTree(spark, scratch(spark, "tree"))
+    tree.install(docs.select("path", F.col("data").alias("content")))
     for crash in recovery.STATES:
-        tree = FileTree(spark, scratch(spark, "tree"))
-        tree.install(docs.select("path", F.col("data").alias("content")))
 
         def cut_off(state: str, at: str = "verified" if crash == "moving" else crash) -> None:
             if state == at:
@@ -115,7 +116,7 @@ def _(spark, d):
             tree.change(some).write.format("noop").mode("overwrite").save()
         outcome = tree.recover()
         out.append(stored(tree.hashes(paths).select(F.lit(crash).alias("crash"), F.lit(outcome).alias("outcome"), "path", "hash")))
-        tree.fs.delete(tree._path(tree.root), True)
+    tree.clear(paths)
     return reduce(DataFrame.unionByName, out)
 
 

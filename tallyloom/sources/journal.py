@@ -48,13 +48,18 @@ def _content(fs, at: str) -> bytes | None:
     """A file's bytes, or None where there is nothing; a folder raises IsADirectoryError."""
     from pyarrow.fs import FileType
 
-    kind = fs.get_file_info(at).type
-    if kind == FileType.NotFound:
+    try:
+        with fs.open_input_stream(at) as f:
+            return f.read()
+    except FileNotFoundError:
         return None
-    if kind != FileType.File:
-        raise IsADirectoryError(at)
-    with fs.open_input_stream(at) as f:
-        return f.read()
+    except OSError as e:
+        kind = fs.get_file_info(at).type
+        if kind == FileType.NotFound:
+            return None
+        if kind != FileType.File:
+            raise IsADirectoryError(at) from e
+        raise
 
 
 def content_id(data: bytes) -> str:
@@ -80,22 +85,11 @@ def _put(fs, base: str, path: str, data: bytes) -> None:
 
 
 def _remove(fs, base: str, path: str) -> None:
-    """Removes a file, and the folders that this leaves empty."""
-    from pyarrow.fs import FileSelector, FileType
+    from pyarrow.fs import FileType
 
     at = f"{base}/{path}"
     if fs.get_file_info(at).type == FileType.File:
         fs.delete_file(at)
-    parts = path.split("/")[:-1]
-    while parts:
-        folder = f"{base}/{'/'.join(parts)}"
-        try:
-            if fs.get_file_info(folder).type != FileType.Directory or fs.get_file_info(FileSelector(folder)):
-                return
-            fs.delete_dir(folder)
-        except OSError:  # another task has put a file there, or removed the folder
-            return
-        parts.pop()
 
 
 class FileTree:
@@ -167,7 +161,7 @@ class FileTree:
 
     def change(self, rows: DataFrame) -> DataFrame:
         """path, done for rows of path, content (null: remove) and accepted, the hashes of what may be replaced ("" for no
-        file). Anything else is left alone and not done. The change happens when the result is read."""
+        file). Anything else is left alone and not done. The change happens when the result is read. Folders stay, see prune()."""
         root = self.root
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +182,41 @@ class FileTree:
 
         return self._dealt(rows.select("path", "content", "accepted")).mapInArrow(run, "path string, done boolean")
 
+    def prune(self, removed: DataFrame) -> None:
+        """Removes the folders that removed files (path) left empty. It comes after all changes, deepest folders first, and
+        lists each of them once, however many of its files went."""
+        root, parts = self.root, F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("path")))
+        folders = removed.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("x")).select("x.depth", "x.path").distinct()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow.fs import FileSelector, FileType
+
+            fs, base = _open(root)
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    at = f"{base}/{path}"
+                    if fs.get_file_info(at).type == FileType.Directory and not fs.get_file_info(FileSelector(at)):
+                        fs.delete_dir(at)
+                yield batch.slice(0, 0)
+
+        for depth in range(folders.agg(F.max("depth")).first()[0] or 0, 0, -1):
+            self._dealt(folders.where(F.col("depth") == depth).select("path")).mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+    def clear(self, paths: DataFrame) -> None:
+        """Removes the folder and all below it; the files of `paths` by tasks, as one after the other they take long."""
+        root = self.root
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, base = _open(root)
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    _remove(fs, base, path)
+                yield batch.slice(0, 0)
+
+        self._dealt(paths.select("path").distinct()).mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+        self.fs.delete(self._path(self.root), True)
+
     def read(self) -> DataFrame:
         """path, content, hash of all files below the folder; names that start with a dot or an underscore are not read."""
         if not self.fs.exists(self._path(self.root)):
@@ -233,7 +262,7 @@ class FileTree:
     def _move(self, expected: DataFrame, on_state: Callable[[str], None]) -> None:
         journal, staged = self._table("journal"), self._table("staged")
         wanted = journal.select("path", F.col("old_hash").alias("hash")).unionByName(expected.join(journal, "path", "left_anti"))
-        self._hold(wanted)
+        self._hold(wanted.join(journal.where("old_hash is not null"), "path", "left_anti"))  # the others by their backup
         self.contents(journal.where("old_hash is not null")).write.parquet(f"{self.home}/backup.parquet")
         self._hold(journal.where("old_hash is not null").select("path", F.col("old_hash").alias("hash")), self._table("backup"))
         self._mark("verified")
@@ -246,6 +275,7 @@ class FileTree:
         if left["n"]:
             raise PreconditionError(f"changed meanwhile: {left['path']} and {left['n'] - 1} others")
         self._hold(journal.select("path", F.col("new_hash").alias("hash")).unionByName(expected.join(journal, "path", "left_anti")))
+        self.prune(journal.where("kind = 'delete'"))
         self._mark("committed")
         on_state("committed")
 
@@ -277,6 +307,7 @@ class FileTree:
             undo = recovery.repairs(judged, decided).where("action <> 'keep'").join(backup.select("path", "content"), "path", "left").join(journal.select("path", "old_hash", "new_hash"), "path")
             accepted = F.array(F.coalesce("new_hash", F.lit("")), F.lit(""), F.coalesce("old_hash", F.lit("")))
             self.change(undo.select("path", F.when(F.col("action") == "restore", F.col("content")).alias("content"), accepted.alias("accepted"))).write.format("noop").mode("overwrite").save()
+        self.prune(journal.where("kind = 'delete'" if outcome == "forward" else "old_hash is null"))
         self._discard()
         return outcome
 

@@ -1,11 +1,13 @@
 """Transactions on a folder of files: cut off at every step, recovered, refused, repeated."""
 
 import pathlib
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import recovery
+from tallyloom.sources import journal
 from tallyloom.sources.journal import HOME, FileTree, RecoveryConflictError, content_id
 from tallyloom.sources.sinks import PreconditionError
 
@@ -170,3 +172,32 @@ def test_verdicts(spark):
     assert {r["tx"]: r["outcome"] for r in decided.collect()} == want
     acts = {r["tx"]: r["action"] for r in recovery.repairs(judged, decided).where(F.col("action") != "keep").collect()}
     assert acts == {4: "restore"}
+
+
+def test_a_folder_is_listed_once_however_many_files_go(spark, tmp_path, monkeypatch):
+    """A folder that loses many files is looked at once, not once for each of them, and goes when all have gone."""
+    lists = tmp_path / "lists"
+    lists.mkdir()
+
+    def spied(root, real=journal._open, at=str(lists)):
+        fs, base = real(root)
+
+        class Spy:
+            def __getattr__(self, name):
+                return getattr(fs, name)
+
+            def get_file_info(self, what):
+                if hasattr(what, "base_dir"):
+                    open(f"{at}/{uuid.uuid4().hex}", "w").write(what.base_dir)
+                return fs.get_file_info(what)
+
+        return Spy(), base
+
+    tree = FileTree(spark, str(tmp_path / "live"))
+    files = {f"some/{i}.md": "x" for i in range(200)} | {f"all/deep/{i}.md": "x" for i in range(50)}
+    tree.install(frame(spark, files))
+    monkeypatch.setattr(journal, "_open", spied)
+    go = [p for p in files if p != "some/7.md"]
+    tree.install(frame(spark, {"other.md": "y"}), spark.createDataFrame([(p,) for p in go], "path string"))
+    assert found(tree) == {"some/7.md": "x", "other.md": "y"} and not (tmp_path / "live/all").exists()
+    assert sorted(p.read_text().rsplit("live/", 1)[1] for p in lists.iterdir()) == ["all", "all/deep", "some"]
