@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import planning_queries
-from tallyloom.operators import components, packing
+from tallyloom.operators import components, fragments, packing
 from tallyloom.queries import ORACLES, QUERIES
+from tallyloom.sources.tables import stored
 
 KEY = ["component_key", "root_component"]
 
@@ -78,3 +79,25 @@ def test_parts_come_in_small_batches(spark, monkeypatch):
     packing.newline_chunks(rows, 100)
     list(runs[0](iter([pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(50)], "data": ["x\n" * 300] * 50})])))
     assert len(sizes) > 20 and sum(sizes) == 300 and max(sizes) <= 12
+
+
+def test_a_scope_is_kept_once_for_all_its_calls(spark, monkeypatch):
+    """Its content is not written for each kind, nor again for repairs."""
+
+    def checked(answers, kinds, evidence, catalog, keep):  # the rules take long and are tested elsewhere
+        wrong = answers.where("body = '{'").select("request_id", F.lit(0).alias("place"), F.lit("invalid_json").alias("code"), F.lit("").alias("path"))
+        return wrong, evidence.limit(0)
+
+    monkeypatch.setattr(fragments, "_checked", checked)
+    text, kept = "word " * 40_000, []
+    scope = "component_key string, root_component boolean, batch int, batch_count int, chunk int, chunk_count int, split_path string, path string, data string"
+    rows = spark.createDataFrame([("a", False, 1, 1, 1, 1, "b1/c1", "x.go", text)], scope)
+
+    def keep(df):
+        got = stored(df)
+        kept.append(got.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return got
+
+    got = fragments.mapped(rows, rows.select("component_key"), planning_queries._rough_call, keep, 80, 0)
+    assert got.calls.agg(F.sum("calls"), F.sum("repaired")).first()[:] == (9, 2)
+    assert len(text) < sum(kept) < 2 * len(text)
